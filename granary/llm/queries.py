@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import automata, suffixes
+from granary.llm import automata, minhash, packing, suffixes
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +23,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate_bytes(_read(spark, sf_dir, "documents")).drop("removed")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

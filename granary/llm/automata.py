@@ -6,8 +6,8 @@ shards by anchor, so that all spans that can match a span are in its shard. A sh
 automaton; it is built where the shard's spans are, which stream through it at once. Sending every automaton to every
 document would cost shards x corpus; here each span meets one automaton.
 
-An anchor with more contested spans than a shard holds is settled by grouping its windows instead, which spreads over
-all tasks.
+An anchor with more contested spans than a shard holds is told apart by more context, and at last settled by grouping
+its windows, which spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granary.llm import repeats
-from granary.llm.common import stored, strings
+from granary.llm.common import stored
 
 
 class SuffixAutomaton:
@@ -99,39 +98,22 @@ class SuffixAutomaton:
                 yield i, self.least[state]
 
 
-def _spans(unit: repeats.Unit) -> Callable:
-    """Rows shard, doc_id, place, codes: what windows around each contested anchor can cover."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = strings(batch.column("text"))
-            ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.int64) << repeats.PLACE_BITS
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                codes, _ = repeats.symbols(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), unit.words)
-                signed = codes.view(np.int64)
-                starts = [max(0, x["p"] - unit.reach) for x in found]
-                rows = [signed[a : x["p"] + unit.width] for a, x in zip(starts, found, strict=True)]
-                yield pa.record_batch({"shard": pa.array([x["shard"] for x in found], pa.int64()), "doc_id": np.full(len(rows), ids[i]), "place": np.array(starts, np.int64) | tags[i], "codes": pa.array(rows, pa.list_(pa.int64()))})
-
-    return f
-
-
 def _matched(unit: repeats.Unit) -> Callable:
     """One shard: builds its automaton and streams its spans; returns the windows that stand earlier."""
 
     def f(shard: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
-        spans = [(int(d), int(p), c.tolist()) for d, p, c in zip(shard["doc_id"], shard["place"], shard["codes"], strict=True)]
+        spans = [(int(d), int(p - b), np.frombuffer(c, np.int64).tolist()) for d, p, b, c in zip(shard["doc_id"], shard["place"], shard["before"], shard["span"], strict=True)]
         for d, p, codes in spans:
             automaton.add(codes, [(d, p + i) for i in range(len(codes))])
         automaton.finish()
         found = {(d, p + i - unit.width + 1) for d, p, codes in spans for i, least in automaton.statistics(codes, unit.width) if least < (d, p + i)}
-        return pd.DataFrame(list(found), columns=["doc_id", "place"], dtype="int64")
+        return repeats.in_runs(*np.array(sorted(found), np.int64).reshape(-1, 2).T)
 
     return f
 
 
-def deduplicate_words(docs: DataFrame, width: int = 20, shard_spans: int = 2000) -> DataFrame:
+def deduplicate_words(docs: DataFrame, width: int = 20, shard_spans: int = 1000) -> DataFrame:
     """Removes each word covered by a window of width words whose sequence also starts earlier (smaller doc_id, or same document).
 
     Words are runs of anything but ASCII white space, unchanged. Returns doc_id, n_words, n_removed, kept_sha256 (of the
@@ -140,28 +122,23 @@ def deduplicate_words(docs: DataFrame, width: int = 20, shard_spans: int = 2000)
     text; identical rows are one document and share a result. Other columns are ignored. No rows give no rows.
     """
     unit = repeats.Unit(words=True, width=width, gram=max(1, width * 7 // 20))
-    found = stored(repeats.occurrences(docs, unit))
-    first = stored(repeats.firsts(found))
+    seen = stored(repeats.occurrences(docs, unit))
+    first = stored(repeats.firsts(seen))
     rest = stored(repeats.contested(first))
-    few = rest.where(F.col("contexts") <= shard_spans)
-    shards = max(1, few.count() // shard_spans)
-    lists = repeats.by_document(few.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))), found=f"struct(shard, place & {repeats.PLACE} as p)")
-    spans = repeats.with_texts(docs, lists, "inner").select("doc_id", "tag", "text", "found").mapInArrow(_spans(unit), "shard long, doc_id long, place long, codes array<long>")
-    matched = spans.groupBy("shard").applyInPandas(_matched(unit), "doc_id long, place long")
-    many = stored(repeats.window_rows(docs, rest.where(F.col("contexts") > shard_spans), unit))
-
-    def finish(ids: pa.Array, data: np.ndarray, at: np.ndarray, places: list, starts: list) -> pa.RecordBatch:
+    windows = repeats.settled(docs, rest, unit, shard_spans, _matched(unit))
+
+    def finish(ids: pa.Array, data: np.ndarray, at: np.ndarray, found: list) -> pa.RecordBatch:
         out = []
         for i in range(len(ids)):
             text = data[at[i] : at[i + 1]]
             words = text.tobytes().split() if len(text) else []
             n = len(words)
-            if len(places[i]) or len(starts[i]):
-                gone = repeats.covered(n, unit, places[i], starts[i])
+            if found[i]:
+                gone = repeats.covered(n, unit, *found[i])
                 words = [words[j] for j in np.flatnonzero(~gone)]
             kept = b" ".join(words)
             out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
         n, gone, sha, kept = zip(*out, strict=True) if out else ([],) * 4
         return pa.record_batch({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    return repeats.decided(docs, repeats.later(found, first), matched.unionByName(repeats.repeated_windows(many)), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return repeats.decided(docs, repeats.later(seen, first), windows, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

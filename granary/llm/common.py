@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,22 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _drop_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001, S110  the session has gone; the cluster clears its checkpoint folder
-            pass
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001, S110  the session has gone; the cluster clears its checkpoint folder
+        pass
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: its lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_drop_written)
-    _WRITTEN.append((spark, path))
+    atexit.register(_drop, spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

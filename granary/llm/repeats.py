@@ -14,15 +14,17 @@ Order is by document id, then place. Rows with one id and other texts are told a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BYTE_CODE, K1, SPACE, mix, pick, slabs, span_hashes, spans_of, stir, strings, word_spans
+from granary.llm.common import BYTE_CODE, K1, SPACE, mix, pick, slabs, span_hashes, spans_of, stir, stored, strings, word_spans
 
 SLAB = 1 << 20
 PLACE_BITS = 40
@@ -219,74 +221,140 @@ def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return d.join(lists, ["doc_id", "tag"], how)
 
 
-def windows_in(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of one text around the given anchors: index of the anchor, start, hash."""
-    at = np.arange(unit.reach + 1)
-    starts = places[:, None] - at[None, :]
-    ok = (starts >= 0) & (starts + unit.width <= len(codes))
-    which, lane = np.nonzero(ok)
-    starts = starts[which, lane]
-    if not len(starts):
-        return which, starts, np.zeros(0, np.uint64)
-    low, high = int(starts.min()), int(starts.max()) + unit.width
-    h = gram_hashes(codes[low:high], unit.width)
-    return which, starts, mix(h[starts - low] + hashes[which] * K1 + lane.astype(np.uint64))
+SPAN = "key long, doc_id long, place long, before int, low int, high int, span binary"
 
 
-def _windows(unit: Unit) -> Callable:
-    """Rows key, doc_id, place of every window around contested anchors."""
+def _spans(unit: Unit, halves: bool) -> Callable:
+    """What the windows around each contested anchor can cover: place (of the anchor), symbols before it in the span, and
+    the least and most symbols before it in a window. With halves, one span for windows that reach at least half way back
+    and one for the others; each key then also holds the half that all of its windows have in common.
+    """
+    half = -(-unit.reach // 2)
+    parts = ((half, unit.reach), (0, half - 1)) if halves else ((0, unit.reach),)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = strings(batch.column("text"))
             ids, tags = batch.column("doc_id").to_numpy(), _tags(batch.column("tag"))
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                codes, _ = symbols(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), unit.words)
-                places = np.array([x["p"] for x in found], np.int64)
-                hashes = np.array([x["h"] for x in found], np.int64).view(np.uint64)
-                for j in range(0, len(places), 1 << 14):
-                    order = np.argsort(places[j : j + (1 << 14)], kind="stable") + j
-                    which, starts, key = windows_in(codes, places[order], hashes[order], unit)
-                    yield pa.record_batch({"h": hashes[order][which].view(np.int64), "w": key.view(np.int64), "doc_id": np.full(len(starts), ids[i]), "place": starts | tags[i]})
+            for i, found in enumerate(batch.column("found")):
+                text = data[at[i] : at[i + 1]]
+                codes = symbols(text, np.array([0, len(text)]), True)[0] if unit.words else text
+                places, keys = (found.values.field(k).to_numpy() for k in ("p", "h"))
+                out = []
+                for p, key in zip(places.tolist(), keys.tolist(), strict=True):
+                    for low, high in parts:
+                        common = (p - low, p + unit.width - high)
+                        if common[0] < 0 or common[1] > len(codes):
+                            continue
+                        start = max(0, p - high)
+                        span = codes[start : p + unit.width - low].tobytes()
+                        if halves:
+                            shared = codes[common[0] : common[1]].tobytes()
+                            key_ = int.from_bytes(hashlib.blake2b(shared + bytes([low > 0]), digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                        out.append((key_ if halves else key, p | int(tags[i]), p - start, low, high, span))
+                if out:
+                    key, place, before, low, high, span = zip(*out, strict=True)
+                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "doc_id": np.full(len(key), ids[i]), "place": pa.array(place, pa.int64()), "before": pa.array(before, pa.int32()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()), "span": pa.array(span, pa.binary())})
 
     return f
 
 
-def window_rows(docs: DataFrame, rest: DataFrame, unit: Unit) -> DataFrame:
-    """h, w (hash of the window and of where its anchor is), doc_id, place (of the window) for all windows of contested anchors."""
+def _spans_of(docs: DataFrame, rest: DataFrame, unit: Unit, halves: bool) -> DataFrame:
     lists = by_document(rest, found=f"struct(h, place & {PLACE} as p)")
-    return with_texts(docs, lists, "inner").select("doc_id", "tag", "text", "found").mapInArrow(_windows(unit), "h long, w long, doc_id long, place long")
+    return with_texts(docs, lists, "inner").select("doc_id", "tag", "text", "found").mapInArrow(_spans(unit, halves), SPAN)
+
 
+def _windows(unit: Unit) -> Callable:
+    """Rows key, w (hash of a window and of where its anchor is), doc_id, place of every window of spans."""
+    size = 8 if unit.words else 1
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """Of window_rows, those that stand earlier as well: doc_id, place."""
-    first = rows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    return rows.join(first, ["h", "w"]).where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place")
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for place, before, low, high, span in zip(*(batch.column(c).to_pylist() for c in ("place", "before", "low", "high", "span")), strict=True):
+                for back in range(low, min(high, before) + 1):
+                    window = span[size * (before - back) : size * (before - back + unit.width)]
+                    if len(window) == size * unit.width:
+                        out.append((int.from_bytes(hashlib.blake2b(window + bytes([back]), digest_size=8).digest(), "little", signed=True), place - back))
+                    else:
+                        out.append(None)
+                out.append(False)
+            row, ws, starts, n = [], [], [], 0
+            for x in out:
+                if x is False:
+                    n += 1
+                elif x:
+                    row.append(n)
+                    ws.append(x[0])
+                    starts.append(x[1])
+            yield pa.record_batch({"key": batch.column("key").take(pa.array(row, pa.int64())), "w": pa.array(ws, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "place": pa.array(starts, pa.int64())})
+
+    return f
 
 
-def covered(n: int, unit: Unit, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of n symbols are removed, given anchors with repeated contexts and starts of repeated windows."""
+def settled(docs: DataFrame, rest: DataFrame, unit: Unit, bound: int, solve: Callable) -> DataFrame:
+    """Windows around contested anchors that stand earlier: doc_id, place (of the first), run (how many in a row).
+
+    Spans are dealt to shards by anchor, and solve(shard) settles each; a shard has about bound spans at most. Anchors
+    with more spans than that are told apart by half a context more; spans that are then alone in their group have no
+    repeated window. Groups that are still larger are settled by grouping their windows, over all tasks.
+    """
+    few = _spans_of(docs, rest.where(F.col("contexts") <= bound), unit, False)
+    halves = stored(_spans_of(docs, rest.where(F.col("contexts") > bound), unit, True))
+    sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1")
+    split = halves.join(sizes, "key")
+    columns = [c.split()[0] for c in SPAN.split(", ")]
+    n = rest.count()
+    shards = max(1, 4 * n // bound)
+    dealt = few.unionByName(split.where(F.col("spans") <= bound).select(columns)).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    by_shard = dealt.groupBy("shard").applyInPandas(solve, "doc_id long, place long, run int")
+    rows = stored(split.where(F.col("spans") > bound).select(columns).mapInArrow(_windows(unit), "key long, w long, doc_id long, place long"))
+    first = rows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
+    by_window = rows.join(first, ["key", "w"]).where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place", F.lit(1).alias("run"))
+    return by_shard.unionByName(by_window)
+
+
+def in_runs(doc_ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    """doc_id, place, run of windows that start one after another."""
+    order = np.lexsort((places, doc_ids))
+    d, p = doc_ids[order], places[order]
+    same = np.zeros(len(d), bool)
+    same[1:] = (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= 1)
+    head = np.flatnonzero(~same)
+    last = np.append(head[1:], len(d)) - 1 if len(d) else head
+    return pd.DataFrame({"doc_id": d[head], "place": p[head], "run": (p[last] - p[head] + 1).astype(np.int32)})
+
+
+def covered(n: int, unit: Unit, places: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which of n symbols are removed, given anchors with repeated contexts, and runs of repeated windows."""
     step = np.zeros(n + 1, np.int32)
-    for a, b in ((places - unit.reach, places + unit.width), (starts, starts + unit.width)):
+    for a, b in ((places - unit.reach, places + unit.width), (starts, starts + runs - 1 + unit.width)):
         np.add.at(step, np.clip(a, 0, n), 1)
         np.add.at(step, np.clip(b, 0, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
 def decided(docs: DataFrame, whole: DataFrame, windows: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """Each document with what is covered in it, through finish(ids, data, at, places, starts) -> record batch."""
-    both = whole.select("doc_id", "place", F.lit(True).alias("whole")).unionByName(windows.select("doc_id", "place", F.lit(False).alias("whole")))
-    lists = by_document(both, places=f"case when whole then place & {PLACE} end", starts=f"case when not whole then place & {PLACE} end")
-    none = pick(docs, doc_id="long", text="string").where("doc_id is null").select("doc_id", F.lit(0).alias("tag"), "text", F.lit(None).cast("array<bigint>").alias("places"), F.lit(None).cast("array<bigint>").alias("starts"))
+    """Each document with what is covered in it, through finish(ids, data, at, [(places, starts, runs), ...]) -> record batch."""
+    both = whole.select("doc_id", "place", F.lit(None).cast("int").alias("run")).unionByName(windows)
+    lists = by_document(both, places=f"case when run is null then place & {PLACE} end", windows=f"case when run is not null then struct(place & {PLACE} as p, run as n) end")
+    none = pick(docs, doc_id="long", text="string").where("doc_id is null").select("doc_id", F.lit(0).alias("tag"), "text", F.lit(None).cast("array<bigint>").alias("places"), F.lit(None).cast("array<struct<p:bigint,n:int>>").alias("windows"))
     rows = with_texts(docs, lists, "left").unionByName(none)
+    nothing = np.zeros(0, np.int64)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = strings(batch.column("text"))
-            lists = [[np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(c)] for c in ("places", "starts")]
-            yield finish(batch.column("doc_id"), data, at, *lists)
+            found = []
+            for x, y in zip(batch.column("places"), batch.column("windows"), strict=True):
+                if not x.is_valid:
+                    found.append(None)
+                else:
+                    some = len(y.values) if y.is_valid else 0
+                    found.append((np.asarray(x.values, np.int64), *((y.values.field(k).to_numpy().astype(np.int64) for k in ("p", "n")) if some else (nothing, nothing))))
+            yield finish(batch.column("doc_id"), data, at, found)
 
     return rows.mapInArrow(f, schema)
 
 
-__all__ = ["Unit", "contested", "covered", "decided", "firsts", "later", "occurrences", "repeated_windows", "spans_of", "window_rows"]
+__all__ = ["Unit", "contested", "covered", "decided", "firsts", "in_runs", "later", "occurrences", "settled", "spans_of"]

@@ -6,25 +6,68 @@ windows. Digits are wide and a suffix leaves as soon as it is alone in its group
 * digit 1 is the window's anchor gram (equal windows have equal anchors at equal offsets, see repeats.py); one row
   an anchor stands for all suffixes around it,
 * digit 2 is all that a window with this anchor can reach. Suffixes that are equal here are equal to full depth,
-* digit 3 are the remaining bytes of each suffix by itself, only in groups that digit 2 has split.
+* what is left is dealt to shards of bounded size by digit 1, and each shard sorts its suffixes by digits of a gram each,
+  leaving out at every pass those that have become alone.
 
-Every pass is a grouped count or minimum with map-side combining and a join back, so a group that holds a third of all
-suffixes is neither collected nor paired.
+The passes over the corpus are grouped counts or minima with map-side combining and a join back, so a group that holds a
+third of all suffixes is neither collected nor paired.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from granary.llm import repeats
-from granary.llm.common import stored
+from granary.llm.common import BYTE_CODE, K1, mix, stored
 
 
-def deduplicate_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
+def radix_passes(digits: list[np.ndarray]) -> np.ndarray:
+    """Groups suffixes by their digits, most significant first. Returns the first suffix of each one's group; -1: it is alone."""
+    n = len(digits[0])
+    group, alive = np.zeros(n, np.uint64), np.arange(n)
+    for digit in digits:
+        key = mix(group[alive] * K1 + digit[alive])
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        shared = count[which] > 1
+        alive, key = alive[shared], key[shared]
+        group[alive] = key
+    out = np.full(n, -1)
+    if len(alive):
+        _, head, which = np.unique(group[alive], return_index=True, return_inverse=True)
+        out[alive] = alive[head][which]
+    return out
+
+
+def _sorted_shard(unit: repeats.Unit) -> Callable:
+    """Sorts one shard's suffixes through full depth; returns the windows that stand earlier."""
+
+    def f(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["doc_id", "place"], kind="stable")
+        sizes = shard["span"].str.len().to_numpy()
+        data = np.frombuffer(b"".join(shard["span"]), np.uint8)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        h = repeats.gram_hashes(BYTE_CODE[data], unit.gram)
+        before, low, high = (shard[c].to_numpy() for c in ("before", "low", "high"))
+        lanes = np.arange(unit.reach + 1)
+        ok = (lanes >= low[:, None]) & (lanes <= np.minimum(high, before)[:, None]) & (before[:, None] - lanes + unit.width <= sizes[:, None])
+        row, back = np.nonzero(ok)
+        start = at[row] + before[row] - back
+        anchor = shard["key"].to_numpy().view(np.uint64)[row] + back.astype(np.uint64)
+        first = radix_passes([anchor, *(h[start + o] for o in repeats.cover(0, unit.width, unit.gram))])
+        doc, place = shard["doc_id"].to_numpy()[row], shard["place"].to_numpy()[row] - back
+        again = (first >= 0) & ((doc[first] != doc) | (place[first] != place))
+        return repeats.in_runs(doc[again], place[again])
+
+    return f
+
+
+def deduplicate_bytes(docs: DataFrame, width: int = 100, shard_spans: int = 2000) -> DataFrame:
     """Removes each byte covered by a width-byte string that also starts earlier (smaller doc_id, or same document).
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end of each removed run).
@@ -33,16 +76,17 @@ def deduplicate_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     Texts shorter than width keep all. Other columns are ignored. No rows give no rows.
     """
     unit = repeats.Unit(words=False, width=width, gram=max(1, width * 8 // 25))
-    found = stored(repeats.occurrences(docs, unit))
-    first = stored(repeats.firsts(found))
-    windows = stored(repeats.window_rows(docs, repeats.contested(first), unit))
+    seen = stored(repeats.occurrences(docs, unit))
+    first = stored(repeats.firsts(seen))
+    rest = stored(repeats.contested(first))
+    windows = repeats.settled(docs, rest, unit, shard_spans, _sorted_shard(unit))
 
-    def finish(ids: pa.Array, data: np.ndarray, at: np.ndarray, places: list, starts: list) -> pa.RecordBatch:
+    def finish(ids: pa.Array, data: np.ndarray, at: np.ndarray, found: list) -> pa.RecordBatch:
         out = []
         for i in range(len(ids)):
             text = data[at[i] : at[i + 1]]
-            if len(places[i]) or len(starts[i]):
-                gone = repeats.covered(len(text), unit, places[i], starts[i])
+            if found[i]:
+                gone = repeats.covered(len(text), unit, *found[i])
                 a, b = repeats.spans_of(gone)
                 out.append((len(text), int(gone.sum()), len(a), hashlib.sha256(text[~gone].tobytes()).hexdigest(), np.stack((a, b), 1).tolist()))
             else:
@@ -50,4 +94,4 @@ def deduplicate_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
         n, gone, spans, sha, runs = zip(*out, strict=True) if out else ([],) * 5
         return pa.record_batch({"doc_id": ids, "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "removed": pa.array(runs, pa.list_(pa.list_(pa.int64())))})
 
-    return repeats.decided(docs, repeats.later(found, first), repeats.repeated_windows(windows), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<bigint>>")
+    return repeats.decided(docs, repeats.later(seen, first), windows, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<bigint>>")

@@ -4,10 +4,11 @@ Each hash function gives two values of a document's signature: the least and the
 halves the hash evaluations, and both agree between two sets with probability equal to their similarity.
 
 Documents with equal shingle sets are one class, and only one of a class goes on. Classes that share a band of the
-signature are candidates. Each is compared with hubs of its bucket (the least and the greatest id, and the least hash
-of it), so a bucket of any size gives a few pairs a member. What is then not yet connected with others of its bucket is
-compared with all of those that are outside its component, when two words of one-bit samples of both signatures allow
-the similarity. Every candidate is confirmed on full shingle sets.
+signature are candidates. Each is compared with hubs of its bucket (the least id, and the member with most company in
+all its buckets), so a bucket of any size gives a few pairs a member. Classes that are then not yet connected with
+others of a bucket find partners by their rarest shingles: two sets that are similar enough share one among so many of
+their rarest as they may differ by, so a class whose rare shingles are its own needs no comparison. Every candidate is
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.llm.common import K1, LOWER, SPACE, mix, pick, slabs, span_hashes, stored, strings, word_spans
 from granary.llm.components import connected_components
@@ -126,6 +128,47 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirmed(words, percent), "u long, v long")
 
 
+def _tokens(words: int) -> Callable:
+    """The shingles of each document: doc_id, n, token."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = strings(batch.column("text"))
+            for a, b in slabs(np.diff(at), 1 << 19):
+                value, to, _ = shingle_sets(data, at[a : b + 1], words)
+                n = np.diff(to)
+                row = pa.array(np.repeat(np.arange(a, b), n))
+                yield pa.record_batch([batch.column("doc_id").take(row), batch.column("component").take(row), batch.column("apart").take(row), pa.array(np.repeat(n, n)), pa.array(value.view(np.int64))], ["doc_id", "component", "apart", "n", "token"])
+
+    return f
+
+
+def by_rarest(docs: DataFrame, split: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs u, v of documents in different components, one of them apart, that can be similar enough.
+
+    With shingles in one order, rarest first, sets of n1 and n2 shingles that share k of them share one among the first
+    n1 - k + 1 and n2 - k + 1. k is at least percent (n1 + n2) / (100 + percent). Sets are told apart by classes of size,
+    as sets of like size need to agree in more.
+    """
+    base = np.log(1.02)
+    texts = docs.join(split, "doc_id").select("doc_id", "text", "component", "apart")
+    token = stored(texts.mapInArrow(_tokens(words), "doc_id long, component long, apart boolean, n long, token long"))
+    often = token.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = Window.partitionBy("doc_id").orderBy("f", "token")  # a document's own shingles
+    t = token.join(often, "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("at", F.row_number().over(order))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    t = stored(t.where((F.col("at") <= spare) & (F.col("f") > 1)).withColumn("size", F.floor(F.log("n") / base).cast("int")))
+    reach = int(np.ceil(np.log(100 / percent) / base)) + 1
+    least_other = F.pow(F.lit(1.02), F.col("size") + F.col("step"))
+    shared_least = F.ceil((F.col("n") + F.greatest(least_other - 1e-6, F.lit(1.0))) * percent / (100 + percent) - 1e-6)
+    u = t.where("apart").withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).where(F.col("at") <= F.col("n") - shared_least + 1)
+    u = u.select("token", (F.col("size") + F.col("step")).alias("size"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    v = t.select("token", "size", F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    k = f"ceil((n1 + n2) * {percent} / {100 + percent} - 0.000001)"
+    found = u.join(v, ["token", "size"]).where(f"cu != cv and at1 <= n1 - {k} + 1 and at2 <= n2 - {k} + 1 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """Groups documents whose sets of word shingles have a Jaccard similarity of percent or more.
 
@@ -144,23 +187,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = stored(own.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("class_id")))
     first = own.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     banded = first.select("doc_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("h")).where("m > 1")
-    shared = stored(banded.join(hubs, "band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = stored(banded.join(stored(sizes), "band"))
+    company = shared.groupBy("doc_id").agg(F.sum("m").alias("company"))
+    hubs = shared.join(company, "doc_id").groupBy("band").agg(F.min("doc_id").alias("a"), F.max_by("doc_id", F.struct("company", "doc_id")).alias("c"))
+    shared = stored(shared.select("band", "doc_id").join(stored(hubs), "band"))
     of_u = first.select(F.col("doc_id").alias("u"), "n", "bits1", "bits2")
     of_v = first.select(F.col("doc_id").alias("v"), F.col("n").alias("n2"), F.col("bits1").alias("c1"), F.col("bits2").alias("c2"))
     alike = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and bit_count(bits1 ^ c1) + bit_count(bits2 ^ c2) <= {_bits_apart(percent)}"
-    one = shared.select("doc_id", F.explode(F.array_distinct(F.array("a", "z", "h"))).alias("hub")).where("doc_id != hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
+    one = shared.select("doc_id", F.explode(F.array_distinct(F.array("a", "c"))).alias("hub")).where("doc_id != hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
     pairs = stored(one.join(of_u, "u").join(of_v, "v").where(alike).select("u", "v"))
     links = stored(confirmed(pairs, d, words, percent))
     so_far = connected_components(links)
     at = shared.select("band", "doc_id").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = at.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = parts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
-    split = stored(at.join(largest, "band").join(first.select("doc_id", "n", "bits1", "bits2"), "doc_id"))
-    apart = split.where("component != main").select("band", F.col("doc_id").alias("u"), "n", "bits1", "bits2", F.col("component").alias("cu"))
-    others = split.select("band", F.col("doc_id").alias("v"), F.col("n").alias("n2"), F.col("bits1").alias("c1"), F.col("bits2").alias("c2"), F.col("component").alias("cv"))
-    more = apart.join(others, "band").where(f"cu != cv and {alike}").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = stored(more.join(pairs, ["u", "v"], "left_anti"))
+    split = stored(at.join(largest, "band").groupBy("doc_id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("apart")))
+    more = stored(by_rarest(d, split, words, percent).join(pairs, ["u", "v"], "left_anti"))
     links = links.unionByName(confirmed(more, d, words, percent))
     of_class = connected_components(links).withColumnRenamed("node", "class_id")
     known = own.select("doc_id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left").join(of_class, "class_id", "left")

@@ -188,7 +188,7 @@ OCCURRENCE = "h long, c long, doc_id long, place long"
 def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
     """Anchors whose gram occurs again somewhere, with their context and place."""
     d = _documents(docs)
-    again = d.select("text").mapInArrow(_counts(unit), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    again = stored(d.select("text").mapInArrow(_counts(unit), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     return d.mapInArrow(_occurrences(unit), OCCURRENCE).join(again, "h", "left_semi")
 
 
@@ -205,7 +205,7 @@ def later(found: DataFrame, first: DataFrame) -> DataFrame:
 
 def contested(first: DataFrame) -> DataFrame:
     """First occurrences whose gram has other contexts too: h, contexts (how many), doc_id, place."""
-    many = first.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    many = stored(first.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"))
     return first.join(many, "h").select("h", "contexts", "first.doc_id", "first.place")
 
 
@@ -224,13 +224,10 @@ def with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 SPAN = "key long, doc_id long, place long, before int, low int, high int, span binary"
 
 
-def _spans(unit: Unit, halves: bool) -> Callable:
+def _spans(unit: Unit) -> Callable:
     """What the windows around each contested anchor can cover: place (of the anchor), symbols before it in the span, and
-    the least and most symbols before it in a window. With halves, one span for windows that reach at least half way back
-    and one for the others; each key then also holds the half that all of its windows have in common.
+    the least and most symbols before it in a window.
     """
-    half = -(-unit.reach // 2)
-    parts = ((half, unit.reach), (0, half - 1)) if halves else ((0, unit.reach),)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,79 +236,75 @@ def _spans(unit: Unit, halves: bool) -> Callable:
             for i, found in enumerate(batch.column("found")):
                 text = data[at[i] : at[i + 1]]
                 codes = symbols(text, np.array([0, len(text)]), True)[0] if unit.words else text
-                places, keys = (found.values.field(k).to_numpy() for k in ("p", "h"))
-                out = []
-                for p, key in zip(places.tolist(), keys.tolist(), strict=True):
-                    for low, high in parts:
-                        common = (p - low, p + unit.width - high)
-                        if common[0] < 0 or common[1] > len(codes):
-                            continue
-                        start = max(0, p - high)
-                        span = codes[start : p + unit.width - low].tobytes()
-                        if halves:
-                            shared = codes[common[0] : common[1]].tobytes()
-                            key_ = int.from_bytes(hashlib.blake2b(shared + bytes([low > 0]), digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                        out.append((key_ if halves else key, p | int(tags[i]), p - start, low, high, span))
-                if out:
-                    key, place, before, low, high, span = zip(*out, strict=True)
-                    yield pa.record_batch({"key": pa.array(key, pa.int64()), "doc_id": np.full(len(key), ids[i]), "place": pa.array(place, pa.int64()), "before": pa.array(before, pa.int32()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()), "span": pa.array(span, pa.binary())})
+                places, keys, contexts = (found.values.field(k).to_numpy() for k in ("p", "h", "n"))
+                starts = np.maximum(0, places - unit.reach)
+                spans = [codes[a:b].tobytes() for a, b in zip(starts.tolist(), (places + unit.width).tolist(), strict=True)]
+                m = len(places)
+                yield pa.record_batch({"key": keys, "doc_id": np.full(m, ids[i]), "place": places | tags[i], "before": (places - starts).astype(np.int32), "low": np.zeros(m, np.int32), "high": np.full(m, unit.reach, np.int32), "span": pa.array(spans, pa.binary()), "contexts": contexts})
 
     return f
 
 
-def _spans_of(docs: DataFrame, rest: DataFrame, unit: Unit, halves: bool) -> DataFrame:
-    lists = by_document(rest, found=f"struct(h, place & {PLACE} as p)")
-    return with_texts(docs, lists, "inner").select("doc_id", "tag", "text", "found").mapInArrow(_spans(unit, halves), SPAN)
-
-
-def _windows(unit: Unit) -> Callable:
-    """Rows key, w (hash of a window and of where its anchor is), doc_id, place of every window of spans."""
+def _halves(unit: Unit) -> Callable:
+    """Splits each span in one for the windows that reach further back and one for the others. A new key also holds all
+    that the windows of a span have in common; body tells spans of a key that differ.
+    """
     size = 8 if unit.words else 1
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for place, before, low, high, span in zip(*(batch.column(c).to_pylist() for c in ("place", "before", "low", "high", "span")), strict=True):
-                for back in range(low, min(high, before) + 1):
-                    window = span[size * (before - back) : size * (before - back + unit.width)]
-                    if len(window) == size * unit.width:
-                        out.append((int.from_bytes(hashlib.blake2b(window + bytes([back]), digest_size=8).digest(), "little", signed=True), place - back))
-                    else:
-                        out.append(None)
-                out.append(False)
-            row, ws, starts, n = [], [], [], 0
-            for x in out:
-                if x is False:
-                    n += 1
-                elif x:
-                    row.append(n)
-                    ws.append(x[0])
-                    starts.append(x[1])
-            yield pa.record_batch({"key": batch.column("key").take(pa.array(row, pa.int64())), "w": pa.array(ws, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "place": pa.array(starts, pa.int64())})
+            for key, doc, place, before, low, high, span in zip(*(batch.column(c.split()[0]).to_pylist() for c in SPAN.split(", ")), strict=True):
+                n, middle = len(span) // size, (low + high + 1) // 2
+                for a, b in ((middle, high), (low, middle - 1)) if low < high else ():
+                    if before < a or before - b + unit.width > n:  # no such window in the text
+                        continue
+                    start, end = max(0, before - b), min(n, before - a + unit.width)
+                    common = span[size * max(0, before - a) : size * min(n, before - b + unit.width)]
+                    new = _digest(key.to_bytes(8, "little", signed=True) + bytes([a, b]) + common)
+                    part = span[size * start : size * end]
+                    first, last = max(0, before - b), min(n - unit.width, before - a)
+                    out.append((new, doc, place, before - start, a, b, part, _digest(bytes([before - start]) + part), place - before + first, last - first + 1))
+            columns = list(zip(*out, strict=True)) or [()] * 10
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], [*(c.split()[0] for c in SPAN.split(", ")), "body", "start", "run"])
 
     return f
 
 
+def _digest(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
 def settled(docs: DataFrame, rest: DataFrame, unit: Unit, bound: int, solve: Callable) -> DataFrame:
     """Windows around contested anchors that stand earlier: doc_id, place (of the first), run (how many in a row).
 
-    Spans are dealt to shards by anchor, and solve(shard) settles each; a shard has about bound spans at most. Anchors
-    with more spans than that are told apart by half a context more; spans that are then alone in their group have no
-    repeated window. Groups that are still larger are settled by grouping their windows, over all tasks.
+    Spans are dealt to shards by anchor, and solve(shard) settles each; a shard has about bound spans at most. Spans of
+    an anchor that has more are split in halves, again and again: a half that is equal to an earlier one is repeated
+    whole, one that shares its common part with no other has no repeated window, and groups that are small enough go to
+    shards. A half of one window is always settled, so no group of more than bound spans is ever brought together.
     """
-    few = _spans_of(docs, rest.where(F.col("contexts") <= bound), unit, False)
-    halves = stored(_spans_of(docs, rest.where(F.col("contexts") > bound), unit, True))
-    sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1")
-    split = halves.join(sizes, "key")
     columns = [c.split()[0] for c in SPAN.split(", ")]
-    n = rest.count()
-    shards = max(1, 4 * n // bound)
-    dealt = few.unionByName(split.where(F.col("spans") <= bound).select(columns)).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    by_shard = dealt.groupBy("shard").applyInPandas(solve, "doc_id long, place long, run int")
-    rows = stored(split.where(F.col("spans") > bound).select(columns).mapInArrow(_windows(unit), "key long, w long, doc_id long, place long"))
-    first = rows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    by_window = rows.join(first, ["key", "w"]).where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place", F.lit(1).alias("run"))
-    return by_shard.unionByName(by_window)
+    lists = by_document(rest, found=f"struct(h, place & {PLACE} as p, contexts as n)")
+    spans = stored(with_texts(docs, lists, "inner").select("doc_id", "tag", "text", "found").mapInArrow(_spans(unit), f"{SPAN}, contexts long"))
+    small, large = [spans.where(F.col("contexts") <= bound).select(columns)], spans.where(F.col("contexts") > bound).select(columns)
+    whole = []
+    while large.take(1):
+        halves = stored(large.mapInArrow(_halves(unit), f"{SPAN}, body long, start long, run int"))
+        first = stored(halves.groupBy("key", "body").agg(F.min(F.struct("doc_id", "place")).alias("first")))
+        sizes = stored(first.groupBy("key").agg(F.count(F.lit(1)).alias("spans")))
+        kept = halves.join(first, ["key", "body"])
+        whole.append(kept.where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", F.col("start").alias("place"), "run"))
+        split = stored(kept.where(F.struct("doc_id", "place") == F.col("first")).join(sizes.where("spans > 1"), "key").where("low < high"))
+        small.append(split.where(F.col("spans") <= bound).select(columns))
+        large = split.where(F.col("spans") > bound).select(columns)
+    dealt = small[0]
+    for x in small[1:]:
+        dealt = dealt.unionByName(x)
+    shards = max(1, 4 * spans.count() // bound)
+    out = dealt.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(solve, "doc_id long, place long, run int")
+    for x in whole:
+        out = out.unionByName(x)
+    return out
 
 
 def in_runs(doc_ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:

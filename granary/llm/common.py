@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shipped:
+    """A broadcast value of any of this package's types, for tasks that can't import the package."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        if "read" not in self.__dict__:
+            self.read = pickle.loads(self.sent.value)  # noqa: S301
+        return self.read
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, cast, under internal names; other columns of df can't clash with an operator's own."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))

@@ -8,7 +8,9 @@ Each partition packs its own pieces in the order it reads them, so memory is the
 from __future__ import annotations
 
 import itertools
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +26,9 @@ REMEMBERED = 600_000
 #: ASCII punctuation is a token of its own beside letters; but an apostrophe before letters may bind to them.
 TRAILING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEADING = TRAILING.replace("'", "")
+#: Byte-level vocabularies write a byte as the character of that number if it is printable, else as one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b if b in _PRINTED else 256 + [x for x in range(256) if x not in _PRINTED].index(b) for b in range(256)}
 
 
 class OpenBins:
@@ -63,7 +68,7 @@ class WordTokenizer:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizers file whose tokens never cross white space.
 
     Ids are made once a word and remembered. Words of letters, perhaps between ASCII punctuation, are looked up
-    in lower case, by the file's own normalizer; all others, and texts with letters whose lower case depends on their
+    in lower case, by the file's model alone; all others, and texts with letters whose lower case depends on their
     place or with special tokens, go to the tokenizer as they are.
     """
 
@@ -71,6 +76,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.marks = {"": b""}
@@ -78,38 +84,36 @@ class WordTokenizer:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        parts, cores, known, marks = [], {}, self.cores, self.marks
+    def _core(self, core: str) -> bytes:
+        """Ids of a word of letters, in lower case and composed: the model's tokens of its bytes, written as the file writes bytes."""
+        text = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        words, cores, marks = self.words, self.cores, self.marks
         for word in new:
-            text = word.decode()
-            left = text.lstrip(LEADING)
-            core = left.rstrip(TRAILING)
-            if core.isalpha() and (len(core) == len(text) or "<|" not in text) and (text.isascii() or not ("Σ" in core or "İ" in core)):
-                core = core.lower()
+            if word.isalpha():
+                core, lead, mark = word.lower().decode(), "", ""
+            elif word[:-1].isalpha() and word[-1:] in b".,":
+                core, lead, mark = word[:-1].lower().decode(), "", word[-1:].decode()
+            else:
+                text = word.decode()
+                left = text.lstrip(LEADING)
+                core = left.rstrip(TRAILING)
                 lead, mark = text[: len(text) - len(left)], left[len(core) :]
-                parts.append((word, lead, core, mark))
+                if not core.isalpha() or "<|" in text or not (core.isascii() or _plain_lower(core)):
+                    words[word] = self._plain(text)
+                    continue
+                core = core.lower()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._core(core)
+            if lead or mark:
                 for x in (lead, mark):
                     if x not in marks:
                         marks[x] = self._plain(x)
-                if core not in known:
-                    cores[core] = None
-            else:
-                self.words[word] = self._plain(text)
-        todo = list(cores)
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owner = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
-            if len(owner) and owner[-1] == len(some) - 1:
-                at = np.searchsorted(owner, np.arange(len(some) + 1))
-                for j, core in enumerate(some):
-                    self.cores[core] = ids[at[j] : at[j + 1]].tobytes()
-            else:
-                for core in some:
-                    self.cores[core] = self._plain(core)
-        words = self.words
-        for word, lead, core, mark in parts:
-            words[word] = marks[lead] + known[core] + marks[mark] if lead or mark else known[core]
+                ids = marks[lead] + ids + marks[mark]
+            words[word] = ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
@@ -118,10 +122,15 @@ class WordTokenizer:
             self.marks = {"": b""}
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are told by their case
         known = self.words
-        self._learn([w for w in set(itertools.chain.from_iterable(split)) if w not in known])
+        self._learn(set(itertools.chain.from_iterable(split)).difference(known))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
+def _plain_lower(core: str) -> bool:
+    """Whether lower case and composed form of a word don't depend on the order they are made in, nor on its neighbours."""
+    return "Σ" not in core and "İ" not in core and unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", core.lower())
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import K1, LOWER, mix, pick, slabs, span_hashes, stored, strings
+from granary.llm.common import K1, LOWER, Shipped, mix, pick, slabs, span_hashes, stored, strings
 
 TERM_BITS, PAIR_BITS, RANGES = 22, 18, 16
 KIND = np.zeros(256, np.int8)
@@ -161,10 +161,10 @@ def _scored(shared: object) -> Callable:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000) -> tuple[Model, DataFrame]:
     """The model, and doc_id, tag (hash of the text), term_weight, pair_weight of each document."""
     d = pick(docs, doc_id="long", text="string").withColumn("tag", F.xxhash64("text"))
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     known = sample_labels(labels, most_labels)
     sample = Labels(known["doc_id"].to_numpy(np.int64), ((known["quality"] > 0) & (known["toxic"] == 0)).to_numpy(bool))
-    counts = stored(d.select("doc_id", "text").mapInArrow(_counts(context.broadcast(sample)), "bucket int, raw long, target long, dense binary"))
+    counts = stored(d.select("doc_id", "text").mapInArrow(_counts(Shipped(spark, sample)), "bucket int, raw long, target long, dense binary"))
     terms = stored(counts.where("dense is null").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     totals = terms.agg(F.sum("raw"), F.sum("target")).first()
     share = (totals[1] or 0) / max(1, totals[0] or 1)
@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000) -> tuple
         pairs[:, i * step : (i + 1) * step] = np.frombuffer(x, np.int64).reshape(2, step)
     sums = pairs.sum(1)
     model = Model(sample, told["bucket"].to_numpy(np.int64), np.stack([told["raw"].to_numpy(float), told["target"].to_numpy(float)]), pairs, (share, sums[1] / max(1.0, sums[0])))
-    scores = stored(d.mapInArrow(_scored(context.broadcast(model)), "doc_id long, tag long, term_weight double, pair_weight double"))
-    flags = docs.sparkSession.createDataFrame(known, "doc_id long, quality int, toxic int")
+    scores = stored(d.mapInArrow(_scored(Shipped(spark, model)), "doc_id long, tag long, term_weight double, pair_weight double"))
+    flags = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
     judged = scores.join(F.broadcast(flags), "doc_id").select("term_weight", "pair_weight", "quality", "toxic").toPandas()  # one row a label
     good = judged[(judged["quality"] > 0) & (judged["toxic"] == 0)]
     model.term_threshold = _best_split(good["term_weight"].to_numpy(), judged.loc[judged["toxic"] > 0, "term_weight"].to_numpy())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import ann, automata, decontamination, minhash, packing, quality, secrets, suffixes
+from granary.llm import ann, automata, decontamination, html, minhash, packing, quality, secrets, suffixes, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,12 +37,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("item_ids", "tag")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4).drop("class_id")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +63,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '{1}')"
+
+#: Windows as lists of words, each with the first place where it starts.
+_OP1 = rf"""
+with w as (select doc_id, {_WORDS.format("text", r"[^\x20\x09-\x0D]+")} as words from documents),
+g as (select doc_id, i, array_to_string(words[i:i+19], ' ') as body from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from w)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by body order by doc_id, i) as n from g) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from r),
+lists as (select doc_id, list(p) as ps from gone group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+  sha256(array_to_string(case when ps is null then words else list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> not list_contains(ps, x[2])), x -> x[1]) end, ' ')) as kept_sha256
+from w left join lists using (doc_id)"""
+
+_OP7 = rf"""
+with b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ -/:-`{-]+') as words from benchmark),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ -/:-`{-]+') as words from documents),
+q as (select distinct item_id, least(13, len(words)) as n, array_to_string(words[i:i+12], ' ') as body from (select *, unnest(range(1, greatest(2, len(words) - 11))) as i from b where len(words) > 0)),
+sizes as (select distinct n from q),
+g as (select doc_id, n, i, array_to_string(words[i:i+n-1], ' ') as body from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from d, sizes)),
+m as (select doc_id, item_id, i, n from g join q using (n, body)),
+hits as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+items as (select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from m group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)"""
+
+_OP9 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ 	-]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i:i+3], ' ') as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) as i from w where len(words) > 0)),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+c as (select doc_id as x, doc_id as y from documents union select c.x, e.b from c join e on e.a = c.y)
+select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(y) as component_id, doc_id = min(y) as kept
+from documents left join n using (doc_id) join c on c.x = doc_id group by doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9}

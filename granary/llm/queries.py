@@ -80,12 +80,12 @@ r as (select doc_id, i from (select doc_id, i, row_number() over (partition by b
 gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from r),
 lists as (select doc_id, list(p) as ps from gone group by doc_id)
 select doc_id, len(words)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
-  sha256(array_to_string(case when ps is null then words else list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> not list_contains(ps, x[2])), x -> x[1]) end, ' ')) as kept_sha256
+  sha256(array_to_string(case when ps is null then words else list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: not list_contains(ps, x[2])), lambda x: x[1]) end, ' ')) as kept_sha256
 from w left join lists using (doc_id)"""
 
 _OP7 = rf"""
-with b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ -/:-`{-]+') as words from benchmark),
-d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ -/:-`{-]+') as words from documents),
+with b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
 q as (select distinct item_id, least(13, len(words)) as n, array_to_string(words[i:i+12], ' ') as body from (select *, unnest(range(1, greatest(2, len(words) - 11))) as i from b where len(words) > 0)),
 sizes as (select distinct n from q),
 g as (select doc_id, n, i, array_to_string(words[i:i+n-1], ' ') as body from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from d, sizes)),
@@ -97,7 +97,7 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coale
 from d left join hits using (doc_id) left join items using (doc_id)"""
 
 _OP9 = rf"""
-with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^ 	-]+') as words from documents),
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x20\x09-\x0D]+') as words from documents),
 s as (select distinct doc_id, array_to_string(words[i:i+3], ' ') as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) as i from w where len(words) > 0)),
 n as (select doc_id, count(*)::bigint as n from s group by doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),

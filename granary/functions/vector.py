@@ -14,6 +14,11 @@ def _double(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Product of vectors of equal length; other lengths raise."""
     a, b = _double(a), _double(b)
@@ -51,8 +56,7 @@ def higher_is_closer(metric: str) -> bool:
 
 def normalized(v: Column | str) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n == 0, _double(v)).otherwise(F.transform(_double(v), lambda x: x / n))
+    return let(_double(v), lambda w: let(norm(w), lambda n: F.when(n == 0, w).otherwise(F.transform(w, lambda x: x / n))))
 
 
 def is_valid(v: Column | str, dimensions: int) -> Column:
@@ -76,13 +80,21 @@ CONCEPTS = (
 EMBEDDER_STOP_WORDS = ("the", "a", "an", "is", "are", "to", "of", "and", "how", "why", "do")
 
 
+def _equals(i: int):
+    return lambda b: b == i
+
+
 def local_embedding(text: Column | str, kind: str = "document", buckets: int = 4) -> Column:
     """Deterministic vector: hits a concept, a quarter for each token in its hash bucket, 0.3 for the kind; unit length."""
     t = F.trim(F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"(?U)\s+", " "))
-    concepts = [sum((F.contains(t, F.lit(w)).cast("double") for w in words[1:]), F.contains(t, F.lit(words[0])).cast("double")) for _, words in CONCEPTS]
-    tokens = F.filter(F.regexp_extract_all(t, F.lit(r"[a-z0-9]+|[\u4e00-\u9fff]"), F.lit(0)), lambda w: ~w.isin(*EMBEDDER_STOP_WORDS))
-    # the hash mod 4 is its last hexadecimal digit mod 4
-    bucket = F.transform(tokens, lambda w: F.pmod(F.conv(F.right(F.sha1(w), F.lit(1)), 16, 10).cast("int"), F.lit(buckets)))
-    hashed = [F.size(F.filter(bucket, lambda b, i=i: b == i)) * 0.25 for i in range(buckets)]
     mode = [F.lit(0.3 if kind == "query" else 0.0), F.lit(0.0 if kind == "query" else 0.3)]
-    return normalized(F.array(*concepts, *hashed, *mode))
+
+    def of(t: Column) -> Column:
+        concepts = [sum((F.contains(t, F.lit(w)).cast("double") for w in words[1:]), F.contains(t, F.lit(words[0])).cast("double")) for _, words in CONCEPTS]
+        tokens = F.filter(F.regexp_extract_all(t, F.lit(r"[a-z0-9]+|[\u4e00-\u9fff]"), F.lit(0)), lambda w: ~w.isin(*EMBEDDER_STOP_WORDS))
+        # the hash mod 4 is its last hexadecimal digit mod 4
+        bucket = F.transform(tokens, lambda w: F.pmod(F.conv(F.right(F.sha1(w), F.lit(1)), 16, 10).cast("int"), F.lit(buckets)))
+        hashed = let(bucket, lambda b: F.array(*[F.size(F.filter(b, _equals(i))) * 0.25 for i in range(buckets)]))
+        return F.concat(F.array(*concepts), hashed, F.array(*mode))
+
+    return normalized(let(t, of))

@@ -128,17 +128,25 @@ def no_result_reason(status: DataFrame) -> DataFrame:
     return a.select("query_id", reason.alias("reason"))
 
 
-def min_max(score: str, by: Sequence[str] = ("query_id",)) -> Column:
-    """Scores scaled to 0..1 within their group; all 1 where they are equal."""
+def min_max(score: str, by: Sequence[str] = ("query_id",), low: Column | None = None) -> Column:
+    """Scores scaled to 0..1 within their group; all 1 where they are equal. low: a value that the least may not exceed."""
     w = Window.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
+    least, most = F.min(score).over(w), F.max(score).over(w)
+    if low is not None:
+        least, most = F.least(least, low), F.greatest(most, low)
+    return F.when(most == least, 1.0).otherwise((F.col(score) - least) / (most - least))
 
 
 def weighted_hybrid(dense_scores: DataFrame, lexical_scores: DataFrame, corpus: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """query_id, chunk_id, hybrid over the whole corpus: a missing score is 0 before scaling. corpus: query_id, chunk_id of all that counts."""
-    both = corpus.join(dense_scores.select("query_id", "chunk_id", F.col("score").alias("d")), ["query_id", "chunk_id"], "full").join(lexical_scores.select("query_id", "chunk_id", F.col("score").alias("l")), ["query_id", "chunk_id"], "full").fillna(0.0, ["d", "l"])
-    return both.select("query_id", "chunk_id", (alpha * min_max("d") + (1 - alpha) * min_max("l")).alias("hybrid"))
+    """query_id, chunk_id, hybrid of candidates of either route; a missing score is 0, and is so for all the corpus' other chunks.
+
+    The others need no rows: they only bring a 0 into the scaling of a query that doesn't have all chunks as candidates.
+    """
+    both = dense_scores.select("query_id", "chunk_id", F.col("score").alias("d")).join(lexical_scores.select("query_id", "chunk_id", F.col("score").alias("l")), ["query_id", "chunk_id"], "full").fillna(0.0, ["d", "l"])
+    size = corpus.agg(F.count_distinct("chunk_id").alias("all"))
+    both = both.crossJoin(F.broadcast(size)).withColumn("some", F.count(F.lit(1)).over(Window.partitionBy("query_id")))  # one row
+    zero = F.when(F.col("some") < F.col("all"), 0.0)
+    return both.select("query_id", "chunk_id", (alpha * min_max("d", low=zero) + (1 - alpha) * min_max("l", low=zero)).alias("hybrid"))
 
 
 def token_f1(query_tokens: Column, doc_tokens: Column) -> Column:

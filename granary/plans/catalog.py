@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from granary.plans import retrieval, text
+
+QUERIES: dict = {**retrieval.QUERIES, **text.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.SQL, **text.SQL}

@@ -65,7 +65,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class MultiIndex:
     """vectors: vec_id, v. codes: centroids a half; sample: rows that codebooks are fitted on; block: vectors searched together."""
 
-    def __init__(self, vectors: DataFrame, codes: int = 16, sample: int = 20_000, block: int = 4096) -> None:
+    def __init__(self, vectors: DataFrame, codes: int = 16, sample: int = 20_000, block: int = 1024) -> None:
         self.codes, self.block = codes, block
         context = vectors.sparkSession.sparkContext
         fitted = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]  # a bounded sample

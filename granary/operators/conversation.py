@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.text import estimate_tokens_mixed, strip
 
-TURN = Window.partitionBy("conv_id").orderBy("turn")
-BACK = Window.partitionBy("conv_id", "is_system").orderBy(F.desc("turn"))
+
+def _turns() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def _latest_first() -> WindowSpec:
+    return Window.partitionBy("conv_id", "is_system").orderBy(F.desc("turn"))
 
 
 def _marked(messages: DataFrame) -> DataFrame:
@@ -21,7 +26,7 @@ def _marked(messages: DataFrame) -> DataFrame:
 
 def recent(messages: DataFrame, n: int) -> DataFrame:
     """All system messages and the last n others. messages: conv_id, turn, role, text."""
-    return _marked(messages).withColumn("back", F.row_number().over(BACK)).where(F.col("is_system") | (F.col("back") <= n)).drop("is_system", "back")
+    return _marked(messages).withColumn("back", F.row_number().over(_latest_first())).where(F.col("is_system") | (F.col("back") <= n)).drop("is_system", "back")
 
 
 def buffered(messages: DataFrame, most: int) -> DataFrame:
@@ -32,7 +37,7 @@ def buffered(messages: DataFrame, most: int) -> DataFrame:
     """
     m = _marked(messages.withColumn("text", strip("text")).where("text != ''"))
     first = F.row_number().over(Window.partitionBy("conv_id", "is_system").orderBy("turn"))
-    m = m.withColumn("back", F.row_number().over(BACK)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id"))).withColumn("first", first)
+    m = m.withColumn("back", F.row_number().over(_latest_first())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id"))).withColumn("first", first)
     m = m.withColumn("systems", F.max(F.col("is_system").cast("int")).over(Window.partitionBy("conv_id")))
     room = F.greatest(F.lit(most) - F.col("systems"), F.lit(0))
     keep = F.when(F.col("n") <= most, True).when(F.col("is_system"), F.col("first") == 1).otherwise((room == 0) | (F.col("back") <= room))
@@ -51,12 +56,12 @@ def within_budget(messages: DataFrame, budget: int) -> DataFrame:
     """System messages and the latest others that fit the budget together; the first that doesn't ends it."""
     m = _marked(messages).withColumn("cost", message_cost())
     m = m.withColumn("system_cost", F.sum(F.when(F.col("is_system"), F.col("cost")).otherwise(0)).over(Window.partitionBy("conv_id")))
-    m = m.withColumn("running", F.sum("cost").over(BACK))  # costs are positive, so what fits is a run of the latest
+    m = m.withColumn("running", F.sum("cost").over(_latest_first()))  # costs are positive, so what fits is a run of the latest
     return m.where(F.col("is_system") | (F.col("running") + F.col("system_cost") + 2 <= budget)).select(messages.columns)
 
 
 def running_totals(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("turn_number", F.row_number().over(TURN)).withColumn("total_tokens", F.sum(message_cost()).over(TURN))
+    return messages.withColumn("turn_number", F.row_number().over(_turns())).withColumn("total_tokens", F.sum(message_cost()).over(_turns()))
 
 
 def daily_quota(usage: DataFrame, limit: int) -> DataFrame:

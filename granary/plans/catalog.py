@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import retrieval, text
+from granary.plans import retrieval, text, usage
 
-QUERIES: dict = {**retrieval.QUERIES, **text.QUERIES}
-ORACLE_SQL: dict[str, str] = {**retrieval.SQL, **text.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **text.QUERIES, **usage.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.SQL, **text.SQL, **usage.SQL}

@@ -275,3 +275,86 @@ def test_small_operators(spark):
     assert [r.id for r in spark.range(20).where(routing.is_prime(F.col("id"))).collect()] == [2, 3, 5, 7, 11, 13, 17, 19]
     gaps = routing.sequence_gaps(spark.createDataFrame([("r", 1), ("r", 2), ("r", 4)], "run_id string, sequence int"))
     assert [r.sequence for r in gaps.collect()] == [4]
+
+
+def test_prompting(spark):
+    from granary.functions import prompting
+
+    a = one(spark, prompting.audit_prompt(F.lit("你是助手。任务：总结。必须输出 JSON，不要编造。")))
+    assert (a.role, a.task, a.constraints, a.output_format, a.negative_constraints, a.context, a.examples, a.score) == (True, True, True, True, True, False, False, 5)
+    assert one(spark, prompting.relevance(F.lit("refund trial"), F.lit("How a refund works"))) == round(0.55 * 0.5 + 0.2 * 0.5 + 0.08, 3)
+    assert one(spark, prompting.relevance(F.lit(" "), F.lit("x"))) == 0
+    context_text = "[S1] a\nRefund takes days. Other.\n\n[S2] b\nTrial is free."
+    assert [tuple(b) for b in one(spark, prompting.context_blocks(F.lit(context_text)))] == [("S1", "Refund takes days. Other."), ("S2", "Trial is free.")]
+    said = one(spark, prompting.extractive_answer(F.lit("refund?"), F.lit(context_text)))
+    assert said == "根据检索到的内容，Refund takes days. [S1]；补充信息：Trial is free. [S2]"
+    assert one(spark, prompting.extractive_answer(F.lit("x"), F.lit(""))) == prompting.NO_ANSWER
+    assert one(spark, prompting.used_results(prompting.answer_labels(F.lit("b [S2] [S2] [S9]")), F.array(F.lit("x"), F.lit("y")))) == ["y"]
+    assert one(spark, prompting.numbered_sources(F.array(F.struct(F.lit("s").alias("source"), F.lit("t").alias("title"), F.lit("c").alias("content"))))) == "[来源1] source=s title=t content=c"
+
+
+def test_records(spark, tmp_path):
+    from granary.sources import records
+
+    (tmp_path / "g.json").write_text(json.dumps([{"case_id": "a", "question": "q", "expected_sources": ["x"]}, {"case_id": "b", "question": "q", "should_refuse": True}]))
+    g = records.golden_set(spark, str(tmp_path / "g.json"))
+    assert records.golden_summary(g).first().asDict() == {"total_cases": 2, "retrieval_cases": 0, "answerable_cases": 1, "refusal_cases": 1, "cases_with_expected_sources": 1}
+    (tmp_path / "e.json").write_text(json.dumps([{"config_id": "c", "label": "l", "top_k": 9}]))
+    e = records.experiments(spark, str(tmp_path / "e.json")).first()
+    assert (e.top_k, e.candidate_k, e.strategy, e.rerank) == (9, 4, "similarity", False)
+    (tmp_path / "r.json").write_text(json.dumps([{"case_id": "a", "question": "q", "expected_chunk_ids": []}]))
+    with pytest.raises(Exception, match="no expected chunks"):
+        records.evaluation_cases(spark, str(tmp_path / "r.json")).collect()
+    assert records.resolved({"a": ["${X:-d}", "${Y}"]}, {"Y": "1"}) == {"a": ["d", "1"]}
+    assert records.prompt([{"prompt_id": "p", "version": "10.0.0"}, {"prompt_id": "p", "version": "9.0.0"}], "p")["version"] == "9.0.0"
+    results = spark.createDataFrame([("a", "mmr", "x", 1, "f"), ("a", "mmr", "y", 2, "f")], "case_id string, strategy string, chunk_id string, rank int, filename string")
+    want = "case_id string, strategy string, top_chunk_id string, count int, empty boolean, filename string, must_include array<string>, max_redundancy double, redundancy double"
+    expected = spark.createDataFrame([("a", "mmr", "y", 2, False, "f", ["x", "z"], 0.5, 0.4), ("b", "mmr", None, 0, True, None, None, None, None), ("c", "mmr", *[None] * 7)], want)
+    assert {(r.case_id, r.status, tuple(r.failures)) for r in records.bad_case_checks(results, expected).collect()} == {("a", "fail", ("top_chunk_id", "must_include")), ("b", "pass", ()), ("c", "info", ())}
+
+
+def test_fixed_hybrid(spark):
+    from granary.operators import hybrid
+
+    scores = lambda *rows: spark.createDataFrame(list(rows), "query_id int, chunk_id string, score double")
+    lexical = lambda: scores((1, "a", 0.9), (1, "b", 0.5), (1, "c", 0.1))
+    dense = lambda: scores((1, "b", 0.1), (1, "d", 0.9))
+    out = hybrid.fixed_hybrid(lexical, dense, hybrid.HybridConfig(lexical_candidate_k=2, dense_max_distance=0.5, final_top_k=1))
+    assert [r.status for r in out.routes] == ["ran", "ran"] and not out.partial
+    assert [(r.chunk_id, r.selected) for r in out.fused.orderBy("fusion_rank").collect()] == [("b", True), ("a", False)]
+    failing = lambda: lexical().select("query_id", "chunk_id", F.raise_error(F.lit("down")).cast("double").alias("score"))
+    out = hybrid.fixed_hybrid(failing, dense, hybrid.HybridConfig())
+    assert [r.status for r in out.routes] == ["failed", "ran"] and out.partial and out.fused.count() == 2
+    assert hybrid.fixed_hybrid(failing, failing, hybrid.HybridConfig()).fused is None
+    assert hybrid.run_route("lexical", lambda: lexical().where("false"), 5, True, None).status == "empty"
+    with pytest.raises(ValueError):
+        hybrid.HybridConfig(dense_max_distance=3)
+    texts = lexical().withColumn("t", F.when(F.col("chunk_id") == "c", 1.0).otherwise(0.0)).drop("score")
+    got = hybrid.smart_retrieve(lexical(), hybrid.EngineConfig(top_k=1, fetch_k=3, rerank=True), rerank_score=F.col("t"), texts=texts).collect()
+    assert [(r.chunk_id, r.rank) for r in got] == [("c", 1)]
+    assert [r.chunk_id for r in hybrid.smart_retrieve(lexical(), hybrid.EngineConfig("threshold", score_threshold=0.5)).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_retries_and_fallbacks(spark):
+    from granary.operators import hybrid
+
+    rows = [("r", 0, 1, False, "timeout"), ("r", 0, 2, False, "timeout"), ("r", 1, 1, True, None), ("r", 1, 2, True, None), ("s", 0, 1, False, "auth_error"), ("s", 0, 2, True, None), ("s", 1, 1, True, None), ("t", 0, 1, True, None), ("t", 0, 2, False, "timeout")]
+    df = spark.createDataFrame(rows, "request_id string, config_index int, attempt int, ok boolean, error_code string")
+    made = sorted((r.request_id, r.config_index, r.attempt) for r in hybrid.reliable_attempts(df).collect())
+    assert made == [("r", 0, 1), ("r", 0, 2), ("r", 1, 1), ("s", 0, 1), ("t", 0, 1)]
+    assert [one(spark, hybrid.backoff_seconds(F.lit(n))) for n in (1, 2, 6)] == [0.5, 1.0, 8.0]
+
+
+def test_streams(spark, tmp_path):
+    from granary.streaming import events
+
+    rows = [(1, 1, "system", "s"), (1, 2, "user", "a"), (1, 3, "assistant", "b"), (1, 4, "user", "c"), (2, 1, "user", " ")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(str(tmp_path / "m"))
+    got = {r.conv_id: r.messages for r in events.drained(events.rolling_history(stream, 3), "history_test", "update").collect()}
+    assert got == {1: ["system: s", "assistant: b", "user: c"], 2: []}
+    lines = events.sse_lines(spark.createDataFrame([("r", 1, "token", "x")], "run_id string, sequence int, type string, delta string")).first().value
+    assert lines.startswith("id: r:1\nevent: token\ndata: {") and lines.endswith("}\n\n")
+    logs = spark.createDataFrame([("INFO", "a"), ("ERROR", "b")], "level string, message string")
+    events.write_logs(logs, str(tmp_path / "out"), str(tmp_path / "err"))
+    assert spark.read.json(str(tmp_path / "err")).first().message == "b"

@@ -57,7 +57,7 @@ def _counts(block: object) -> Callable:
         terms = block.value
         for batch in batches:
             data, at = strings(batch.column(0))
-            for a, b in slabs(np.diff(at), 1 << 22):
+            for a, b in slabs(np.diff(at), 1 << 18):
                 where, found = _members(terms_of(data, at[a : b + 1])[0], terms)
                 n = np.bincount(where[found], minlength=len(terms))
                 some = np.flatnonzero(n)
@@ -83,7 +83,7 @@ def _index(block: object, width: int) -> Callable:
         terms, room = block.value, width - 1
         for batch in batches:
             data, at = strings(batch.column("text"))
-            for a, b in slabs(np.diff(at), 1 << 22):
+            for a, b in slabs(np.diff(at), 1 << 18):
                 codes, to = terms_of(data, at[a : b + 1])
                 place = np.flatnonzero(_members(codes, terms)[1])
                 row = np.searchsorted(to, place, "right") - 1

@@ -72,7 +72,7 @@ def _counts(shared: object) -> Callable:
         for batch in batches:
             data, at = strings(batch.column("text"))
             good = labels.is_good(batch.column("doc_id"))
-            for a, b in slabs(np.diff(at), 1 << 22):
+            for a, b in slabs(np.diff(at), 1 << 18):
                 term, row, pair, pair_row = grams(data, at[a : b + 1])
                 for i, which in enumerate((slice(None), good[a:b][pair_row])):
                     pairs[i] += np.bincount(pair[which], minlength=1 << PAIR_BITS)
@@ -114,7 +114,7 @@ class Model:
         """Two log weights a document."""
         data, at = strings(text)
         good, out = self.labels.is_good(ids), np.zeros((len(ids), 2))
-        for a, b in slabs(np.diff(at), 1 << 22):
+        for a, b in slabs(np.diff(at), 1 << 18):
             term, row, pair, pair_row = grams(data, at[a : b + 1])
             n = b - a
             where = np.minimum(np.searchsorted(self.buckets, term), max(0, len(self.buckets) - 1))

@@ -109,6 +109,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_CODE = mix(np.arange(1, 258, dtype=np.uint64) * K1)
 _BASE = 0xD6E8FEB86659FD93
+BLOCK = 1 << 21
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -130,7 +131,19 @@ def spans_of(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, alike wherever the span stands."""
+    """64-bit hash of each byte span, alike wherever the span stands. Spans are in order and apart."""
+    if len(data) <= BLOCK:
+        return _span_hashes(data, starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # a very long text in blocks, for memory
+        j = int(np.searchsorted(starts, starts[i] + BLOCK))
+        low = starts[i]
+        out[i:j] = _span_hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * down[: len(data)], out=sums[1:])

@@ -83,6 +83,19 @@ select doc_id, len(words)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_
   sha256(array_to_string(case when ps is null then words else list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: not list_contains(ps, x[2])), lambda x: x[1]) end, ' ')) as kept_sha256
 from w left join lists using (doc_id)"""
 
+#: Bytes as pairs of hexadecimal digits; runs of repeated windows, and what stands between them.
+_OP3 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+g as (select doc_id, i, md5(substring(h, 2 * i - 1, 200)) as body from (select doc_id, h, unnest(range(1, n - 98)) as i from d)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by body order by doc_id, i) as k from g) where k > 1),
+c as (select doc_id, i, max(i + 100) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as upto from r),
+s as (select doc_id, i, sum((upto is null or i > upto)::int) over (partition by doc_id order by i) as run from c),
+runs as (select doc_id, run, min(i) as a, max(i) + 100 as b from s group by all),
+t as (select doc_id, count(*) as n_spans, sum(b - a) as gone, list({'a': a, 'b': b} order by a) as rs from runs group by doc_id),
+k as (select d.doc_id, n, coalesce(gone, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, case when rs is null then h else
+  array_to_string(list_transform(range(0, len(rs) + 1), lambda j: substring(h, 2 * (case when j = 0 then 1 else rs[j].b end) - 1, 2 * ((case when j = len(rs) then n + 1 else rs[j + 1].a end) - (case when j = 0 then 1 else rs[j].b end)))), '') end as kept from d left join t using (doc_id))
+select doc_id, n as n_bytes, n_removed, n_spans, sha256(unhex(kept)) as kept_sha256 from k"""
+
 _OP7 = rf"""
 with b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
@@ -107,4 +120,4 @@ c as (select doc_id as x, doc_id as y from documents union select c.x, e.b from
 select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(y) as component_id, doc_id = min(y) as kept
 from documents left join n using (doc_id) join c on c.x = doc_id group by doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_dedup": _OP3, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9}

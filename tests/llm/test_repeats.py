@@ -109,3 +109,13 @@ def test_automaton_matching_statistics():
         got = dict(a.statistics(row, 4))
         want = {i: min((n, j) for n, x in enumerate(rows) for j in range(3, len(x)) if x[j - 3 : j + 1] == row[i - 3 : i + 1]) for i in range(3, len(row))}
         assert got == want
+
+
+def test_hashes_in_blocks(monkeypatch):
+    from granary.llm import common
+
+    data = np.frombuffer(b" ".join(b"w%d" % (i % 50) for i in range(3000)), np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]), ~common.SPACE)
+    whole = common.span_hashes(data, starts, ends)
+    monkeypatch.setattr(common, "BLOCK", 100)
+    assert (common.span_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 50

@@ -22,7 +22,8 @@ AUDIT = {
     "examples": r"(?s)示例|例子|few-shot|输入：.+输出：",
 }
 TOKEN = r"[a-z0-9]+|[一-鿿]"
-NO_ANSWER = "根据当前检索到的内容，无法回答这个问题。"
+#: Fixed refusal.
+NO_ANSWER = "我不知道。当前检索到的内容不足以支持这个问题。"
 
 
 def audit_prompt(prompt: Column | str) -> Column:

@@ -62,10 +62,10 @@ def bm25(queries: DataFrame, docs: DataFrame, query_terms: Column, doc_terms: Co
     lists = postings(docs, doc_terms).join(wanted, "term", "left_semi")
     df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_statistics(lists, lengths)
-    scored = q.join(lists, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
+    weighted = lists.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # one row of statistics
+    return q.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
 
 
 def ts_rank(queries: DataFrame, docs: DataFrame, query_lexemes: Column, doc_lexemes: Column, weight: float = 0.1, most_places: int = 256) -> DataFrame:
@@ -73,8 +73,9 @@ def ts_rank(queries: DataFrame, docs: DataFrame, query_lexemes: Column, doc_lexe
     q = queries.select("query_id", F.array_distinct(query_lexemes).alias("lexemes")).withColumn("size", F.size("lexemes")).select("query_id", "size", F.explode("lexemes").alias("term"))
     lists = postings(docs, doc_lexemes).join(q.select("term").distinct(), "term", "left_semi")
     squares = F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(most_places)).cast("int")), F.lit(0.0), lambda a, j: a + 1 / (j * j).cast("double"))
-    joined = q.join(lists, "term").withColumn("part", squares * weight / 1.64493406685)
-    return joined.groupBy("query_id", "doc_id", "size").agg(F.sum("part").alias("total"), F.array_sort(F.collect_set("term")).alias("matched_terms")).select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), "matched_terms")
+    weighted = lists.select("term", "doc_id", (squares * weight / 1.64493406685).alias("w"))  # once a posting, not once a question
+    scored = q.join(weighted, "term").groupBy("query_id", "doc_id", "size").agg(F.sum("w").alias("total"), F.collect_list("term").alias("terms"))
+    return scored.select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), F.array_sort("terms").alias("matched_terms"))
 
 
 def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -159,6 +159,10 @@ SQL = {
     "bm25_tokens": f"""with t as (select item_id, regexp_replace(lower(text), '[{_W}\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ffef}}，。！？、；：""''''（）【】]+', '', 'g') as t from benchmark)
       select item_id, md5(array_to_string(list_concat(list_transform(range(1, length(t) + 1), lambda i: substring(t, i, 1)), list_transform(range(1, length(t)), lambda i: substring(t, i, 2))), '|')) as md5 from t""",
     "keyword_extraction": r"select doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_./-]+|[\x{4e00}-\x{9fff}]{2,8}')), lambda x: length(x) > 1)) as n from documents",
+    "segment_scores": f"""with l as (select doc_id, list_transform({_LINES}, lambda x: {_STRIP("x")}) as ls from documents),
+      p as (select doc_id, list_filter(flatten(list_transform(ls, lambda x: case when length(x) <= 120 then [x] else list_transform(string_split(regexp_replace(x, '([。；;.!?？])', '\\1' || chr(1), 'g'), chr(1)), lambda y: {_STRIP("y")}) end)), lambda x: x <> '') as ss from l),
+      s as (select doc_id, unnest(ss) as segment, generate_subscripts(ss, 1) - 1 as i from p) select doc_id, i, length(segment) as n, contains(segment, 'the')::int + contains(segment, 'que')::int + contains(segment, 'der')::int as score from s""",
+    "sentence_counts": f"""select doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？.!?])[{_W}]+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: {_STRIP("x")}), lambda x: x <> '')) as sentences from documents""",
     "token_estimates": f"select doc_id, case when length({_STRIP('text')}) = 0 then 0 else greatest(1, length({_STRIP('text')}) // 2) end as half, {_MIXED('text')} as mixed from documents",
     "preview_text": f"with t as (select doc_id, {_STRIP(f'regexp_replace(text, ' + chr(39) + '[' + _W + ']+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} as t from documents) select doc_id, case when length(t) > 120 then substring(t, 1, 120) || '...' else t end as preview from t",
     "stream_pieces": "select conv_id, turn, (length(text) // 18) * 4 + case when length(text) % 18 = 0 then 0 when length(text) % 18 <= 4 then 1 when length(text) % 18 <= 9 then 2 when length(text) % 18 <= 12 then 3 else 4 end as pieces, substring(text, 5, 5) as second from conversations",

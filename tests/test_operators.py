@@ -358,3 +358,35 @@ def test_streams(spark, tmp_path):
     logs = spark.createDataFrame([("INFO", "a"), ("ERROR", "b")], "level string, message string")
     events.write_logs(logs, str(tmp_path / "out"), str(tmp_path / "err"))
     assert spark.read.json(str(tmp_path / "err")).first().message == "b"
+
+
+def test_values(spark):
+    from granary.functions import values
+
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert one(spark, values.pieces(arr(1, 2, 3, 4, 5), 2)) == [[1, 2], [3, 4], [5]] and one(spark, values.total(values.squares(values.evens(arr(1, 2, 4))))) == 20
+    assert one(spark, values.best_key(values.zipped(arr("b", "a", "c"), arr(3, 3, 1)))) == "a" and one(spark, values.fibonacci(7)) == [0, 1, 1, 2, 3, 5, 8]
+    assert one(spark, values.iso_utc(values.parsed_time(F.lit("2024-01-02 03:04:05")))) == "2024-01-02T03:04:05.000+00:00" and one(spark, values.parsed_time(F.lit("x"))) is None
+    assert one(spark, values.is_superset(arr(1, 2), arr(2))) and one(spark, values.body_mass_index(F.lit(70.0), F.lit(1.75))) == 22.86
+
+
+def test_providers(spark):
+    from granary.operators import providers
+
+    df = spark.createDataFrame([("a",), ("bb",)], "text string")
+    got = providers.embedded(df, lambda: lambda texts: [[len(t), 1.0] for t in texts], 2).collect()
+    assert [r.vector for r in got] == [[1.0, 1.0], [2.0, 1.0]]
+
+    def chat():
+        def say(p):
+            if p == "bad":
+                raise TimeoutError
+            return p.upper()
+
+        return say
+
+    cases = spark.createDataFrame([("1", "hi"), ("2", "bad"), ("3", "no")], "case_id string, prompt string")
+    assert [(r.answer, r.error, r.ok) for r in providers.harness(cases, chat, F.col("answer") == "HI").orderBy("case_id").collect()] == [("HI", None, True), (None, "TimeoutError", False), ("NO", None, False)]
+    assert one(spark, providers.called(F.lit("calculator"), F.lit("2*3"))) == "6.0" and one(spark, providers.called(F.lit("none"), F.lit("x"))) is None
+    docs = [("d1", "one"), ("d2", "two one")]
+    assert [r.doc_id for r in providers.mock_retrieve(spark, docs, ["two", "one"]).collect()] == ["d2", "d1"] and [r.doc_id for r in providers.mock_retrieve(spark, docs, ["zz"]).collect()] == ["d1"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import BYTE_CODE, K1, SPACE, mix, pick, slabs, span_hashes, spans_of, stir, stored, strings, word_spans
 
-SLAB = 1 << 20
+SLAB = 1 << 17
 PLACE_BITS = 40
 PLACE = (1 << PLACE_BITS) - 1
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -233,14 +233,18 @@ def _spans(unit: Unit) -> Callable:
         for batch in batches:
             data, at = strings(batch.column("text"))
             ids, tags = batch.column("doc_id").to_numpy(), _tags(batch.column("tag"))
+            parts, spans = [], []
             for i, found in enumerate(batch.column("found")):
                 text = data[at[i] : at[i + 1]]
                 codes = symbols(text, np.array([0, len(text)]), True)[0] if unit.words else text
                 places, keys, contexts = (found.values.field(k).to_numpy() for k in ("p", "h", "n"))
                 starts = np.maximum(0, places - unit.reach)
-                spans = [codes[a:b].tobytes() for a, b in zip(starts.tolist(), (places + unit.width).tolist(), strict=True)]
-                m = len(places)
-                yield pa.record_batch({"key": keys, "doc_id": np.full(m, ids[i]), "place": places | tags[i], "before": (places - starts).astype(np.int32), "low": np.zeros(m, np.int32), "high": np.full(m, unit.reach, np.int32), "span": pa.array(spans, pa.binary()), "contexts": contexts})
+                spans += [codes[a:b].tobytes() for a, b in zip(starts.tolist(), (places + unit.width).tolist(), strict=True)]
+                parts.append((keys, np.full(len(places), ids[i]), places | tags[i], places - starts, contexts))
+                if len(spans) > 20_000 or i == len(ids) - 1:
+                    key, doc, place, before, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.record_batch({"key": key, "doc_id": doc, "place": place, "before": before.astype(np.int32), "low": np.zeros(len(key), np.int32), "high": np.full(len(key), unit.reach, np.int32), "span": pa.array(spans, pa.binary()), "contexts": n})
+                    parts, spans = [], []
 
     return f
 

@@ -2,7 +2,8 @@
 
 A fixed number of bins is open. A bitset has a bit for each free space that some open bin has, so the tightest bin that
 a piece fits into is one shift and one lowest set bit. When a bin more is needed than may be open, the fullest closes.
-Each partition packs its own pieces in the order it reads them, so memory is the open bins and one batch.
+Each partition packs its own pieces as it reads them, in batches of 256 documents, the longest of a batch first; memory is
+the open bins and one batch.
 """
 
 from __future__ import annotations
@@ -149,8 +150,10 @@ def _packed(path: str, size: int, end: int, open_bins: int, with_ids: bool) -> C
                     made += close
                     for k, start in enumerate(range(0, len(made), 4 * size)):
                         piece = made[start : start + 4 * size]
-                        number, offset = bins.place(len(piece) // 4)
-                        out.append((ids[i], k, start // 4, len(piece) // 4, zlib.crc32(piece), task + number, offset, np.frombuffer(piece, "<i4") if with_ids else None))
+                        out.append([ids[i], k, start // 4, len(piece) // 4, zlib.crc32(piece), 0, 0, np.frombuffer(piece, "<i4") if with_ids else None])
+                for row in sorted(out, key=lambda r: -r[3]):  # the longest of a batch first
+                    number, row[6] = bins.place(row[3])
+                    row[5] = task + number
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int32()))
                 names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -82,7 +82,7 @@ class MultiIndex:
     def _blocks(self) -> dict[int, int]:
         return {c: -(-n // self.block) for c, n in self.counts.items()}
 
-    def search(self, queries: DataFrame, k: int = 10, share: float = 0.6, least: int = 2000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, share: float = 0.7, least: int = 2000) -> DataFrame:
         """query_id, rank, vec_id, score of the k nearest entries of each query's cells, its own id left out.
 
         Cells are taken until they hold the share of all entries, and least of them (all, if fewer).
@@ -151,7 +151,7 @@ def _nearest(k: int) -> Callable:
     return f
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.6, codes: int = 16) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.7, codes: int = 16) -> DataFrame:
     """For every row whose vec_id is divisible by every, its k nearest others: query_id, rank, vec_id, score (Euclidean distance).
 
     Ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do

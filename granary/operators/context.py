@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed: the section of each source type, and its weight in ranking.
@@ -198,8 +198,46 @@ def citation_membership(claims: DataFrame, allowed: DataFrame) -> DataFrame:
     return claims.join(ok, ["request_id", "source_id"], "left").withColumn("status", F.when(F.col("known"), "candidate").otherwise("unknown_source")).drop("known")
 
 
-def context_candidates(fused: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fused candidates as context sources: current evidence and historical reviews; all else is left out. Earlier ranks have higher priority."""
-    kind = F.when(F.col("evidence_eligibility") == "current_evidence", "evidence").when(F.col("evidence_eligibility") == "historical_review", "history_review")
-    c = fused.join(chunks, "chunk_id").withColumn("source_type", kind).where("source_type is not null")
-    return c.select("query_id", F.col("chunk_id").alias("source_id"), "source_type", F.concat_ws(" · ", F.concat_ws("@", "document_id", "document_version"), "locator").alias("title"), F.col("text").alias("content"), F.greatest(F.lit(1), 1000 - F.col("fusion_rank")).alias("priority"), F.format_string("%.8f", "rrf_score").alias("rrf_score"))
+def route_rank_text(contributions: Column) -> Column:
+    return F.array_join(F.transform(contributions, lambda c: F.concat(c["route_name"], F.lit(":"), c["route_rank"].cast("string"))), ",")
+
+
+def native_score_text(contributions: Column, higher: dict[str, bool], names: dict[str, str]) -> Column:
+    """Each route's own score, and which way it is better. higher and names: by route."""
+    of = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    way = F.transform(contributions, lambda c: F.concat(c["route_name"], F.lit("."), of(names)[c["route_name"]], F.lit("="), F.format_string("%.8f", c["native_score"]), F.when(of(higher)[c["route_name"]], "(higher)").otherwise("(lower)")))
+    return F.array_join(way, ";")
+
+
+def mapped_candidates(fused: DataFrame, chunks: DataFrame, config_ref: str, higher: dict[str, bool], names: dict[str, str]) -> DataFrame:
+    """Fused candidates as context sources, with what became of each: outcome and reason. Excluded ones have no source.
+
+    fused: as reciprocal_rank_fusion gives it; chunks: chunk_id, text, document_id, document_version, source_role,
+    evidence_eligibility, locators (array). Earlier ranks have higher priority, and no score is made up.
+    """
+    e = F.col("evidence_eligibility")
+    first = F.when(F.size("locators") > 0, F.element_at("locators", 1)).otherwise(F.raise_error(F.concat(F.lit("a candidate without source spans: "), "chunk_id")).cast("string"))
+    c = fused.join(chunks, "chunk_id").withColumn("locators", F.array_distinct("locators")).withColumn("first", first)
+    c = c.withColumn("source_type", F.when(e == "current_evidence", "evidence").when(e == "historical_context", "history_review").otherwise("other"))
+    c = c.withColumn("outcome", F.when(F.col("source_type") == "other", "excluded").otherwise("mapped"))
+    reason = F.when(F.col("source_type") == "evidence", "mapped_as_current_evidence").when(F.col("source_type") == "history_review", "mapped_as_history").otherwise("excluded_ineligible_source")
+    said = {
+        "chunk_id": F.col("chunk_id"), "document_id": F.col("document_id"), "document_version": F.col("document_version"), "source_role": F.col("source_role"), "evidence_eligibility": e,
+        "source_locators": F.array_join("locators", " | "), "fusion_rank": F.col("fusion_rank").cast("string"), "rrf_score": F.format_string("%.8f", "rrf_score"),
+        "route_ranks": route_rank_text(F.col("contributions")), "native_scores": native_score_text(F.col("contributions"), higher, names), "retriever_config_ref": F.lit(config_ref),
+    }
+    metadata = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
+    title = F.concat(F.col("document_id"), F.lit("@"), F.col("document_version"), F.lit(" · "), F.col("first"))
+    return c.select("query_id", F.col("chunk_id").alias("source_id"), "source_type", title.alias("title"), F.col("text").alias("content"), F.greatest(F.lit(1), 1000 - F.col("fusion_rank")).alias("priority"), F.lit(None).cast("double").alias("score"), metadata.alias("metadata"), F.col("fusion_rank").alias("place"), "outcome", reason.alias("reason"))
+
+
+def rag_contexts(requests: DataFrame, mapped: DataFrame, policy: ContextPolicy, more: DataFrame | None = None) -> DataFrame:
+    """Contexts of mapped candidates (request_id for query_id) and more sources, whose ids may not be candidates' too."""
+    columns = ["request_id", "place", "source_id", "source_type", "title", "content", "priority", "score", "metadata"]
+    sources = mapped.where("outcome = 'mapped'").withColumnRenamed("query_id", "request_id").select(columns)
+    if more is not None:
+        both = sorted(r.source_id for r in more.join(sources, ["request_id", "source_id"], "left_semi").select("source_id").distinct().limit(20).collect())
+        if both:
+            raise ValueError("sources that are candidates too: " + ", ".join(both))
+        sources = sources.unionByName(more.withColumn("place", F.col("place") + 1_000_000).select(columns))
+    return build_contexts(requests, sources, policy)

@@ -51,7 +51,7 @@ def recommend_solution() -> Column:
 
 def eligibility_outcome(eligibility: Column | str) -> Column:
     e = col(eligibility)
-    return F.when(e == "current_evidence", F.struct(F.lit("evidence").alias("source_type"), F.lit("mapped").alias("outcome"))).when(e == "historical_review", F.struct(F.lit("history_review").alias("source_type"), F.lit("mapped").alias("outcome"))).otherwise(F.struct(F.lit("other").alias("source_type"), F.lit("excluded").alias("outcome")))
+    return F.when(e == "current_evidence", F.struct(F.lit("evidence").alias("source_type"), F.lit("mapped").alias("outcome"))).when(e == "historical_context", F.struct(F.lit("history_review").alias("source_type"), F.lit("mapped").alias("outcome"))).otherwise(F.struct(F.lit("other").alias("source_type"), F.lit("excluded").alias("outcome")))
 
 
 def filtered_books(books: DataFrame, tag: str | None = None, words: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
@@ -92,3 +92,10 @@ def is_prime(n: Column) -> Column:
 
 def safe_divide(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(default))
+
+
+def plan_nodes(df: DataFrame) -> list[str]:
+    """Names of a query's physical operators, top first."""
+    import re
+
+    return re.findall(r"^[ :+\-*()\d]*([A-Z]\w+)", df._jdf.queryExecution().executedPlan().toString(), re.MULTILINE)

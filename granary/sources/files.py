@@ -213,7 +213,7 @@ def load_elements(files: DataFrame, manifest: DataFrame, max_bytes: int = MAX_BY
     ordinals count the others.
     """
     known = inspected(files, max_bytes).join(manifest, "path")
-    refused = F.when((F.col("source_role") == "historical") & (F.col("evidence_eligibility") == "current_evidence"), "HISTORICAL_AS_CURRENT")
+    refused = F.when((F.col("source_role") == "historical_material") & (F.col("evidence_eligibility") == "current_evidence"), "HISTORICAL_AS_CURRENT")
     known = known.withColumn("error_code", F.coalesce(refused, "error_code")).withColumn("error_stage", F.when(refused.isNotNull(), "validate").otherwise(F.col("error_stage")))
     parsed = known.where("error_code is null").select("document_id", "document_version", "file_format", "content").mapInPandas(_parsed, PARSED)
     cleaned = text.clean_text(parsed.where("error_code is null"), "text", "clean", "cleaning_actions").where("clean != ''")

@@ -234,7 +234,7 @@ def test_files_to_elements(spark, tmp_path):
     (tmp_path / "f.docx").write_bytes(b"PKbroken")
     (tmp_path / "g.txt").write_text("old")
     f = files.read_files(spark, str(tmp_path))
-    role = F.when(F.col("path").endswith("g.txt"), "historical").otherwise("current")
+    role = F.when(F.col("path").endswith("g.txt"), "historical_material").otherwise("reference_knowledge")
     manifest = f.select("path", F.regexp_extract("path", r"(\w)\.\w+$", 1).alias("document_id"), F.lit("1").alias("document_version"), role.alias("source_role"), F.lit("current_evidence").alias("evidence_eligibility"))
     elements, failures = files.load_elements(f, manifest)
     got = {}
@@ -390,3 +390,20 @@ def test_providers(spark):
     assert one(spark, providers.called(F.lit("calculator"), F.lit("2*3"))) == "6.0" and one(spark, providers.called(F.lit("none"), F.lit("x"))) is None
     docs = [("d1", "one"), ("d2", "two one")]
     assert [r.doc_id for r in providers.mock_retrieve(spark, docs, ["two", "one"]).collect()] == ["d2", "d1"] and [r.doc_id for r in providers.mock_retrieve(spark, docs, ["zz"]).collect()] == ["d1"]
+
+
+def test_candidates_become_sources(spark):
+    routes = {n: spark.createDataFrame([("q", "a", 1, 0.5), ("q", "b", 2, 0.4), ("q", "c", 3, 0.3)], "query_id string, chunk_id string, rank int, score double") for n in ("lexical", "dense")}
+    chunks = spark.createDataFrame([("a", "current_evidence"), ("b", "historical_context"), ("c", "ineligible")], "chunk_id string, evidence_eligibility string").select("*", F.lit("body").alias("text"), F.lit("d").alias("document_id"), F.lit("1").alias("document_version"), F.lit("rules").alias("source_role"), F.array(F.lit("lines=1"), F.lit("lines=1"), F.lit("lines=3")).alias("locators"))
+    mapped = context.mapped_candidates(retrieval.reciprocal_rank_fusion(routes), chunks, "ref", {"lexical": True, "dense": False}, {"lexical": "fts_rank", "dense": "cosine_distance"})
+    got = mapped.orderBy("place").collect()
+    assert [(r.source_type, r.outcome, r.priority) for r in got] == [("evidence", "mapped", 999), ("history_review", "mapped", 998), ("other", "excluded", 997)]
+    assert got[0].title == "d@1 · lines=1" and got[0].metadata["source_locators"] == "lines=1 | lines=3" and got[0].metadata["route_ranks"] == "dense:1,lexical:1"
+    assert got[0].metadata["native_scores"] == "dense.cosine_distance=0.50000000(lower);lexical.fts_rank=0.50000000(higher)" and len(got[0].metadata) == 11
+    requests = spark.createDataFrame([("q", "need it")], "request_id string, requirement string")
+    out = context.rag_contexts(requests, mapped, context.POLICIES["full_context"])
+    assert {(r.source_id, r.status, r.reason) for r in out.collect()} == {("a", "included", "whole"), ("b", "dropped", "duplicate_content")}
+    assert context.rendered_sections(out).where("section = 'evidence'").first().content.startswith("[a] d@1")
+    with pytest.raises(ValueError, match="candidates too: a"):
+        context.rag_contexts(requests, mapped, context.POLICIES["full_context"], mapped.where("source_id = 'a'").withColumnRenamed("query_id", "request_id"))
+    assert "LocalTableScan" in routing.plan_nodes(chunks) or "Project" in routing.plan_nodes(chunks)

@@ -407,3 +407,21 @@ def test_candidates_become_sources(spark):
     with pytest.raises(ValueError, match="candidates too: a"):
         context.rag_contexts(requests, mapped, context.POLICIES["full_context"], mapped.where("source_id = 'a'").withColumnRenamed("query_id", "request_id"))
     assert "LocalTableScan" in routing.plan_nodes(chunks) or "Project" in routing.plan_nodes(chunks)
+
+
+def test_schema_checks(spark):
+    from granary import schema
+
+    good = spark.createDataFrame([("parent", 1, 1, None), ("child", 2, 1, "p")], "kind string, ordinal int, token_count int, parent_chunk_id string")
+    assert schema.checked_chunks(good).count() == 2 and len(schema.checked_chunks(good).collect()) == 2
+    for bad in (("other", 1, 1, None), ("child", 1, 1, None), ("parent", 0, 1, None)):
+        with pytest.raises(Exception, match="bad|can't be"):
+            schema.checked_chunks(spark.createDataFrame([bad], good.schema)).collect()
+    v = spark.createDataFrame([("a", 2, [0.0, 1.0])], "chunk_id string, embedding_dimensions int, embedding array<float>")
+    assert schema.checked_vectors(v).first().embedding == [0.0, 1.0]
+    with pytest.raises(Exception, match="bad vector of a"):
+        schema.checked_vectors(v.withColumn("embedding_dimensions", F.lit(3))).collect()
+    e = spark.createDataFrame([("d", "1", 2, "b"), ("d", "1", 1, "a")], "document_id string, document_version string, ordinal int, text string")
+    assert schema.document_text(e).first().text == "a\n\nb"
+    empty = spark.createDataFrame([], schema.CHUNKS)
+    assert "lexemes" in empty.columns

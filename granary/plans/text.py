@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import identity, safety, structured

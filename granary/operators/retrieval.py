@@ -152,10 +152,13 @@ def weighted_hybrid(dense_scores: DataFrame, lexical_scores: DataFrame, corpus:
 
 def token_f1(query_tokens: Column, doc_tokens: Column) -> Column:
     """F1 of two token sets."""
-    q, d = F.array_distinct(query_tokens), F.array_distinct(doc_tokens)
-    both = F.size(F.array_intersect(q, d))
-    p, r = both / F.size(q), both / F.size(d)
-    return F.when((F.size(q) == 0) | (F.size(d) == 0) | (both == 0), 0.0).otherwise(2 * p * r / (p + r))
+    sets = F.struct(F.array_distinct(query_tokens).alias("q"), F.array_distinct(doc_tokens).alias("d"))
+
+    def f1(both: Column, s: Column) -> Column:
+        p, r = both / F.size(s["q"]), both / F.size(s["d"])
+        return F.when(both == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    return vector.let(sets, lambda s: vector.let(F.size(F.array_intersect(s["q"], s["d"])), lambda both: f1(both, s)))
 
 
 def mmr(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:

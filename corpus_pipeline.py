@@ -2,7 +2,7 @@
 contaminated documents go, secrets are cut out, and what is left is packed into training sequences.
 
 Every stage takes what the one before has written. Rows without an id pass through: they are judged by their own text,
-but never as duplicates. Rows that share an id are one document from the second stage on (the least row stays).
+but never as duplicates. Rows that share an id but not a text are documents of their own; of equal ones the least row stays.
 """
 
 from __future__ import annotations
@@ -30,11 +30,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group, by five-word shingles at a similarity of 0.8."""
-    kept = minhash.near_duplicates(docs, words=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["id"], "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = known.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    """The document with the least id of each group, by five-word shingles at a similarity of 0.8.
+
+    The key of a document is its id; of the texts that share one, those but the first (by hash) have keys made of both.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct(*docs.columns).alias("row"))
+    several = stored(rows.groupBy("id").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first != last").select("id", "first"))
+    own = F.xxhash64("id", "hash").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.join(several, "id", "left").withColumn("key", F.when(F.col("hash") != F.col("first"), own).otherwise(F.col("id")))
+    groups = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    kept = groups.join(rows.select("key", "id").distinct(), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
+    one = rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 

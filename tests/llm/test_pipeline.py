@@ -76,3 +76,10 @@ def test_stages_with_no_rows_and_other_columns(spark, tables):
     for some in (docs.where("false"), docs.limit(20)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, some, d).collect()
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, None), (5, a), (5, a), (5, b), (3, c), (7, b + " more"), (9, a), (5, c), (None, a), (8, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(5, None), (5, a), (5, b), (3, c), (None, a), (8, None)]))

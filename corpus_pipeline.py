@@ -2,7 +2,7 @@
 contaminated documents go, secrets are cut out, and what is left is packed into training sequences.
 
 Every stage takes what the one before has written. Rows without an id pass through: they are judged by their own text,
-but never as duplicates. Rows that share an id but not a text are documents of their own; of equal ones the least row stays.
+but never as duplicates. Rows that share an id but not a text are documents of their own; of equal ones one row stays.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, minhash, packing, quality, secrets
-from granary.llm.common import stored
+from granary.llm.common import quoted, stage_output, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,18 +30,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group, by five-word shingles at a similarity of 0.8.
+    """The document with the least id (then text hash) of each group, by five-word shingles at a similarity of 0.8.
 
-    The key of a document is its id; of the texts that share one, those but the first (by hash) have keys made of both.
+    Each text of an id is a document of its own. Of rows equal in both, the least by its other columns as JSON stays; a row
+    without an id stays.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct(*docs.columns).alias("row"))
-    several = stored(rows.groupBy("id").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first != last").select("id", "first"))
-    own = F.xxhash64("id", "hash").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    rows = rows.join(several, "id", "left").withColumn("key", F.when(F.col("hash") != F.col("first"), own).otherwise(F.col("id")))
-    groups = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    kept = groups.join(rows.select("key", "id").distinct(), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
-    one = rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    found = stored(minhash.groups(docs, words=5))
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "tag", "again")).alias("least")).select(F.col("least.doc_id").alias("id"), "least.tag", "least.again")
+    others = F.struct(F.lit(0), *(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    of_id = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    rows = docs.where("doc_id is not null").select(of_id.alias("key"), F.struct(*map(quoted, docs.columns)).alias("row"), others.alias("others")).select("key.*", "row", "others").join(kept, ["id", "tag"])
+    one = rows.where("again").groupBy("id", "tag").agg(F.min_by("row", F.to_json("others")).alias("row"))
+    return rows.where("not again").select("row.*").unionByName(one.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stage_output(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,12 +6,12 @@ import atexit
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -35,14 +35,19 @@ def stir(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, which has no other machines, gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_WRITTEN: list[str] = []
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,11 +60,22 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: its lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     atexit.register(_drop, spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_output(make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of make(); what else was stored on the way is deleted, as nothing reads it any more."""
+    before = len(_WRITTEN)
+    df = stored(make())
+    for path in _WRITTEN[before:-1]:
+        _drop(df.sparkSession, path)
+    del _WRITTEN[before:-1]
+    return df
+
+
 class Shipped:
     """A broadcast value of any of this package's types, for tasks that can't import the package."""
 
@@ -75,7 +91,12 @@ class Shipped:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, cast, under internal names; other columns of df can't clash with an operator's own."""
-    return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
+    return df.select(*(quoted(name).cast(kind).alias(name) for name, kind in columns.items()))
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -69,6 +69,10 @@ def signatures(value: np.ndarray, at: np.ndarray, functions: int) -> np.ndarray:
     return out
 
 
+PASSED = ("id", "tag", "again", "doc_id")
+PROFILE = "id long, tag long, again boolean, doc_id long, n long, set1 long, set2 long, bits1 long, bits2 long, bands array<long>"
+
+
 def _profiles(words: int, bands: int, rows: int) -> Callable:
     """One row a document: the size and two hashes of its set, its bands, and one-bit samples of its signature."""
     functions = max(64, -(-bands * rows // 2))
@@ -80,7 +84,6 @@ def _profiles(words: int, bands: int, rows: int) -> Callable:
                 value, to, _ = shingle_sets(data, at[a : b + 1], words)
                 size = np.diff(to)
                 some = np.flatnonzero(size)
-                ids = batch.column("doc_id").slice(a, b - a)
                 keys, bits, both = np.zeros((b - a, bands), np.uint64), np.zeros((b - a, 2), np.uint64), np.zeros((b - a, 2), np.uint64)
                 if len(some):
                     start = to[:-1][some]
@@ -95,7 +98,7 @@ def _profiles(words: int, bands: int, rows: int) -> Callable:
                         bits[some, i] = (low[:, 64 * i : 64 * i + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
                         both[some, i] = np.add.reduceat(mix(value + np.uint64(i) * K1), start)
                 yield pa.record_batch({
-                    "doc_id": ids, "n": size, "set1": both[:, 0].view(np.int64), "set2": both[:, 1].view(np.int64), "bits1": bits[:, 0].view(np.int64), "bits2": bits[:, 1].view(np.int64),
+                    **{c: batch.column(c).slice(a, b - a) for c in PASSED}, "n": size, "set1": both[:, 0].view(np.int64), "set2": both[:, 1].view(np.int64), "bits1": bits[:, 0].view(np.int64), "bits2": bits[:, 1].view(np.int64),
                     "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
                 })
 
@@ -169,23 +172,30 @@ def by_rarest(docs: DataFrame, split: DataFrame, words: int, percent: int) -> Da
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Groups documents whose sets of word shingles have a Jaccard similarity of percent or more.
+KEY_BIT = 1 << 62
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one
-    shingle; null and blank texts have none and are linked with nothing. Returns one row a document: doc_id, n_shingles,
-    component_id (least doc_id reachable over links, itself included), kept (doc_id = component_id), class_id (least
-    doc_id with an equal set). A pair at the threshold itself shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-    Rows with a null doc_id are kept alone, with a null component. Rows that share a doc_id: one text of them, the
-    least, stands for the document, and the rows share its result. Other columns are ignored; no rows give no rows.
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """One row for each text of each id: id, tag (the text's hash), again (whether other rows have the id), doc_id (a key), text.
+
+    Of the texts that share an id the one with the least hash has the id as its key, the others a number made of id and text.
     """
-    given = pick(docs, doc_id="long", text="string")
-    again = bool(given.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
-    d = given.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(given.where("doc_id is null")) if again else given
-    p = stored(d.mapInArrow(_profiles(words, bands, rows), "doc_id long, n long, set1 long, set2 long, bits1 long, bits2 long, bands array<long>"))
-    own = p.where("doc_id is not null")
-    classes = stored(own.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("class_id")))
-    first = own.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    rows = pick(docs, doc_id="long", text="string").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), "text")
+    first = stored(rows.groupBy("id").agg(F.min("tag").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", "first"))
+    once = rows.join(first, "id", "left_anti").select("id", "tag", F.lit(False).alias("again"), F.col("id").alias("doc_id"), "text")
+    several = rows.join(first, "id").groupBy("id", "first", "tag").agg(F.first("text").alias("text"))
+    own = F.xxhash64("id", "tag").bitwiseAND(F.lit(KEY_BIT - 1)).bitwiseOR(F.lit(KEY_BIT))
+    key = F.when(F.col("tag") == F.col("first"), F.col("id")).otherwise(own)
+    return once.unionByName(several.select("id", "tag", F.lit(True).alias("again"), key.alias("doc_id"), "text"))
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """One row for each text of each id: doc_id, tag, again, key, n_shingles, component and class_key (least keys of the texts it reaches, and of those with an equal set)."""
+    several = keyed(docs)
+    d = several.select("doc_id", "text")
+    p = stored(several.mapInArrow(_profiles(words, bands, rows), PROFILE))
+    classes = stored(p.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("class_id")))
+    first = p.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     banded = first.select("doc_id", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = stored(banded.join(stored(sizes), "band"))
@@ -206,12 +216,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     more = stored(by_rarest(d, split, words, percent).join(pairs, ["u", "v"], "left_anti"))
     links = links.unionByName(confirmed(more, d, words, percent))
     of_class = connected_components(links).withColumnRenamed("node", "class_id")
-    known = own.select("doc_id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left").join(of_class, "class_id", "left")
-    out = known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    if again:
-        out = given.where("doc_id is not null").select("doc_id").join(out, "doc_id")
-    alone = p.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
+    known = p.select("id", "tag", "again", "doc_id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left").join(of_class, "class_id", "left")
+    return known.select(F.col("id").alias("doc_id"), "tag", "again", F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component"), F.coalesce("class_id", "doc_id").alias("class_key"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """Groups documents whose sets of word shingles have a Jaccard similarity of percent or more.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one
+    shingle; null and blank texts have none and are linked with nothing. Whole texts are compared, very long ones too.
+    Returns one row a row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links, itself included),
+    kept (doc_id = component_id), class_id (least doc_id with an equal set), tag (hash of the text). A pair at the threshold
+    itself shares no band with probability (1 - 0.8**4)**32 = 5e-8. Rows with a null doc_id are kept alone, with a null
+    component. Rows that share a doc_id but not a text are judged each by its own; equal rows share a result. Other columns
+    are ignored; no rows give no rows.
+    """
+    found = stored(groups(docs, words, percent, bands, rows))
+    given = pick(docs, doc_id="long", text="string").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), F.lit(False).alias("again"), "doc_id", "text")
+    out = found.withColumns({"component_id": F.col("component"), "class_id": F.col("class_key")})
+    if found.where("again").take(1):  # a group's least id may not be its least key, and rows come more than once
+        for key, name in (("component", "component_id"), ("class_key", "class_id")):
+            odd = found.where(F.col("key") >= KEY_BIT).select(key).distinct()
+            least = found.join(odd, key, "left_semi").groupBy(key).agg(F.min("doc_id").alias("least"))
+            out = out.join(least, key, "left").withColumn(name, F.coalesce("least", name)).drop("least")
+        out = out.where("not again").unionByName(given.where("id is not null").select("doc_id", "tag").join(out.where("again"), ["doc_id", "tag"]).select(out.columns))
+    lone = given.where("id is null").mapInArrow(_profiles(words, 1, 1), PROFILE)
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("component_id", "class_id")]
+    both = out.select("doc_id", "n_shingles", "component_id", "class_id", "tag").unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), *nothing, "tag"))
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "tag")
 
 
 def _bits_apart(percent: int) -> int:

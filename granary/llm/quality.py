@@ -1,11 +1,11 @@
 """Quality classifier by importance resampling: hashed n-gram generative models of target and raw text, Gumbel top-k.
 
-Raw counts cover every document; target counts those that a bounded sample of labels calls good. A document's log
-weights are log ratios of smoothed target to raw probabilities, of terms (each distinct term once, many buckets) and
-of terms and pairs (mean over all of them, fewer buckets). A ratio counts only where the two counts differ by more than
-chance, and a document's own counts are taken off both, so that labelled and other documents are judged alike.
-The weight is the smaller margin over thresholds that split the labelled documents best; as many documents are drawn,
-by Gumbel top-k, as have a positive margin.
+Raw counts cover every document; target counts those that a bounded sample of labels calls good. A document's log weight
+is the log ratio of its n-grams' smoothed probabilities in target and in raw text. N-grams are terms and pairs of
+neighbouring terms, hashed to buckets; repeats within a document count by the logarithm of their number, and terms weigh
+one more than pairs. A bucket counts only where its two counts differ by more than chance, and a document's own counts are
+taken off both, so that labelled and other documents are judged alike. The sample is drawn without replacement in
+proportion to the weights: the largest sums of log weight and Gumbel noise.
 """
 
 from __future__ import annotations
@@ -21,30 +21,33 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import K1, LOWER, Shipped, mix, pick, slabs, span_hashes, stored, strings
 
-TERM_BITS, PAIR_BITS, RANGES = 22, 18, 16
 KIND = np.zeros(256, np.int8)
 KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 KIND[[*range(33, 48), *range(58, 97), *range(123, 127)]] = 2
+#: N-grams whose counts a task adds up before it sends them on.
+HELD = 1 << 22
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Term buckets and their rows, term and pair buckets and their rows. Terms: runs of letters and digits, or of marks."""
+def grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of n-grams and their rows. Terms are runs of letters and digits, or of marks; pairs have the upper half of all buckets."""
     low = LOWER[data[at[0] : at[-1]]]
     at = at - at[0]
+    if not len(low):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = KIND[low]
     cut = np.ones(len(kind), bool)
     cut[1:] = kind[1:] != kind[:-1]
     cut[at[1:-1][at[1:-1] < len(kind)]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(kind))
-    real = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
-    starts, ends = starts[real], ends[real[: len(ends)]] if len(starts) or len(real) else ends[:0]
+    real = kind[starts] > 0
+    starts, ends = starts[real], ends[real]
     codes = span_hashes(low, starts, ends)
     rows = np.searchsorted(at, starts, "right") - 1
-    pair = mix(codes[:-1] * K1 + codes[1:])
     same = rows[:-1] == rows[1:]
-    both = np.concatenate((codes, pair[same]))
-    return (codes >> np.uint64(64 - TERM_BITS)).astype(np.int64), rows, (mix(both) >> np.uint64(64 - PAIR_BITS)).astype(np.int64), np.concatenate((rows, rows[:-1][same]))
+    pairs = mix(codes[:-1] * K1 + codes[1:])[same]
+    short = np.uint64(65 - bits)
+    return np.concatenate(((mix(codes) >> short).astype(np.int64), (pairs >> short).astype(np.int64) | (1 << (bits - 1)))), np.concatenate((rows, rows[:-1][same]))
 
 
 @dataclass
@@ -63,69 +66,64 @@ class Labels:
         return known & (self.ids[where] == x) & self.good[where]
 
 
-def _counts(shared: object) -> Callable:
-    """Per task: rows of term buckets, and the pair buckets as dense counts cut in ranges."""
+def _added(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts of buckets. held: buckets, doubled, plus one for those of good documents."""
+    keys, n = np.unique(np.concatenate(held), return_counts=True)
+    bucket = keys >> 1
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return pa.record_batch({"bucket": pa.array(bucket[first].astype(np.int32)), "raw": np.add.reduceat(n, first).astype(np.int32), "target": np.add.reduceat(n * (keys & 1), first).astype(np.int32)})
 
+
+def _counts(shared: object, bits: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: Labels = shared.value
-        pairs = np.zeros((2, 1 << PAIR_BITS), np.int64)
+        held, size = [], 0
         for batch in batches:
             data, at = strings(batch.column("text"))
             good = labels.is_good(batch.column("doc_id"))
             for a, b in slabs(np.diff(at), 1 << 18):
-                term, row, pair, pair_row = grams(data, at[a : b + 1])
-                for i, which in enumerate((slice(None), good[a:b][pair_row])):
-                    pairs[i] += np.bincount(pair[which], minlength=1 << PAIR_BITS)
-                bucket, place, n = np.unique(term, return_inverse=True, return_counts=True)
-                target = np.bincount(place[good[a:b][row]], minlength=len(bucket))
-                m = len(bucket)
-                yield pa.record_batch({"bucket": pa.array(bucket.astype(np.int32)), "raw": n.astype(np.int64), "target": target.astype(np.int64), "dense": pa.nulls(m, pa.binary())})
-        if pairs.any():
-            parts = np.split(pairs, RANGES, axis=1)
-            yield pa.record_batch({"bucket": pa.array(range(-RANGES, 0), pa.int32()), "raw": pa.nulls(RANGES, pa.int64()), "target": pa.nulls(RANGES, pa.int64()), "dense": pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())})
+                bucket, row = grams(data, at[a : b + 1], bits)
+                held.append(bucket * 2 + good[a:b][row])
+                size += len(bucket)
+                if size > HELD:
+                    yield _added(held)
+                    held, size = [], 0
+        if size:
+            yield _added(held)
 
     return f
 
 
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in rows["dense"])
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "dense": [total.tobytes()]})
-
-
 @dataclass
 class Model:
-    """Counts of both models, and the thresholds."""
+    """Raw and target counts of the buckets that tell the two apart, sorted, and the share of target in raw."""
 
     labels: Labels
-    buckets: np.ndarray  # of terms whose counts differ by more than chance
-    terms: np.ndarray  # raw and target counts of these
-    pairs: np.ndarray  # raw and target counts of all pair buckets
-    shares: tuple[float, float]  # of target in raw, for terms and for pairs
+    bits: int
+    buckets: np.ndarray
+    raw: np.ndarray
+    target: np.ndarray
+    share: float
     deviations: float = 3.0
-    term_threshold: float = 0.0
-    pair_threshold: float = 0.0
 
-    def _ratios(self, raw: np.ndarray, target: np.ndarray, own: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
-        expected, t = np.maximum(0, raw - own) * share, np.maximum(0, target - np.where(good, own, 0))
-        told = np.abs(t - expected) > self.deviations * np.sqrt(expected * (1 - share) + 1)
+    def _ratios(self, w: np.ndarray, own: np.ndarray, good: np.ndarray) -> np.ndarray:
+        expected, t = np.maximum(0, self.raw[w] - own) * self.share, np.maximum(0, self.target[w] - np.where(good, own, 0))
+        told = np.abs(t - expected) > self.deviations * np.sqrt(expected * (1 - self.share) + 1)
         return np.where(told, np.log((t + 1) / (expected + 1)), 0.0)
 
-    def scores(self, ids: pa.Array, text: pa.Array) -> np.ndarray:
-        """Two log weights a document."""
+    def log_weights(self, ids: pa.Array, text: pa.Array) -> np.ndarray:
         data, at = strings(text)
-        good, out = self.labels.is_good(ids), np.zeros((len(ids), 2))
+        good, out = self.labels.is_good(ids), np.zeros(len(ids))
+        if not len(self.buckets):
+            return out
         for a, b in slabs(np.diff(at), 1 << 18):
-            term, row, pair, pair_row = grams(data, at[a : b + 1])
-            n = b - a
-            where = np.minimum(np.searchsorted(self.buckets, term), max(0, len(self.buckets) - 1))
-            known = self.buckets[where] == term if len(self.buckets) else np.zeros(len(term), bool)
-            key, own = np.unique(row[known] * (1 << TERM_BITS) + where[known], return_counts=True)
-            r, w = key >> TERM_BITS, key & ((1 << TERM_BITS) - 1)
-            out[a:b, 0] = np.bincount(r, self._ratios(self.terms[0][w], self.terms[1][w], own, good[a:b][r], self.shares[0]), minlength=n)
-            key, own = np.unique(pair_row * (1 << PAIR_BITS) + pair, return_counts=True)
-            r, w = key >> PAIR_BITS, key & ((1 << PAIR_BITS) - 1)
-            total = np.bincount(r, own * self._ratios(self.pairs[0][w], self.pairs[1][w], own, good[a:b][r], self.shares[1]), minlength=n)
-            out[a:b, 1] = total / np.maximum(1, np.bincount(pair_row, minlength=n))
+            bucket, row = grams(data, at[a : b + 1], self.bits)
+            key, own = np.unique((row << self.bits) | bucket, return_counts=True)
+            bucket, row = key & ((1 << self.bits) - 1), key >> self.bits
+            where = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+            known = self.buckets[where] == bucket
+            where, own, row, is_term = where[known], own[known], row[known], bucket[known] < 1 << (self.bits - 1)
+            out[a:b] = np.bincount(row, (1 + np.log(own) + is_term) * self._ratios(where, own, good[a:b][row]), minlength=b - a)
         return out
 
 
@@ -136,56 +134,31 @@ def sample_labels(labels: DataFrame, most: int) -> pd.DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas().sort_values("doc_id")
 
 
-def _best_split(good: np.ndarray, bad: np.ndarray) -> float:
-    """The threshold over which most of good and least of bad lie."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    x = np.concatenate((good, bad))
-    order = np.argsort(x, kind="stable")
-    gain = np.cumsum(np.where(order >= len(good), 1 / len(bad), -1 / len(good)))
-    ends = np.append(x[order][1:] != x[order][:-1], True)
-    i = int(np.argmax(np.where(ends, gain, -np.inf)))
-    upper = x[order][i + 1] if i + 1 < len(x) else x[order][i] + 1
-    return float((x[order][i] + upper) / 2)
-
-
 def _scored(shared: object) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.scores(batch.column("doc_id"), batch.column("text"))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "tag", "term_weight", "pair_weight"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), pa.array(shared.value.log_weights(batch.column("doc_id"), batch.column("text")))], ["doc_id", "tag", "log_weight"])
 
     return f
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000) -> tuple[Model, DataFrame]:
-    """The model, and doc_id, tag (hash of the text), term_weight, pair_weight of each document."""
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, bits: int = 26) -> tuple[Model, DataFrame]:
+    """The model, and doc_id, tag (hash of the text), log_weight of each document.
+
+    Counts of all buckets stay in Spark. The model has those whose counts differ by more than two deviations, of 2**bits at
+    most: by chance a twentieth of those that have counts enough to tell, and what target and raw text really differ in.
+    """
     d = pick(docs, doc_id="long", text="string").withColumn("tag", F.xxhash64("text"))
     spark = docs.sparkSession
     known = sample_labels(labels, most_labels)
     sample = Labels(known["doc_id"].to_numpy(np.int64), ((known["quality"] > 0) & (known["toxic"] == 0)).to_numpy(bool))
-    counts = stored(d.select("doc_id", "text").mapInArrow(_counts(Shipped(spark, sample)), "bucket int, raw long, target long, dense binary"))
-    terms = stored(counts.where("dense is null").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
-    totals = terms.agg(F.sum("raw"), F.sum("target")).first()
+    counts = d.select("doc_id", "text").mapInArrow(_counts(Shipped(spark, sample), bits), "bucket int, raw int, target int")
+    counts = stored(counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    totals = counts.agg(F.sum("raw"), F.sum("target")).first()
     share = (totals[1] or 0) / max(1, totals[0] or 1)
-    told = terms.where(F.abs(F.col("target") - F.col("raw") * share) > 2 * F.sqrt(F.col("raw") * share * (1 - share) + 1)).toPandas().sort_values("bucket")  # no more than buckets
-    dense = counts.where("dense is not null").withColumn("part", F.spark_partition_id() % 32)
-    for keys in (["bucket", "part"], ["bucket"]):
-        dense = dense.groupBy(*keys).applyInPandas(_added, "bucket int, dense binary").withColumn("part", F.lit(0))
-    pairs = np.zeros((2, 1 << PAIR_BITS))
-    step = (1 << PAIR_BITS) // RANGES
-    for bucket, x, _ in dense.collect():
-        i = bucket + RANGES
-        pairs[:, i * step : (i + 1) * step] = np.frombuffer(x, np.int64).reshape(2, step)
-    sums = pairs.sum(1)
-    model = Model(sample, told["bucket"].to_numpy(np.int64), np.stack([told["raw"].to_numpy(float), told["target"].to_numpy(float)]), pairs, (share, sums[1] / max(1.0, sums[0])))
-    scores = stored(d.mapInArrow(_scored(Shipped(spark, model)), "doc_id long, tag long, term_weight double, pair_weight double"))
-    flags = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
-    judged = scores.join(F.broadcast(flags), "doc_id").select("term_weight", "pair_weight", "quality", "toxic").toPandas()  # one row a label
-    good = judged[(judged["quality"] > 0) & (judged["toxic"] == 0)]
-    model.term_threshold = _best_split(good["term_weight"].to_numpy(), judged.loc[judged["toxic"] > 0, "term_weight"].to_numpy())
-    model.pair_threshold = _best_split(good["pair_weight"].to_numpy(), judged.loc[judged["quality"] == 0, "pair_weight"].to_numpy())
-    return model, scores
+    told = counts.where(F.abs(F.col("target") - F.col("raw") * share) > 2 * F.sqrt(F.col("raw") * share * (1 - share) + 1)).toPandas().sort_values("bucket")
+    model = Model(sample, bits, told["bucket"].to_numpy(np.int32), told["raw"].to_numpy(float), told["target"].to_numpy(float), share)
+    return model, stored(d.mapInArrow(_scored(Shipped(spark, model)), "doc_id long, tag long, log_weight double"))
 
 
 def gumbel(seed: int) -> Column:
@@ -211,18 +184,36 @@ def kth_largest(rows: DataFrame, key: str, k: int, cells: int = 1024) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, temperature: float = 0.25, seed: int = 7, scale: float = 100.0) -> DataFrame:
-    """The documents drawn: doc_id, tag, term_weight, pair_weight, log_weight, key, kept (true).
-
-    As many are drawn as have a positive log_weight; key is log_weight plus temperature times Gumbel noise, and the
-    largest keys win (equal keys at the end: all). most_labels bounds the labelled sample; counts and scores cover all.
-    Null and empty texts have weights of 0. Rows with null or repeated ids are judged by their own text (label of the id).
-    Without labels of a kind its threshold lets all pass. Other columns are ignored; no rows give no rows.
+def good_documents(scores: DataFrame, labels: Labels) -> int:
+    """How many of all documents are good: the labelled ones' share, corrected by regression for how much likelier good all documents look than they do."""
+    share = float(labels.good.mean()) if len(labels.good) else 1.0
+    n = scores.count()
+    if not 0 < share < 1:
+        return n if share else 0
+    looks = scores.select("doc_id", (1 / (1 + F.exp(-F.col("log_weight")) * (1 - share) / share)).alias("look"))
+    judged = scores.sparkSession.createDataFrame(pd.DataFrame({"doc_id": labels.ids, "good": labels.good.astype(int)}), "doc_id long, good int")
+    everywhere = looks.agg(F.avg("look")).first()[0] or 0.0
+    one = looks.join(F.broadcast(judged), "doc_id").agg(F.avg("good"), F.avg("look"), F.covar_pop("good", "look"), F.var_pop("look")).first()  # a row a label of the bounded sample
+    if not one[3]:
+        return round(n * share)
+    return min(n, max(0, round(n * (one[0] + one[2] / one[3] * (everywhere - one[1])))))
+
+
+def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labels: int = 100_000, temperature: float = 1.0, seed: int = 7, bits: int = 26) -> DataFrame:
+    """The documents drawn: doc_id, tag, log_weight, key, kept (true).
+
+    size documents are drawn by Gumbel top-k: key is log_weight plus temperature times Gumbel noise, and the largest keys win
+    (equal keys at the end: all). Without a size, it is an estimate of the number of good documents (good_documents).
+    most_labels bounds the labelled sample, which says what the target is and how much of it there is; counts and weights
+    cover all documents and whole texts, very long ones too. Null and empty texts have a weight of 0. Rows with null or
+    repeated ids are judged by their own text (and the label of the id), equal rows alike. Without good labels nothing tells
+    documents apart, and all are drawn. Other columns are ignored; no rows give no rows.
     """
-    model, scores = fit(docs, labels, most_labels)
-    margins = [F.col(c) - t if np.isfinite(t) else F.lit(1.0) for c, t in (("term_weight", model.term_threshold), ("pair_weight", model.pair_threshold))]
-    keyed = scores.withColumn("log_weight", F.least(margins[0], margins[1] * scale)).withColumn("key", F.col("log_weight") + temperature * gumbel(seed))
-    k = keyed.where("log_weight > 0").count()
-    if not k:
+    model, scores = fit(docs, labels, most_labels, bits)
+    keyed = scores.withColumn("key", F.col("log_weight") + temperature * gumbel(seed))
+    n = scores.count()
+    if size is None:
+        size = good_documents(scores, model.labels) if model.labels.good.any() else n
+    if not n or size <= 0:
         return keyed.where("false").withColumn("kept", F.lit(True))
-    return keyed.where(F.col("key") >= kth_largest(keyed, "key", k)).withColumn("kept", F.lit(True))
+    return keyed.where(F.col("key") >= kth_largest(keyed, "key", min(size, n))).withColumn("kept", F.lit(True))

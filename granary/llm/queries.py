@@ -50,7 +50,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4).drop("class_id")
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4).drop("class_id", "tag")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

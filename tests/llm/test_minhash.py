@@ -58,10 +58,32 @@ def test_edge_rows(spark):
     text = "one two three four five six"
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (4, "zz"), (9, text.upper()), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
-    assert got == [(-1, 2, None, True), (4, 2, 4, True), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True), (9, 2, 4, False)]
+    assert got == [(-1, 2, None, True), (4, 1, 4, True), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True), (9, 2, 4, False)]
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_each_by_its_own(spark):
+    """Rows of brute force have numbers of their own; ids are looked up afterwards."""
+    r = random.Random(8)
+    texts = corpus(5)
+    rows = [(r.randint(0, len(texts) // 3), t) for t in texts + texts[:20]]
+    want = []
+    found = brute(list(enumerate(t for _, t in rows)), 4)
+    for i, (d, _) in enumerate(rows):
+        component = min(rows[j][0] for j in found if found[j][1] == found[i][1])
+        want.append((d, found[i][0], component, d == component))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_duplicates(df, words=4).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_very_long_texts_and_odd_columns(spark):
+    long = " ".join(str(i) for i in range(200_000))
+    rows = [(1, long, 1, {"a": 1}, 2), (2, long.replace("777 ", "zz "), 1, {}, 2), (3, "a b c d e f", 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag int, component map<string,int>, `a.b` int")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randint(0, 50), r.randint(0, 50)) for _ in range(30)]

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm.packing import OpenBins, WordTokenizer, pack
@@ -48,6 +49,35 @@ def check_packed(rows, size, want):
     return len(places)
 
 
+def test_same_ids_on_odd_strings():
+    """Letters, marks that compose with them, capitals without a composed form, punctuation and odd spaces, at random."""
+    t, w, r = Tokenizer.from_file(PATH), WordTokenizer(PATH), random.Random(6)
+    letters = "TtHhWwYyJjEeAaNnKkSsIiσΣςİıßẞǅΩKÅéÉôÖŁ1٣½²ⅧアA<|>"
+    marks = "\u0308\u0301\u0300\u0331\u030a\u030c\u0323\u0327\u0328\u0345\u0307\u20dd\u093c\u3099"
+    others = " \n\t\u00a0\u0085\u2028.,'\"-’…!s"
+    all_texts = ["".join(r.choice(r.choice((letters, letters, marks, others))) for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    all_texts += [c + m for c in map(chr, range(65, 0x250)) for m in marks]
+    all_texts += [w[:i] + w[i:].upper() for w in ("don't", "we'll", "o'neil's", "naïve's") for i in range(len(w))]
+    got = w.encode([x.encode() for x in all_texts])
+    want = t.encode_batch(all_texts, add_special_tokens=False)
+    assert [x for x, g, e in zip(all_texts, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != e.ids] == []
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="not a tokenizer"):
+        WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("parts", [1, 8, 60])
+def test_few_sequences_however_the_input_is_split(spark, parts):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices("a b c d e".split(), k=min(4000, int(r.lognormvariate(5.5, 1)))))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    want = {d: [*Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids, 0] for d, x in rows}
+    n = check_packed(pack(df, PATH, with_ids=False).withColumn("ids", F.lit(None)).collect(), 2048, want)
+    assert n <= 1.02 * -(-sum(map(len, want.values())) // 2048) + 1
+
+
 @pytest.mark.parametrize("size", [2048, 50])
 def test_round_trip(spark, size):
     t = Tokenizer.from_file(PATH)
@@ -60,8 +90,9 @@ def test_round_trip(spark, size):
 
 
 def test_edge_rows(spark):
-    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
-    assert pack(df, PATH).count() == 3
+    df = spark.createDataFrame([(None, "a", 1, {"a": 1}), (1, "b", 2, {}), (1, "b", 2, {}), (2, "w " * 300_000, 3, None)], "doc_id long, text string, piece int, `a.b` map<string,int>")
+    got = pack(df, PATH).collect()
+    assert len(got) == 3 + 147 and sum(r.length for r in got) == 2 + 2 + 2 + 300_001
     assert pack(df.where("false"), PATH).count() == 0
 
 

@@ -83,3 +83,15 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     rows = [(5, None), (5, a), (5, a), (5, b), (3, c), (7, b + " more"), (9, a), (5, c), (None, a), (8, None)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(5, None), (5, a), (5, b), (3, c), (None, a), (8, None)]))
+
+
+def test_map_columns_and_dotted_names_in_every_stage(spark, tables):
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "map('k', n_chars) as m", "n_chars as `a.b`", "array(map('k', lang)) as `c``d`")
+    n = docs.where("doc_id = 3").count()
+    assert n == 2
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        rows = out.collect()
+        assert rows and (i == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+        assert i != 1 or sum(r.doc_id == 3 for r in rows) == 1

@@ -2,13 +2,15 @@
 
 Vectors are cut in two halves, and each half is quantised by a codebook of its own; a pair of centroids is a cell. For
 a query, a heap yields cells by the sum of the two centroid distances until they hold enough vectors, and the entries of
-these cells are reranked by exact distance. Codebooks are fitted on a bounded sample; every vector is indexed. Cells
-are dealt in blocks of bounded size, so a cell that holds a third of all vectors is searched by many tasks.
+these cells are reranked by exact distance. Codebooks are fitted on a bounded sample; every vector is indexed. Cells are
+dealt to regions of bounded size, a large one to several, and queries to batches of bounded size, so neither side of a
+group grows with the table. A query goes to a region once, with the distance that its cells reach to.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import pick, stored
+from granary.llm.common import K1, mix, pick, stored
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -62,101 +64,160 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+def cell_regions(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first region of each cell, and how many it is dealt over: neighbouring small cells share a region of about block vectors, a larger cell is cut."""
+    first, parts = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    region = held = 0
+    for cell in np.flatnonzero(counts).tolist():
+        n = int(counts[cell])
+        if held and held + n > block:
+            region, held = region + 1, 0
+        first[cell] = region
+        if n > block:
+            parts[cell] = -(-n // block)
+            region += int(parts[cell])
+        else:
+            held += n
+    return first, parts
+
+
 class MultiIndex:
-    """vectors: vec_id, v. codes: centroids a half; sample: rows that codebooks are fitted on; block: vectors searched together."""
+    """vectors: vec_id, v, all of one length.
 
-    def __init__(self, vectors: DataFrame, codes: int = 16, sample: int = 20_000, block: int = 1024) -> None:
-        self.codes, self.block = codes, block
-        context = vectors.sparkSession.sparkContext
+    codes: centroids a half (about the square root of the number of vectors, 1024 at most, if None); sample: rows that
+    codebooks are fitted on; block: vectors searched together; batch: queries searched together.
+    """
+
+    def __init__(self, vectors: DataFrame, codes: int | None = None, sample: int = 20_000, block: int = 4096, batch: int = 4096) -> None:
+        self.total, self.batch = vectors.count(), batch
+        self.codes = codes or min(1024, 1 << max(2, round(math.log2(max(1, self.total)) / 2)))
         fitted = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]  # a bounded sample
-        sizes = fitted.map(len)
-        self.dimension = int(sizes.mode().iloc[0]) if len(sizes) else 0
-        x = np.stack(list(fitted[sizes == self.dimension])) if self.dimension else np.zeros((0, 2))
-        d = self.dimension // 2
-        self.books = tuple(kmeans(p, codes) if p.shape[1] and len(p) else np.zeros((1, p.shape[1])) for p in (x[:, :d], x[:, d:]))
-        self.shared = context.broadcast(self.books)
-        known = vectors.where(F.size("v") == self.dimension) if self.dimension else vectors.where("false")
-        self.entries = stored(known.mapInArrow(_assigned(self.shared, codes), "vec_id long, v array<double>, cell int"))
-        self.counts = {r.cell: r.n for r in self.entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # codes**2 rows at most
-
-    def _blocks(self) -> dict[int, int]:
-        return {c: -(-n // self.block) for c, n in self.counts.items()}
-
-    def search(self, queries: DataFrame, k: int = 10, share: float = 0.7, least: int = 2000) -> DataFrame:
+        most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+        scale = 1 / most if most else 1.0  # no square overflows where cells are found
+        x = np.stack(list(fitted)) * scale if len(fitted) else np.zeros((0, 2))
+        d = x.shape[1] // 2
+        books = tuple(kmeans(p, self.codes) if p.shape[1] and len(p) else np.zeros((1, p.shape[1])) for p in (x[:, :d], x[:, d:]))
+        context = vectors.sparkSession.sparkContext
+        placed = stored(vectors.mapInArrow(_assigned(context.broadcast((books, scale)), self.codes), "vec_id long, v array<double>, cell int"))
+        self.counts = np.zeros(self.codes**2, np.int64)
+        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # codes**2 rows at most
+            self.counts[r.cell] = r.n
+        self.shared = context.broadcast((books, scale, self.codes, self.counts, *cell_regions(self.counts, block)))
+        self.entries = placed.mapInArrow(_dealt(self.shared), "vec_id long, v array<double>, cell int, region int")
+
+    def search(self, queries: DataFrame, k: int = 10, share: float = 0.35, least: int = 20) -> DataFrame:
         """query_id, rank, vec_id, score of the k nearest entries of each query's cells, its own id left out.
 
-        Cells are taken until they hold the share of all entries, and least of them (all, if fewer).
+        Cells are taken, nearest first, until they hold the share of all entries and least times k of them (all, if fewer).
         """
-        total = sum(self.counts.values())
-        probes = queries.where(F.size("v") == self.dimension).mapInArrow(_probed(self.shared, self.codes, self.counts, self._blocks(), max(least, int(share * total)) + 1), "query_id long, q array<double>, cell int, block int")
-        numbers = F.create_map(*[F.lit(x) for c, n in self._blocks().items() for x in (c, n)]) if self.counts else F.lit(None).cast("map<int,int>")
-        entries = self.entries.withColumn("block", F.pmod(F.xxhash64("vec_id"), numbers[F.col("cell")].cast("long")).cast("int"))
-        near = probes.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+        enough = max(least * k, math.ceil(share * self.total)) + 1
+        batches = max(1, -(-queries.count() // self.batch))
+        of_batch = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(batches)).cast("int")
+        probes = queries.mapInArrow(_probed(self.shared, enough), "query_id long, q array<double>, bound double, region int").withColumn("batch", of_batch)
+        entries = self.entries.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        near = probes.groupBy("region", "batch").cogroup(entries.groupBy("region", "batch")).applyInPandas(_nearest(self.shared, k), "query_id long, vec_id long, score double")
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _assigned(shared: object, codes: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, scale = shared.value
         for batch in batches:
             if batch.num_rows:
-                a, b = _half_distances(_matrix(batch.column("v")), shared.value)
+                a, b = _half_distances(_matrix(batch.column("v")) * scale, books)
                 cell = pa.array((a.argmin(1) * codes + b.argmin(1)).astype(np.int32))
                 yield pa.record_batch([batch.column("vec_id"), batch.column("v"), cell], ["vec_id", "v", "cell"])
 
     return f
 
 
-def _probed(shared: object, codes: int, counts: dict, blocks: dict, enough: int) -> Callable:
+def _dealt(shared: object) -> Callable:
+    """The region of each entry; those of a large cell by a hash of their id."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, first, parts = shared.value
+        for batch in batches:
+            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
+            part = (mix(ids.astype(np.uint64) * K1) % parts[cell].astype(np.uint64)).astype(np.int32)
+            yield pa.record_batch([*batch.columns, pa.array(first[cell] + part)], ["vec_id", "v", "cell", "region"])
+
+    return f
+
+
+def _probed(shared: object, enough: int) -> Callable:
+    """Each query with the summed distance of its last cell, once for each region that holds one of its cells."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, scale, codes, counts, first, parts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = _half_distances(_matrix(batch.column("v")), shared.value)
-            row, cells, numbers = [], [], []
+            a, b = _half_distances(_matrix(batch.column("v")) * scale, books)
+            row, bounds, regions = [], [], []
             for i in range(batch.num_rows):
-                seen = 0
+                seen, found, bound = 0, set(), 0.0
                 for x, y in cells_in_order(a[i], b[i]):
                     cell = x * codes + y
-                    for block in range(blocks.get(cell, 0)):
-                        row.append(i)
-                        cells.append(cell)
-                        numbers.append(block)
-                    seen += counts.get(cell, 0)
-                    if seen >= enough:
-                        break
-            at = pa.array(row, pa.int64())
-            yield pa.record_batch([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(cells, pa.int32()), pa.array(numbers, pa.int32())], ["query_id", "q", "cell", "block"])
+                    if counts[cell]:
+                        seen += int(counts[cell])
+                        bound = float(a[i, x] + b[i, y])
+                        found.update(range(int(first[cell]), int(first[cell]) + int(parts[cell])))
+                        if seen >= enough:
+                            break
+                row += [i] * len(found)
+                bounds += [bound] * len(found)
+                regions += found
+                if len(row) > 20_000 or i == batch.num_rows - 1:
+                    at = pa.array(row, pa.int64())
+                    yield pa.record_batch([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(bounds, pa.float64()), pa.array(regions, pa.int32())], ["query_id", "q", "bound", "region"])
+                    row, bounds, regions = [], [], []
 
     return f
 
 
-def _nearest(k: int) -> Callable:
-    """The k nearest entries of one block to each of its queries."""
+def _nearest(shared: object, k: int) -> Callable:
+    """The k nearest entries of one region to each of its queries, among the cells within the query's bound."""
 
     def f(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(entries):
+            books, scale, codes, *_ = shared.value
             entries = entries.sort_values("vec_id")
-            ids, v = entries["vec_id"].to_numpy(), np.stack(list(entries["v"]))
-            for query, q in zip(queries["query_id"], queries["q"], strict=True):
-                score = np.sqrt(((v - q) ** 2).sum(1))
-                score[ids == query] = np.inf
-                some = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
-                some = some[np.argsort(score[some], kind="stable")][:k]
-                some = some[np.isfinite(score[some])]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some], "score": score[some]}))
+            ids, v, cell = entries["vec_id"].to_numpy(), np.stack(list(entries["v"])), entries["cell"].to_numpy()
+            cells, which = np.unique(cell, return_inverse=True)
+            for start in range(0, len(queries), 256):
+                some = queries.iloc[start : start + 256]
+                q = np.stack(list(some["q"]))
+                a, b = _half_distances(q * scale, books)
+                reach = a[:, cells // codes] + b[:, cells % codes] <= some["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                for query, x, inside in zip(some["query_id"], q, reach, strict=True):
+                    at = np.flatnonzero(inside[which] & (ids != query))
+                    with np.errstate(over="ignore"):
+                        score = np.sqrt(((v[at] - x) ** 2).sum(1))
+                    if len(score) > k:
+                        low = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+                        at, score = at[low], score[low]
+                    order = np.argsort(score, kind="stable")[:k]
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[order]], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
     return f
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.7, codes: int = 16) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.35, codes: int | None = None) -> DataFrame:
     """For every row whose vec_id is divisible by every, its k nearest others: query_id, rank, vec_id, score (Euclidean distance).
 
     Ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    rows without an id, nor vectors of another length than most of the sample. Rows that share an id count once, with the
-    least vector. Other columns are ignored; no rows give no rows.
+    rows without an id. Vectors of different lengths have no distance: each length is searched by itself. Rows that share an
+    id count once, with the least vector. Other columns are ignored; no rows give no rows.
     """
     v = stored(usable(vectors))
-    return MultiIndex(v, codes).search(v.where(F.col("vec_id") % every == 0), k, share)
+    found = None
+    for r in v.select(F.size("v").alias("n")).distinct().orderBy("n").collect():  # an index for each length of vector
+        alike = v.where(F.size("v") == r.n)
+        part = MultiIndex(alike, codes).search(alike.where(F.col("vec_id") % every == 0), k, share)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return v.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    return found

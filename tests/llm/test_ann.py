@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from granary.llm import ann
 
@@ -33,16 +34,37 @@ def test_exact_when_all_cells_are_searched(spark):
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
 
 
-def test_recall(spark):
+def test_lengths_ties_and_far_vectors(spark):
+    """Each length by itself; distances beyond the largest double are infinite, and still ranked by id."""
+    huge = 1e300
+    rows = [(0, [huge, huge]), (1, [-huge, -huge]), (2, [-huge, -huge]), (3, [1.0]), (100, [2.0]), (4, [1.0]), (200, [1.0, 2.0, 3.0])]
+    got = grouped(ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {0: [(1, float("inf")), (2, float("inf"))], 100: [(3, 1.0), (4, 1.0)]}
+
+
+@pytest.mark.parametrize("n", [500, 2000, 6000])
+def test_recall(spark, n):
     r = np.random.default_rng(2)
-    x = r.normal(size=(6000, 32))
+    x = r.normal(size=(n, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    want = brute(rows, 100, 10)
-    got = grouped(ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)))
+    want = brute(rows, 20, 10)
+    got = grouped(ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), every=20))
+    assert all(len(x) == 10 for x in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
 
 
+def test_regions_and_batches_are_bounded(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate((np.full((300, 4), 0.5), r.normal(size=(300, 4))))
+    v = ann.usable(spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>"))
+    index = ann.MultiIndex(v, codes=8, block=40, batch=25)
+    assert max(n for _, n in index.entries.groupBy("region").count().collect()) <= 80
+    assert grouped(index.search(v.where("vec_id % 3 = 0"), 5, 1.0)).keys() == set(range(0, 600, 3))
+    first, parts = ann.cell_regions(np.array([0, 5, 3, 30, 0, 9, 1]), 10)
+    assert [(int(first[i]), int(parts[i])) for i in (1, 2, 3, 5, 6)] == [(0, 1), (0, 1), (1, 3), (4, 1), (4, 1)]
+
+
 def test_blocks_split_a_hot_cell(spark):
     rows = [(i, [1.0, 2.0]) for i in range(500)] + [(500, [1.0, 3.0])]
     v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))

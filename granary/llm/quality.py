@@ -1,11 +1,11 @@
 """Quality classifier by importance resampling: hashed n-gram generative models of target and raw text, Gumbel top-k.
 
 Raw counts cover every document; target counts those that a bounded sample of labels calls good. A document's log weight
-is the log ratio of its n-grams' smoothed probabilities in target and in raw text. N-grams are terms and pairs of
-neighbouring terms, hashed to buckets; repeats within a document count by the logarithm of their number, and terms weigh
-one more than pairs. A bucket counts only where its two counts differ by more than chance, and a document's own counts are
-taken off both, so that labelled and other documents are judged alike. The sample is drawn without replacement in
-proportion to the weights: the largest sums of log weight and Gumbel noise.
+is the sum of the log ratios of its n-grams' smoothed probabilities in target and in raw text, by two models: pairs of
+neighbouring terms, each as often as it occurs, and single terms, where repeats count by the logarithm of their number and
+all count twice. Terms and pairs are hashed to buckets. A bucket counts only where its two counts differ by more than
+chance, and a document's own counts are taken off both, so that labelled and other documents are judged alike. The sample
+is drawn without replacement in proportion to the weights: the largest sums of log weight and Gumbel noise.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ KIND = np.zeros(256, np.int8)
 KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 KIND[[*range(33, 48), *range(58, 97), *range(123, 127)]] = 2
 #: N-grams whose counts a task adds up before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 20
+#: Bits of a bucket's number that terms and pairs have; those of pairs come after all of terms.
+TERM_BITS, PAIR_BITS = 25, 20
+PAIRS = 1 << TERM_BITS
 
 
-def grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of n-grams and their rows. Terms are runs of letters and digits, or of marks; pairs have the upper half of all buckets."""
+def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of n-grams and their rows. Terms are runs of letters and digits, or of marks."""
     low = LOWER[data[at[0] : at[-1]]]
     at = at - at[0]
     if not len(low):
@@ -46,8 +49,7 @@ def grams(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     rows = np.searchsorted(at, starts, "right") - 1
     same = rows[:-1] == rows[1:]
     pairs = mix(codes[:-1] * K1 + codes[1:])[same]
-    short = np.uint64(65 - bits)
-    return np.concatenate(((mix(codes) >> short).astype(np.int64), (pairs >> short).astype(np.int64) | (1 << (bits - 1)))), np.concatenate((rows, rows[:-1][same]))
+    return np.concatenate(((mix(codes) >> np.uint64(64 - TERM_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + PAIRS)), np.concatenate((rows, rows[:-1][same]))
 
 
 @dataclass
@@ -74,7 +76,7 @@ def _added(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch({"bucket": pa.array(bucket[first].astype(np.int32)), "raw": np.add.reduceat(n, first).astype(np.int32), "target": np.add.reduceat(n * (keys & 1), first).astype(np.int32)})
 
 
-def _counts(shared: object, bits: int) -> Callable:
+def _counts(shared: object) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: Labels = shared.value
         held, size = [], 0
@@ -82,7 +84,7 @@ def _counts(shared: object, bits: int) -> Callable:
             data, at = strings(batch.column("text"))
             good = labels.is_good(batch.column("doc_id"))
             for a, b in slabs(np.diff(at), 1 << 18):
-                bucket, row = grams(data, at[a : b + 1], bits)
+                bucket, row = grams(data, at[a : b + 1])
                 held.append(bucket * 2 + good[a:b][row])
                 size += len(bucket)
                 if size > HELD:
@@ -99,7 +101,6 @@ class Model:
     """Raw and target counts of the buckets that tell the two apart, sorted, and the share of target in raw."""
 
     labels: Labels
-    bits: int
     buckets: np.ndarray
     raw: np.ndarray
     target: np.ndarray
@@ -107,7 +108,7 @@ class Model:
     deviations: float = 3.0
 
     def _ratios(self, w: np.ndarray, own: np.ndarray, good: np.ndarray) -> np.ndarray:
-        expected, t = np.maximum(0, self.raw[w] - own) * self.share, np.maximum(0, self.target[w] - np.where(good, own, 0))
+        expected, t = np.maximum(0, self.raw[w].astype(float) - own) * self.share, np.maximum(0, self.target[w].astype(float) - np.where(good, own, 0))
         told = np.abs(t - expected) > self.deviations * np.sqrt(expected * (1 - self.share) + 1)
         return np.where(told, np.log((t + 1) / (expected + 1)), 0.0)
 
@@ -117,13 +118,14 @@ class Model:
         if not len(self.buckets):
             return out
         for a, b in slabs(np.diff(at), 1 << 18):
-            bucket, row = grams(data, at[a : b + 1], self.bits)
-            key, own = np.unique((row << self.bits) | bucket, return_counts=True)
-            bucket, row = key & ((1 << self.bits) - 1), key >> self.bits
+            bucket, row = grams(data, at[a : b + 1])
+            key, own = np.unique((row << (TERM_BITS + 1)) | bucket, return_counts=True)
+            bucket, row = key & (2 * PAIRS - 1), key >> (TERM_BITS + 1)
             where = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
             known = self.buckets[where] == bucket
-            where, own, row, is_term = where[known], own[known], row[known], bucket[known] < 1 << (self.bits - 1)
-            out[a:b] = np.bincount(row, (1 + np.log(own) + is_term) * self._ratios(where, own, good[a:b][row]), minlength=b - a)
+            where, own, row = where[known], own[known], row[known]
+            times = np.where(bucket[known] < PAIRS, 2 * (1 + np.log(own)), own)
+            out[a:b] = np.bincount(row, times * self._ratios(where, own, good[a:b][row]), minlength=b - a)
         return out
 
 
@@ -142,22 +144,23 @@ def _scored(shared: object) -> Callable:
     return f
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, bits: int = 26) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000) -> tuple[Model, DataFrame]:
     """The model, and doc_id, tag (hash of the text), log_weight of each document.
 
-    Counts of all buckets stay in Spark. The model has those whose counts differ by more than two deviations, of 2**bits at
-    most: by chance a twentieth of those that have counts enough to tell, and what target and raw text really differ in.
+    Counts of all buckets stay in Spark. The model has those whose counts differ by more than two deviations: by chance a
+    twentieth of those that have counts enough to tell, and what target and raw text really differ in. It grows with the
+    corpus, up to 12 bytes for each of the 34 million buckets.
     """
     d = pick(docs, doc_id="long", text="string").withColumn("tag", F.xxhash64("text"))
     spark = docs.sparkSession
     known = sample_labels(labels, most_labels)
     sample = Labels(known["doc_id"].to_numpy(np.int64), ((known["quality"] > 0) & (known["toxic"] == 0)).to_numpy(bool))
-    counts = d.select("doc_id", "text").mapInArrow(_counts(Shipped(spark, sample), bits), "bucket int, raw int, target int")
+    counts = d.select("doc_id", "text").mapInArrow(_counts(Shipped(spark, sample)), "bucket int, raw int, target int")
     counts = stored(counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     totals = counts.agg(F.sum("raw"), F.sum("target")).first()
     share = (totals[1] or 0) / max(1, totals[0] or 1)
     told = counts.where(F.abs(F.col("target") - F.col("raw") * share) > 2 * F.sqrt(F.col("raw") * share * (1 - share) + 1)).toPandas().sort_values("bucket")
-    model = Model(sample, bits, told["bucket"].to_numpy(np.int32), told["raw"].to_numpy(float), told["target"].to_numpy(float), share)
+    model = Model(sample, told["bucket"].to_numpy(np.int32), told["raw"].to_numpy(np.float32), told["target"].to_numpy(np.float32), share)
     return model, stored(d.mapInArrow(_scored(Shipped(spark, model)), "doc_id long, tag long, log_weight double"))
 
 
@@ -199,7 +202,7 @@ def good_documents(scores: DataFrame, labels: Labels) -> int:
     return min(n, max(0, round(n * (one[0] + one[2] / one[3] * (everywhere - one[1])))))
 
 
-def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labels: int = 100_000, temperature: float = 1.0, seed: int = 7, bits: int = 26) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labels: int = 100_000, temperature: float = 1.0, seed: int = 7) -> DataFrame:
     """The documents drawn: doc_id, tag, log_weight, key, kept (true).
 
     size documents are drawn by Gumbel top-k: key is log_weight plus temperature times Gumbel noise, and the largest keys win
@@ -209,7 +212,7 @@ def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_l
     repeated ids are judged by their own text (and the label of the id), equal rows alike. Without good labels nothing tells
     documents apart, and all are drawn. Other columns are ignored; no rows give no rows.
     """
-    model, scores = fit(docs, labels, most_labels, bits)
+    model, scores = fit(docs, labels, most_labels)
     keyed = scores.withColumn("key", F.col("log_weight") + temperature * gumbel(seed))
     n = scores.count()
     if size is None:

@@ -35,13 +35,13 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) > 0.9
 
 
-def brute_weights(docs, labels, bits):
+def brute_weights(docs, labels):
     """Log weights by plain counts, with a document's own counts taken off."""
     good = {i for i, q, t in labels if q and not t}
     grams = {}
     for i, t, *_ in docs:
         data = np.frombuffer((t or "").encode(), np.uint8)
-        grams[i] = quality.grams(data, np.array([0, len(data)]), bits)[0]
+        grams[i] = quality.grams(data, np.array([0, len(data)]))[0]
     raw, target = Counter(np.concatenate(list(grams.values())).tolist()), Counter(np.concatenate([grams[i] for i in good]).tolist())
     share = target.total() / raw.total()
     out = {}
@@ -50,28 +50,27 @@ def brute_weights(docs, labels, bits):
         for b, own in Counter(x.tolist()).items():
             e, t = (raw[b] - own) * share, target[b] - own * (i in good)
             if abs(t - e) > 3 * (e * (1 - share) + 1) ** 0.5 and abs(target[b] - raw[b] * share) > 2 * (raw[b] * share * (1 - share) + 1) ** 0.5:
-                out[i] += (1 + np.log(own) + (b < 1 << (bits - 1))) * np.log((t + 1) / (e + 1))
+                out[i] += (2 * (1 + np.log(own)) if b < quality.PAIRS else own) * np.log((t + 1) / (e + 1))
     return out
 
 
-@pytest.mark.parametrize("bits", [26, 9])
-def test_weights_and_draw_against_brute_force(spark, bits):
+def test_weights_and_draw_against_brute_force(spark):
     docs, labels = corpus(2, 120)
     docs += [(1000, None, ""), (1001, "", ""), (1002, "vile " * 30_000, "")]
     df, lb = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    _, scores = quality.fit(df, lb, bits=bits)
+    _, scores = quality.fit(df, lb)
     noisy = scores.select("doc_id", "log_weight", quality.gumbel(7).alias("g")).collect()
-    want = brute_weights(docs, labels, bits)
-    assert {r.doc_id: r.log_weight for r in noisy} == pytest.approx(want, abs=1e-9)
+    want = brute_weights(docs, labels)
+    assert {r.doc_id: r.log_weight for r in noisy} == pytest.approx(want, rel=1e-6, abs=1e-6)
     key = {r.doc_id: want[r.doc_id] + r.g for r in noisy}
     for size in (0, 1, 40, 500):
-        drawn = {r.doc_id for r in quality.resample(df, lb, size, bits=bits).collect()}
+        drawn = {r.doc_id for r in quality.resample(df, lb, size).collect()}
         assert drawn == set(sorted(key, key=key.get, reverse=True)[:size])
     good = np.array([q and not t for _, q, t in labels])
     look = {i: 1 / (1 + np.exp(-w) * (1 - good.mean()) / good.mean()) for i, w in want.items()}
     judged = np.array([look[i] for i, _, _ in labels])
     share = good.mean() + np.cov(good, judged, bias=True)[0, 1] / (judged.var() or 1) * (np.mean(list(look.values())) - judged.mean())
-    assert quality.resample(df, lb, bits=bits).count() == round(share * len(docs))
+    assert quality.resample(df, lb).count() == round(share * len(docs))
 
 
 def test_noise_is_gumbel(spark):
@@ -92,7 +91,7 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "x " * 5)], "doc_id long, text string")
     assert quality.resample(df, lb).count() == 4
     assert quality.resample(df.where("false"), lb).count() == 0
-    assert quality.Model(quality.Labels(np.zeros(0, np.int64), np.zeros(0, bool)), 26, np.zeros(0, np.int32), np.zeros(0), np.zeros(0), 0).log_weights(pa.array([1], pa.int64()), pa.array([None], pa.string())).tolist() == [0]
+    assert quality.Model(quality.Labels(np.zeros(0, np.int64), np.zeros(0, bool)), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), 0).log_weights(pa.array([1], pa.int64()), pa.array([None], pa.string())).tolist() == [0]
 
 
 def test_clashing_and_odd_columns(spark):

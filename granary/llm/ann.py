@@ -49,15 +49,18 @@ def _half_distances(x: np.ndarray, books: tuple) -> tuple[np.ndarray, np.ndarray
 
 def cells_in_order(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs of one entry of each list, by the sum of their distances: a heap over the sorted lists."""
-    i_order, j_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    heap, seen = [(a[i_order[0]] + b[j_order[0]], 0, 0)], {(0, 0)}
-    while heap:
-        _, i, j = heapq.heappop(heap)
-        yield int(i_order[i]), int(j_order[j])
-        for x in ((i + 1, j), (i, j + 1)):
-            if x[0] < len(a) and x[1] < len(b) and x not in seen:
-                seen.add(x)
-                heapq.heappush(heap, (a[i_order[x[0]]] + b[j_order[x[1]]], *x))
+    i_order, j_order = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
+    x, y = a[i_order].tolist(), b[j_order].tolist()
+    heap = [(x[0] + y[0], 0, 0)]
+    while heap:  # one open pair for each row that has been reached, and the first pair of the next row
+        _, i, j = heap[0]
+        yield i_order[i], j_order[j]
+        if j + 1 < len(y):
+            heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -84,13 +87,13 @@ def cell_regions(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray
 class MultiIndex:
     """vectors: vec_id, v, all of one length.
 
-    codes: centroids a half (about the square root of the number of vectors, 1024 at most, if None); sample: rows that
+    codes: centroids a half (half to all of the square root of the number of vectors, 1024 at most, if None); sample: rows that
     codebooks are fitted on; block: vectors searched together; batch: queries searched together.
     """
 
     def __init__(self, vectors: DataFrame, codes: int | None = None, sample: int = 20_000, block: int = 4096, batch: int = 4096) -> None:
         self.total, self.batch = vectors.count(), batch
-        self.codes = codes or min(1024, 1 << max(2, round(math.log2(max(1, self.total)) / 2)))
+        self.codes = codes or min(1024, 1 << max(2, math.ceil(math.log2(max(1, self.total)) / 2 - 1)))
         fitted = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]  # a bounded sample
         most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
         scale = 1 / most if most else 1.0  # no square overflows where cells are found
@@ -105,7 +108,7 @@ class MultiIndex:
         self.shared = context.broadcast((books, scale, self.codes, self.counts, *cell_regions(self.counts, block)))
         self.entries = placed.mapInArrow(_dealt(self.shared), "vec_id long, v array<double>, cell int, region int")
 
-    def search(self, queries: DataFrame, k: int = 10, share: float = 0.35, least: int = 20) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, share: float = 0.5, least: int = 30) -> DataFrame:
         """query_id, rank, vec_id, score of the k nearest entries of each query's cells, its own id left out.
 
         Cells are taken, nearest first, until they hold the share of all entries and least times k of them (all, if fewer).
@@ -150,21 +153,24 @@ def _probed(shared: object, enough: int) -> Callable:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, scale, codes, counts, first, parts = shared.value
+        held = counts.tolist()
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = _half_distances(_matrix(batch.column("v")) * scale, books)
             row, bounds, regions = [], [], []
             for i in range(batch.num_rows):
-                seen, found, bound = 0, set(), 0.0
+                seen, cells = 0, []
                 for x, y in cells_in_order(a[i], b[i]):
                     cell = x * codes + y
-                    if counts[cell]:
-                        seen += int(counts[cell])
-                        bound = float(a[i, x] + b[i, y])
-                        found.update(range(int(first[cell]), int(first[cell]) + int(parts[cell])))
+                    if held[cell]:
+                        seen += held[cell]
+                        cells.append(cell)
                         if seen >= enough:
                             break
+                bound = float(a[i, cells[-1] // codes] + b[i, cells[-1] % codes])
+                cells = np.array(cells)
+                found = np.unique(first[cells]).tolist() + [int(first[c]) + p for c in cells[parts[cells] > 1].tolist() for p in range(1, int(parts[c]))]
                 row += [i] * len(found)
                 bounds += [bound] * len(found)
                 regions += found
@@ -205,7 +211,7 @@ def _nearest(shared: object, k: int) -> Callable:
     return f
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.35, codes: int | None = None) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = 0.5, codes: int | None = None) -> DataFrame:
     """For every row whose vec_id is divisible by every, its k nearest others: query_id, rank, vec_id, score (Euclidean distance).
 
     Ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do

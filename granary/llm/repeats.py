@@ -15,6 +15,7 @@ Order is by document id, then place. Rows with one id and other texts are told a
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -114,7 +115,7 @@ def anchors(codes: np.ndarray, at: np.ndarray, unit: Unit) -> Slab:
     out, to = lay_out(codes, at, unit.reach)
     sizes = np.diff(at)
     h = gram_hashes(out, unit.gram)
-    order = (h >> np.uint64(32)).astype(np.uint32) >> np.uint32(1)
+    order = ((h >> np.uint64(32)).astype(np.uint32) >> np.uint32(1)) + np.uint32(1)  # 0: no whole window starts there
     n, w = len(out), unit.reach + 1
     starts = np.zeros(n + 1, np.int32)  # where whole windows can start
     whole = sizes >= unit.width
@@ -265,10 +266,10 @@ def _halves(unit: Unit) -> Callable:
                         continue
                     start, end = max(0, before - b), min(n, before - a + unit.width)
                     common = span[size * max(0, before - a) : size * min(n, before - b + unit.width)]
-                    new = _digest(key.to_bytes(8, "little", signed=True) + bytes([a, b]) + common)
+                    new = _digest(key.to_bytes(8, "little", signed=True) + struct.pack("<ii", a, b) + common)
                     part = span[size * start : size * end]
                     first, last = max(0, before - b), min(n - unit.width, before - a)
-                    out.append((new, doc, place, before - start, a, b, part, _digest(bytes([before - start]) + part), place - before + first, last - first + 1))
+                    out.append((new, doc, place, before - start, a, b, part, _digest(struct.pack("<i", before - start) + part), place - before + first, last - first + 1))
             columns = list(zip(*out, strict=True)) or [()] * 10
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], [*(c.split()[0] for c in SPAN.split(", ")), "body", "start", "run"])
 

@@ -1,13 +1,15 @@
 """Suffix-array dedup: depth-limited radix sort of a corpus' suffixes, by most-significant-digit passes.
 
 Suffixes are ordered only through ``width`` bytes; groups that are equal at that depth are exactly the repeated
-windows. Digits are wide and a suffix leaves as soon as it is alone in its group, so later passes see few suffixes:
+windows. Before they are sorted, suffixes are dealt so that equal ones meet, and those that can have no equal or are
+settled already are left out:
 
-* digit 1 is the window's anchor gram (equal windows have equal anchors at equal offsets, see repeats.py); one row
-  an anchor stands for all suffixes around it,
-* digit 2 is all that a window with this anchor can reach. Suffixes that are equal here are equal to full depth,
-* what is left is dealt to shards of bounded size by digit 1, and each shard sorts its suffixes by digits of a gram each,
-  leaving out at every pass those that have become alone.
+* by the window's anchor gram (equal windows have equal anchors at equal offsets, see repeats.py); one row an anchor
+  stands for all suffixes around it,
+* by all that a window with this anchor can reach. Suffixes that are equal here are equal to full depth,
+* what is left is dealt to shards of bounded size by anchor, and each shard sorts its suffixes in byte order, most
+  significant digit first. A digit is eight bytes, or what ranks of them fit a machine word; a suffix that a pass leaves
+  alone in its group is in no later pass.
 
 The passes over the corpus are grouped counts or minima with map-side combining and a join back, so a group that holds a
 third of all suffixes is neither collected nor paired.
@@ -24,23 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from granary.llm import repeats
-from granary.llm.common import BYTE_CODE, K1, mix, stored
-
-
-def radix_passes(digits: list[np.ndarray]) -> np.ndarray:
-    """Groups suffixes by their digits, most significant first. Returns the first suffix of each one's group; -1: it is alone."""
-    n = len(digits[0])
-    group, alive = np.zeros(n, np.uint64), np.arange(n)
-    for digit in digits:
-        key = mix(group[alive] * K1 + digit[alive])
+from granary.llm.common import stored
+
+
+def byte_ranks(data: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """The rank of the size bytes from each place on among all such strings of data, in byte order, and how many there are. size: 8 at most."""
+    room = np.concatenate((data, np.zeros(size, np.uint8)))
+    number = np.zeros(len(data), np.uint64)
+    for i in range(size):
+        number = (number << np.uint64(8)) | room[i : i + len(data)]
+    values, rank = np.unique(number, return_inverse=True)
+    return rank, len(values)
+
+
+def radix_passes(digits: list[np.ndarray], base: int) -> np.ndarray:
+    """Sorts suffixes by their digits (below base), most significant first. Returns the group of each one at full depth, in order; -1: it is alone."""
+    group, alive, i = np.zeros(len(digits[0]), np.int64), np.arange(len(digits[0])), 0
+    while i < len(digits) and len(alive):
+        key, many = group[alive], 1 + int(group[alive].max())
+        while True:
+            key, many, i = key * base + digits[i][alive], many * base, i + 1
+            if i == len(digits) or many * base >= 1 << 62:
+                break
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         shared = count[which] > 1
-        alive, key = alive[shared], key[shared]
-        group[alive] = key
-    out = np.full(n, -1)
-    if len(alive):
-        _, head, which = np.unique(group[alive], return_index=True, return_inverse=True)
-        out[alive] = alive[head][which]
+        alive = alive[shared]
+        group[alive] = which[shared]
+    out = np.full(len(group), -1)
+    out[alive] = group[alive]
     return out
 
 
@@ -48,20 +61,24 @@ def _sorted_shard(unit: repeats.Unit) -> Callable:
     """Sorts one shard's suffixes through full depth; returns the windows that stand earlier."""
 
     def f(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "place"], kind="stable")
         sizes = shard["span"].str.len().to_numpy()
         data = np.frombuffer(b"".join(shard["span"]), np.uint8)
         at = np.concatenate(([0], np.cumsum(sizes)))
-        h = repeats.gram_hashes(BYTE_CODE[data], unit.gram)
         before, low, high = (shard[c].to_numpy() for c in ("before", "low", "high"))
         lanes = np.arange(unit.reach + 1)
         ok = (lanes >= low[:, None]) & (lanes <= np.minimum(high, before)[:, None]) & (before[:, None] - lanes + unit.width <= sizes[:, None])
         row, back = np.nonzero(ok)
         start = at[row] + before[row] - back
-        anchor = shard["key"].to_numpy().view(np.uint64)[row] + back.astype(np.uint64)
-        first = radix_passes([anchor, *(h[start + o] for o in repeats.cover(0, unit.width, unit.gram))])
-        doc, place = shard["doc_id"].to_numpy()[row], shard["place"].to_numpy()[row] - back
-        again = (first >= 0) & ((doc[first] != doc) | (place[first] != place))
+        size = min(8, unit.width)
+        rank, many = byte_ranks(data, size)
+        group = radix_passes([rank[start + o] for o in repeats.cover(0, unit.width, size)], many)
+        some = np.flatnonzero(group >= 0)
+        group, doc, place = group[some], shard["doc_id"].to_numpy()[row[some]], (shard["place"].to_numpy()[row] - back)[some]
+        order = np.lexsort((place, doc, group))
+        group, doc, place = group[order], doc[order], place[order]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+        first = np.repeat(head, np.diff(np.append(head, len(group))))
+        again = (doc[first] != doc) | (place[first] != place)
         return repeats.in_runs(doc[again], place[again])
 
     return f

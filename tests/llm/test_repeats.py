@@ -119,3 +119,35 @@ def test_hashes_in_blocks(monkeypatch):
     whole = common.span_hashes(data, starts, ends)
     monkeypatch.setattr(common, "BLOCK", 100)
     assert (common.span_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 50
+
+
+def test_wide_windows_and_hot_anchors(spark):
+    """Windows of over 255 symbols, with few spans a shard."""
+    r = random.Random(7)
+    base = "".join(r.choices("ab", k=3000))
+    rows = [(i, base[: r.randint(0, 900)] + r.choice("xyz") + base[r.randint(0, 900) :]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 400, lambda t: list((t or "").encode()), bytes)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256, x.n_spans) for x in deduplicate_bytes(df, 400, 2).collect()}
+    assert got == want
+
+
+def test_radix_order_is_byte_order():
+    from granary.llm.suffixes import byte_ranks, radix_passes
+
+    r = random.Random(8)
+    data = bytes(r.choices([0, 97, 255], k=1500)) * 2
+    rank, many = byte_ranks(np.frombuffer(data, np.uint8), 8)
+    starts = np.arange(3000 - 20)
+    group = radix_passes([rank[starts + o] for o in (0, 8, 12)], many)
+    windows = [data[i : i + 20] for i in starts]
+    same = {w for w in windows if windows.count(w) > 1}
+    shared = [i for i in starts if group[i] >= 0]
+    assert {windows[i] for i in shared} == same and sorted(shared, key=lambda i: (group[i], i)) == sorted(shared, key=lambda i: (windows[i], i))
+
+
+def test_very_long_text_and_odd_columns(spark):
+    long = " ".join(str(i) for i in range(150_000))
+    df = spark.createDataFrame([(1, long, 1), (2, "x " + long, 2)], "doc_id long, text string, `a.b` int").selectExpr("*", "map('k', 1) as place", "3 as tag", "4 as h")
+    assert sorted((r.doc_id, r.n_removed) for r in deduplicate_words(df).collect()) == [(1, 0), (2, 150_000)]
+    assert sorted((r.doc_id, r.n_removed) for r in deduplicate_bytes(df).collect()) == [(1, 0), (2, len(long))]

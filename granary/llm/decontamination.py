@@ -4,7 +4,8 @@ Every benchmark window (13 words, or a whole shorter item) is a phrase query. Co
 each window's rarest terms. The index stores the postings (document, position, neighbouring words) of those terms only:
 any occurrence of a window has one at a known offset. Lists are joined by term, positions less the term's offset in the
 window give starts, and a start that all of the window's rarest terms agree on is a match, confirmed on the neighbours.
-Terms go to the tasks in blocks of a bounded size, so a benchmark of any size takes more passes, not more memory.
+Terms go to the tasks in blocks of a bounded size, one after another, so a benchmark of any size takes more passes, not
+more memory.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _windows(width: int) -> Callable:
 
 def _counts(block: object) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = block.value
+        (terms,) = block.value
         for batch in batches:
             data, at = strings(batch.column(0))
             for a, b in slabs(np.diff(at), 1 << 18):
@@ -77,18 +78,24 @@ POSTINGS = "doc_id long, tag long, n_words long, postings array<struct<term:bigi
 
 
 def _index(block: object, width: int) -> Callable:
-    """One row a document: its words and its postings of the block's terms, each with width - 1 words on either side."""
+    """One row a document: its words and its postings of the block's terms, each with width - 1 places on either side.
+
+    Places that no window of the term reaches to are zero: a posting of a term that is an item by itself is little more than a position.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, room = block.value, width - 1
+        (terms, before, after), room = block.value, width - 1
+        offsets = np.arange(-room, room + 1)
         for batch in batches:
             data, at = strings(batch.column("text"))
             for a, b in slabs(np.diff(at), 1 << 18):
                 codes, to = terms_of(data, at[a : b + 1])
-                place = np.flatnonzero(_members(codes, terms)[1])
+                which, known = _members(codes, terms)
+                place = np.flatnonzero(known)
+                which = which[place]
                 row = np.searchsorted(to, place, "right") - 1
-                lanes = place[:, None] + np.arange(-room, room + 1)[None, :]
-                inside = (lanes >= to[row][:, None]) & (lanes < to[row + 1][:, None])
+                lanes = place[:, None] + offsets[None, :]
+                inside = (lanes >= to[row][:, None]) & (lanes < to[row + 1][:, None]) & (offsets >= -before[which][:, None]) & (offsets <= after[which][:, None])
                 near = np.where(inside, codes[np.clip(lanes, 0, max(0, len(codes) - 1))] if len(codes) else 0, 0).astype("<u8")
                 near = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * (2 * room + 1)), len(place), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
                 lists = pa.StructArray.from_arrays([pa.array(codes[place].view(np.int64)), pa.array(place - to[row]), near], ["term", "position", "near"])
@@ -98,12 +105,16 @@ def _index(block: object, width: int) -> Callable:
     return f
 
 
-def _blocks(terms: DataFrame, limit: int) -> list:
-    """Broadcasts of the terms, of about limit terms at most each."""
-    context = terms.sparkSession.sparkContext
-    n = max(1, -(-terms.count() // limit))
-    kept = terms.withColumn("b", F.pmod(F.xxhash64("term", F.lit(7)), F.lit(n)))
-    return [context.broadcast(np.sort(np.array([r[0] for r in kept.where(F.col("b") == i).select("term").collect()], np.int64))) for i in range(n)]
+def _by_blocks(terms: DataFrame, limit: int, make: Callable[[object], DataFrame]) -> list[DataFrame]:
+    """make(broadcast of the columns of about limit rows of terms at most, sorted by term), stored, for all blocks. One block at a time is in memory."""
+    terms = stored(terms)
+    n, out = max(1, -(-terms.count() // limit)), []
+    for i in range(n):
+        block = terms.where(F.pmod(F.xxhash64("term", F.lit(7)), F.lit(n)) == i).toPandas().sort_values("term")
+        sent = terms.sparkSession.sparkContext.broadcast(tuple(block[c].to_numpy(np.int64) for c in block.columns))
+        out.append(stored(make(sent)))
+        sent.unpersist()
+    return out
 
 
 class PhraseIndex:
@@ -115,17 +126,18 @@ class PhraseIndex:
         self.items = of_items.select("item_id", "window").distinct()
         phrases = of_items.groupBy("window").agg(F.first("terms").alias("terms"), F.first("phrase").alias("phrase"))
         at = phrases.select("window", F.posexplode("terms").alias("offset", "term"))
-        counts = [given.select("text").mapInArrow(_counts(b), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")) for b in _blocks(at.select("term").distinct(), block_terms)]
+        counts = _by_blocks(at.select("term").distinct(), block_terms, lambda b: given.select("text").mapInArrow(_counts(b), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
         all_counts = counts[0]
         for c in counts[1:]:
             all_counts = all_counts.unionByName(c)
         # a window with a term that the corpus lacks occurs nowhere
-        ranked = at.join(stored(all_counts), "term", "left").withColumn("lacking", F.max(F.col("n").isNull()).over(Window.partitionBy("window")))
+        ranked = at.join(all_counts, "term", "left").withColumn("lacking", F.max(F.col("n").isNull()).over(Window.partitionBy("window")))
         ranked = ranked.where("not lacking").withColumn("k", F.row_number().over(Window.partitionBy("window").orderBy("n", "offset"))).where(F.col("k") <= rarest)
         sizes = phrases.select("window", F.size("terms").alias("n_terms"), "phrase")
         self.chosen = stored(ranked.join(sizes, "window").select("term", "window", "offset", "k", "n_terms", "phrase"))
         rows = given.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
-        parts = [stored(rows.mapInArrow(_index(b, width), POSTINGS)) for b in _blocks(self.chosen.select("term").distinct(), block_terms)]
+        reach = self.chosen.groupBy("term").agg(F.max("offset").alias("before"), F.max(F.col("n_terms") - 1 - F.col("offset")).alias("after"))
+        parts = _by_blocks(reach, block_terms, lambda b: rows.mapInArrow(_index(b, width), POSTINGS))
         self.documents = parts[0].select("doc_id", "tag", "n_words")
         self.postings = parts[0].select("doc_id", "tag", F.explode("postings").alias("p"))
         for p in parts[1:]:

@@ -3,6 +3,7 @@
 Pages that a rule judges are the seeds. Trust walks forward over links between hosts from hosts with allowed pages;
 distrust walks backward from hosts with blocked pages, to those that link to them. Both are personalised PageRanks with
 a share of the walks lost at every step, scaled to pages, so that without links a host has just the pages judged itself.
+Rounds go on until no host's score changes by more than a small part of the threshold.
 A host is blocked if its distrust is greater than its trust by more than half of its pages.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("source", host_of(whole).alias("target")).where("target != '' and target != source").distinct()
 
 
-def host_scores(pages: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """host, pages, trust, distrust. pages: host, html, rule_allows."""
+def host_scores(pages: DataFrame, tolerance: float = 0.001, damping: float = 0.85) -> DataFrame:
+    """host, pages, trust, distrust, each exact to tolerance * damping / (1 - damping) of the host's pages or so. pages: host, html, rule_allows."""
     hosts = stored(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if("rule_allows").alias("allowed"), F.count_if(~F.col("rule_allows")).alias("blocked")))
     links = stored(host_links(pages))
     seeds = hosts.where("host != ''").select("host", F.explode(F.array(F.struct(F.lit(True).alias("forward"), F.col("allowed").cast("double").alias("seed")), F.struct(F.lit(False).alias("forward"), F.col("blocked").cast("double").alias("seed")))).alias("x")).select("host", "x.forward", "x.seed")
@@ -74,14 +76,19 @@ def host_scores(pages: DataFrame, rounds: int = 10, damping: float = 0.85) -> Da
         both = stored(both.join(stored(out), ["host", "forward"]))
         seeds = stored(seeds.where("seed > 0"))
         rank = seeds.select("host", "forward", F.col("seed").alias("rank"))
-        for _ in range(rounds):
+        size = stored(hosts.select("host", F.col("pages").alias("scale")))
+        change = np.inf
+        while change > tolerance:  # walks lose a share at every step, so changes shrink by that share a round at least
             walked = both.join(rank, ["host", "forward"]).groupBy(F.col("to").alias("host"), "forward").agg((F.sum(F.col("rank") / F.col("links")) * damping).alias("walked"))
-            rank = stored(seeds.join(walked, ["host", "forward"], "full").select("host", "forward", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("walked", F.lit(0.0))).alias("rank")))
+            new = seeds.join(walked, ["host", "forward"], "full").select("host", "forward", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("walked", F.lit(0.0))).alias("rank"))
+            new = stored(new.join(rank.withColumnRenamed("rank", "last"), ["host", "forward"], "left").join(size, "host", "left"))
+            change = new.agg(F.max(F.abs(F.col("rank") - F.coalesce("last", F.lit(0.0))) / F.coalesce("scale", F.lit(1)))).first()[0] or 0.0
+            rank = new.select("host", "forward", "rank")
     by_host = rank.groupBy("host").agg(F.sum(F.when(F.col("forward"), F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("forward"), 0.0).otherwise(F.col("rank"))).alias("distrust"))
     return hosts.select("host", "pages").join(stored(by_host), "host", "left").select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5, tolerance: float = 0.001, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), trust, distrust of every page.
 
     A rule decides where one fits; else the host's scores. rules is a list of the caller's, evaluated in one expression a
@@ -90,12 +97,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     Other columns are ignored; no rows give no rows.
     """
     p = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path")), rules)
-    scores = stored(host_scores(p, rounds, damping))
+    scores = stored(host_scores(p, tolerance, damping))
     verdict = F.when(F.coalesce("rule_allows", ~((F.col("host") != "") & (F.col("distrust") - F.col("trust") > threshold * F.col("pages")))), "allow").otherwise("block")
     return p.drop("html").join(scores, "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
 
-def oracle(rules: Sequence[Rule] = RULES, threshold: float = 0.5, rounds: int = 10, damping: float = 0.85) -> str:
+def oracle(rules: Sequence[Rule] = RULES, threshold: float = 0.5, rounds: int = 60, damping: float = 0.85) -> str:
     """DuckDB SQL for the rows of judge over pages."""
     cases = sorted(rules, key=lambda r: -len(r.text))
     fits = lambda r: f"(host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}')"

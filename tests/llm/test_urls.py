@@ -7,7 +7,7 @@ import pandas as pd
 from granary.llm import urls
 
 
-def brute(rows, rounds=10, damping=0.85):
+def brute(rows, rounds=200, damping=0.85):
     def cut(url):
         if url is None or "://" not in url:
             return "", ""
@@ -69,5 +69,26 @@ def test_against_brute_force_and_sql(spark):
     assert sql == want
 
 
+def test_a_long_chain_of_hosts_is_walked_to_its_end(spark):
+    """Distrust reaches hosts that are many links away from a blocked one, and dies out with the distance."""
+    rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(30)] + [(1000 + i, "http://h30.org.net/es/", "") for i in range(40)]
+    rows[29] = (29, "http://h29.org/", '<a href="http://h30.org.net/">x</a>')
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.verdict) for r in urls.judge(df).collect())
+    assert got == sorted((i, v) for i, _, _, _, v in brute(rows))
+    assert sum(v == "block" for i, v in got if i < 30) == 26
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert sorted((x[0], x[4]) for x in con.execute(urls.oracle()).fetchall()) == got
+
+
+def test_ties_repeats_long_pages_and_odd_columns(spark):
+    html = "<p>" + "x " * 300_000 + '<a href="http://b.net/">b</a>'
+    rows = [(1, "http://b.net/es/", html, 1), (1, "http://b.net/es/", html, 1), (2, "http://s.org/", html, 2), (3, "http://half.org/", html + '<a href="http://other.org/">', 3), (4, "http://half.org/", "", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `rule.a` int").selectExpr("*", "map('a', 1) as trust", "'x' as verdict", "1 as rank")
+    got = sorted((r.page_id, r.verdict) for r in urls.judge(df).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "allow")]
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

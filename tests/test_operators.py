@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -157,25 +158,45 @@ def test_policies_are_checked():
             chunking.ChunkPolicy(**({"name": "p", "version": "1", "strategy": "element"} | kw))
 
 
-def source(i, kind, content, **kw):
-    return context.Source(i, kind, kw.get("title"), content, kw.get("priority", 0), kw.get("score"), {})
+def pack(spark, requirement, policy, sources):
+    """Decisions in order. sources: id, type, content, priority."""
+    rows = [("r", n, i, kind, None, content, priority[0] if priority else 0, None, {}) for n, (i, kind, content, *priority) in enumerate(sources)]
+    schema = "request_id string, place int, source_id string, source_type string, title string, content string, priority int, score double, metadata map<string,string>"
+    requests = spark.createDataFrame([("r", requirement)], "request_id string, requirement string")
+    return context.build_contexts(requests, spark.createDataFrame(rows, schema), policy).orderBy("place").collect()
 
 
-def test_context_packing():
-    p = context.Packer("need 退款规则", context.POLICIES["balanced"])
-    done = p.pack([source("a", "evidence", "same text"), source("b", "business_rule", "Same  Text"), source("c", "history", "h"), source("c", "history", "h2", priority=5), source("d", "evidence", "x" * 5000), source("e", "other", "o")])
-    said = {(s.source_id, status, reason) for s, _, status, reason, _, _ in done}
+def test_context_packing(spark):
+    done = pack(spark, "need 退款规则", context.POLICIES["balanced"], [("a", "evidence", "same text"), ("b", "business_rule", "Same  Text"), ("c", "history", "h"), ("c", "history", "h2", 5), ("d", "evidence", "x" * 5000), ("e", "other", "o")])
+    said = {(r.source_id, r.status, r.reason) for r in done}
     assert ("a", "dropped", "duplicate_content") in said and ("b", "included", "whole") in said and ("c", "dropped", "duplicate_source_id") in said
     assert ("d", "included", "compressed") in said and ("e", "included", "whole") in said
-    q = context.Packer("x", context.POLICIES["minimal"])
-    assert {r for _, _, _, r, _, _ in q.pack([source("a", "evidence", "t")])} == {"source_type_excluded"}
-    full = context.Packer("x", context.ContextPolicy("p", 60, context._sections(10, 50, 0, 0, 0), False))
-    out = full.pack([source("big", "business_rule", "b" * 200), source("small", "evidence", "s" * 10), source("h", "history", "h")])
-    assert [(s.source_id, st, r) for s, _, st, r, _, _ in out] == [("big", "dropped", "token_budget_exceeded"), ("small", "included", "whole"), ("h", "dropped", "section_disabled")]
-    with pytest.raises(ValueError):
-        context.Packer("  ", context.POLICIES["balanced"])
-    short = context.compress("退款 first line.\nother line\n退款 last", 8, {"退款"})
-    assert short == "退款 first line."
+    assert [(r.source_id, r.content) for r in done if r.source_id == "c" and r.status == "included"] == [("c", "h2")]
+    assert {r.reason for r in pack(spark, "x", context.POLICIES["minimal"], [("a", "evidence", "t")])} == {"source_type_excluded"}
+    out = pack(spark, "x", context.ContextPolicy("p", 60, context._sections(10, 50, 0, 0, 0), False), [("big", "business_rule", "b" * 200), ("small", "evidence", "s" * 10), ("h", "history", "h")])
+    assert [(r.source_id, r.status, r.reason) for r in out] == [("big", "dropped", "token_budget_exceeded"), ("small", "included", "whole"), ("h", "dropped", "section_disabled")]
+    with pytest.raises(Exception, match="blank"):
+        pack(spark, "  ", context.POLICIES["balanced"], [("a", "evidence", "t")])
+    parts = [{"text": "退款 first line.", "hits": 1, "tokens": 7}, {"text": "other line", "hits": 0, "tokens": 5}, {"text": "退款 last", "hits": 1, "tokens": 3}]
+    assert context._shortened(parts, "", 8) == "退款 first line."
+
+
+def test_packing_keeps_budgets(spark):
+    r = random.Random(3)
+    kinds = [t for t in context.SECTION_OF if t != "requirement"]
+    policy = context.ContextPolicy("p", 60, context._sections(5, 40, 20, 10, 5), True, 15, 4)
+    for _ in range(6):
+        sources = [(r.choice("abcd"), r.choice(kinds), "".join(r.choices("ab .!\n\t。", k=r.randint(0, 60))), r.randint(0, 3)) for _ in range(r.randint(1, 10))]
+        done = pack(spark, "need", policy, sources)
+        assert len(done) == len(sources) and [x.place for x in done] == list(range(1, len(done) + 1))
+        used = {}
+        for x in done:
+            if x.status == "included":
+                used[x.section] = used.get(x.section, 0) + x.tokens
+                assert x.tokens == max(1, len(x.shown) // 2)
+        assert all(n <= policy.sections[k] for k, n in used.items()) and sum(used.values()) + 2 <= 60
+        kept = [x for x in done if not x.reason.startswith("duplicate")]
+        assert len({x.source_id for x in kept}) == len(kept)
 
 
 def test_citations(spark):

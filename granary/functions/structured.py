@@ -18,6 +18,17 @@ LEVELS = ("high", "medium", "low")
 RISK = "struct<title:string,category:string,level:string,rationale:string,citations:array<struct<source_id:string,excerpt:string>>>"
 
 
+def response_format(mode: str, schema: dict | None = None, name: str = "response") -> dict | None:
+    """What a request says about the form of its answer. mode: none, json_object or json_schema (strict)."""
+    if mode == "none":
+        return None
+    if mode == "json_object":
+        return {"type": mode}
+    if mode != "json_schema" or schema is None:
+        raise ValueError(f"no response format {mode} without a schema")
+    return {"type": mode, mode: {"name": name, "schema": schema, "strict": True}}
+
+
 def json_text(c: Column | str) -> Column:
     """Stripped; a fence around the whole is taken off."""
     t = strip(c)

@@ -98,3 +98,22 @@ def local_embedding(text: Column | str, kind: str = "document", buckets: int = 4
         return F.concat(F.array(*concepts), hashed, F.array(*mode))
 
     return normalized(let(t, of))
+
+
+#: Fixed groups of words that stand for a concept each, synonyms included.
+SEMANTIC_CONCEPTS = (
+    ("refund", ("退款", "退费", "退钱", "退回来", "refund")),
+    ("trial", ("试学", "预约", "trial")),
+    ("metadata", ("metadata", "source", "filename", "header_path", "来源", "出处", "引用", "出处字段")),
+    ("stable_id", ("stable", "id", "document_id", "chunk_id", "更新", "删除", "稳定")),
+    ("embedding", ("embedding", "向量", "向量化")),
+    ("similarity", ("similarity", "相似度", "检索", "召回")),
+    ("support", ("答疑", "support", "工作日", "助教")),
+)
+
+
+def mock_semantic_vector(text: Column | str) -> Column:
+    """Hits of each concept's words, of unit length; a text without any is the zero vector."""
+    t = F.trim(F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"(?U)\s+", " "))
+    hits = let(t, lambda t: F.array(*[F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))).cast("double") for _, words in SEMANTIC_CONCEPTS]))
+    return let(hits, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))

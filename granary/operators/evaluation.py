@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,17 @@ def token_report(chunks: DataFrame, *by: str) -> DataFrame:
     total = per_value.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
     median = total.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min("token_count").alias("median_tokens"))
     return stats.join(median, keys) if keys else stats.crossJoin(median)
+
+
+def cached_runs(records: DataFrame, order: Sequence[str], key: str = "key", measures: Sequence[str] = ("total_tokens",)) -> DataFrame:
+    """Records of a run with an exact cache: cache_hit, and for hits the first record's measures instead of their own, saved_ before each.
+
+    A record hits if an earlier one, by order, has its key.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    hit = F.row_number().over(w) > 1
+    out = records.withColumn("cache_hit", hit)
+    for m in measures:
+        first = F.first(m).over(w)
+        out = out.withColumn(f"saved_{m}", F.when(F.col("cache_hit"), F.coalesce(first, F.lit(0))).otherwise(0)).withColumn(m, first)
+    return out

@@ -5,14 +5,16 @@ Routes are DataFrames of query_id, chunk_id, score and rank; one job answers a b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import vector
+from granary.sources import tables
 
 
 def visible(chunks: DataFrame, scope: str | None = None, roles: Sequence[str] = (), eligibilities: Sequence[str] = (), config_ref: str | None = None) -> DataFrame:
@@ -40,59 +42,157 @@ def top(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("query_id"
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(docs: DataFrame, terms: Column, doc_id: str = "doc_id") -> DataFrame:
-    """Inverted lists: term, doc_id, tf, doc_len. terms: array of each document's terms, with repeats."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), terms.alias("terms")).withColumn("doc_len", F.size("terms"))
-    return d.select("doc_id", "doc_len", F.explode("terms").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Inverted lists that are made once and serve many batches of questions: term, doc_id, tf, doc_len; a null term stands for every document."""
 
+    lists: DataFrame
 
-def corpus_statistics(lists: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row: n documents and their mean length. docs: doc_len of all documents, those without terms too."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    @staticmethod
+    def build(docs: DataFrame, terms: Column, doc_id: str = "doc_id", folder: str | None = None) -> LexicalIndex:
+        """Tokenises docs once and writes the lists to the folder (else a shared one of the session's). terms: array of each document's terms, with repeats."""
+        d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(terms, F.array().cast("array<string>")).alias("terms")).withColumn("doc_len", F.size("terms"))
+        every = F.concat("terms", F.array(F.lit(None).cast("string")))
+        lists = d.select("doc_id", "doc_len", F.explode(every).alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+        return LexicalIndex(tables.written(lists, folder))
 
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LexicalIndex:
+        return LexicalIndex(spark.read.parquet(folder))
 
-def bm25(queries: DataFrame, docs: DataFrame, query_terms: Column, doc_terms: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    def statistics(self) -> DataFrame:
+        """One row: n documents and their mean length, those without terms too."""
+        return self.lists.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The lists of the given terms."""
+        return self.lists.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def bm25(queries: DataFrame, index: LexicalIndex, query_terms: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, bm25 of documents that share a term. Repeated query terms count each time.
 
-    Query terms meet inverted lists on the term: a query's cost is its lists, not the corpus.
+    Query terms meet inverted lists on the term: a query's cost is its lists, not the corpus. A small batch of queries is sent to
+    the lists, which then stay where they are.
     """
-    lengths = docs.select(F.size(doc_terms).alias("doc_len"))
     q = queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = q.select("term").distinct()
-    lists = postings(docs, doc_terms).join(wanted, "term", "left_semi")
+    lists = index.of(q)
     df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_statistics(lists, lengths)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    weighted = lists.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # one row of statistics
-    return q.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
+    asked = q.join(df, "term").crossJoin(F.broadcast(index.statistics())).select("term", "query_id", (F.col("qtf") * idf * (k1 + 1)).alias("most"), "avgdl")  # one row of statistics
+    weight = F.col("most") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
+    return asked.join(lists, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("bm25"))
 
 
-def ts_rank(queries: DataFrame, docs: DataFrame, query_lexemes: Column, doc_lexemes: Column, weight: float = 0.1, most_places: int = 256) -> DataFrame:
-    """query_id, doc_id, fts_rank, matched_terms of an OR of lexemes: weighted inverse squares of their occurrences, by the count of query lexemes."""
+def ts_rank(queries: DataFrame, index: LexicalIndex, query_lexemes: Column, weight: float = 0.1, most_places: int | None = 256) -> DataFrame:
+    """query_id, doc_id, fts_rank, matched (how many lexemes) of an OR of lexemes: weighted inverse squares of their occurrences, by the count of query lexemes.
+
+    most_places: occurrences of a lexeme in a document that count. The 256 is the rule of the ranking function that this
+    follows, whose index keeps no more; None counts all.
+    """
     q = queries.select("query_id", F.array_distinct(query_lexemes).alias("lexemes")).withColumn("size", F.size("lexemes")).select("query_id", "size", F.explode("lexemes").alias("term"))
-    lists = postings(docs, doc_lexemes).join(q.select("term").distinct(), "term", "left_semi")
-    squares = F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(most_places)).cast("int")), F.lit(0.0), lambda a, j: a + 1 / (j * j).cast("double"))
-    weighted = lists.select("term", "doc_id", (squares * weight / 1.64493406685).alias("w"))  # once a posting, not once a question
-    scored = q.join(weighted, "term").groupBy("query_id", "doc_id", "size").agg(F.sum("w").alias("total"), F.collect_list("term").alias("terms"))
-    return scored.select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), F.array_sort("terms").alias("matched_terms"))
+    places = F.col("tf") if most_places is None else F.least("tf", F.lit(most_places))
+    squares = F.aggregate(F.sequence(F.lit(1), places.cast("int")), F.lit(0.0), lambda a, j: a + 1 / (j * j).cast("double"))
+    weighted = index.of(q).select("term", "doc_id", (squares * weight / 1.64493406685).alias("w"))  # once a posting, not once a question
+    scored = q.join(weighted, "term").groupBy("query_id", "doc_id", "size").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("matched"))
+    return scored.select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), "matched")
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def matched_terms(found: DataFrame, queries: DataFrame, index: LexicalIndex, query_lexemes: Column) -> DataFrame:
+    """found (query_id, doc_id, ...) with the sorted query lexemes that each document holds: for the few that are shown."""
+    q = queries.select("query_id", F.explode(F.array_distinct(query_lexemes)).alias("term"))
+    terms = found.select("query_id", "doc_id").join(q, "query_id").join(index.lists.select("term", "doc_id"), ["term", "doc_id"], "left_semi")
+    return found.join(terms.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("term")).alias("matched_terms")), ["query_id", "doc_id"], "left")
+
+
+def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """rows, if there are no more than most of them; else an error, before anything is sent to all tasks."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}: give them in batches")
+    return F.broadcast(rows)
+
+
+def keyword_scores(queries: DataFrame, docs: DataFrame, most: int = 10_000) -> DataFrame:
     """query_id, chunk_id, score, matched: the share of a chunk's keywords that stand in the question. queries: question; docs: chunk_id, keywords.
 
-    docs is a hand-kept knowledge base that fits in memory; questions may be many.
+    docs is a hand-kept knowledge base of at most so many chunks, which meets every question; questions may be many.
     """
-    return queries.crossJoin(F.broadcast(docs)).withColumn("matched", F.filter("keywords", lambda k: F.contains(F.col("question"), k))).where(F.size("matched") > 0).select("query_id", "chunk_id", F.round(F.size("matched") / F.size("keywords"), 2).alias("score"), "matched")
+    return queries.crossJoin(bounded(docs, most, "chunks")).withColumn("matched", F.filter("keywords", lambda k: F.contains(F.col("question"), k))).where(F.size("matched") > 0).select("query_id", "chunk_id", F.round(F.size("matched") / F.size("keywords"), 2).alias("score"), "matched")
+
 
+METRICS = ("distance", "cosine", "dot", "euclidean")
 
-def dense(queries: DataFrame, vectors: DataFrame, metric: str = "distance") -> DataFrame:
-    """query_id, chunk_id, score of every pair. queries: query_id, query_vector (a bounded batch); vectors: chunk_id, embedding."""
-    if metric not in ("distance", "cosine", "dot", "euclidean"):
+
+def dense(queries: DataFrame, vectors: DataFrame, metric: str = "distance", most: int = 1000) -> DataFrame:
+    """query_id, chunk_id, score of every pair of a batch of queries and a vector. queries: query_id, query_vector, at most so many; vectors: chunk_id, embedding.
+
+    For what needs all scores, as counts under a threshold do; the best alone come from dense_top.
+    """
+    if metric not in METRICS:
         raise ValueError(f"no metric {metric}")
-    pairs = vectors.join(queries)
     score = vector.cosine_distance("query_vector", "embedding") if metric == "distance" else vector.similarity("query_vector", "embedding", metric)
-    return pairs.select("query_id", "chunk_id", score.alias("score"))
+    return vectors.crossJoin(bounded(queries, most, "queries")).select("query_id", "chunk_id", score.alias("score"))
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "distance", most: int = 10_000, digits: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k best vectors for each of at most so many queries; ties to the smaller chunk_id.
+
+    The batch of queries is a matrix that meets each block of vectors once; a block passes on k rows a query at most. digits
+    rounds scores before they are ranked.
+    """
+    if metric not in METRICS or k <= 0:
+        raise ValueError(f"no metric {metric}, or k not positive")
+    q = queries.limit(most + 1).toPandas()
+    if len(q) > most:
+        raise ValueError(f"more than {most} queries: give them in batches")
+    types = dict(queries.dtypes), dict(vectors.dtypes)
+    schema = f"query_id {types[0]['query_id']}, chunk_id {types[1]['chunk_id']}, score double"
+    sign = 1 if metric in ("distance", "euclidean") else -1
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.stack([np.asarray(v, float) for v in q["query_vector"]]) if len(q) else np.zeros((0, 0))
+        for batch in batches:
+            if not len(batch) or not len(m):
+                continue
+            batch = batch.sort_values("chunk_id", kind="stable")
+            v = np.stack([np.asarray(x, float) for x in batch["embedding"]])
+            if metric == "euclidean":
+                scores = np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in m])
+            else:
+                scores = m @ v.T
+                if metric != "dot":
+                    sizes = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                    if not sizes.all():
+                        raise ValueError("cosine of a zero vector")
+                    scores = scores / sizes
+                if metric == "distance":
+                    scores = 1 - scores
+            scores = scores if digits is None else np.round(scores, digits)
+            order = np.argsort(sign * scores, axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "chunk_id": batch["chunk_id"].to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    near = vectors.select("chunk_id", "embedding").mapInPandas(f, schema)
+    return top(near, k, (F.asc if sign > 0 else F.desc)("score"), F.asc("chunk_id"))
+
+
+def dense_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, space: str | None = None, **filters) -> DataFrame:
+    """The k nearest of the chunks that may be seen (visible's filters), each with its chunk's columns. vectors: chunk_id, embedding, space_ref."""
+    seen = visible(chunks, **filters)
+    v = vectors if space is None else vectors.where(F.col("space_ref") == space)
+    found = dense_top(queries, v.join(seen.select("chunk_id"), "chunk_id", "left_semi"), k)
+    return found.join(seen, "chunk_id")
+
+
+def route_conflicts(candidates: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Chunks that routes disagree on: chunk_id, variants (how many different identities). Fusion needs that there are none."""
+    return candidates.groupBy("chunk_id").agg(F.count_distinct(F.struct(*identity)).alias("variants")).where("variants > 1")
+
+
+def rank_faults(candidates: DataFrame) -> DataFrame:
+    """Routes that can't be fused: query_id, route_name, reason (repeated_chunk, or ranks_not_contiguous: not just 1 to n). candidates: query_id, route_name, chunk_id, rank."""
+    one = candidates.groupBy("query_id", "route_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("rank").alias("ranks"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+    contiguous = (F.col("first") == 1) & (F.col("last") == F.col("n")) & (F.col("ranks") == F.col("n"))
+    return one.select("query_id", "route_name", F.when(~contiguous, "ranks_not_contiguous").when(F.col("chunks") < F.col("n"), "repeated_chunk").alias("reason")).where("reason is not null")
 
 
 def threshold(route: DataFrame, value: float | None, higher_is_better: bool) -> DataFrame:
@@ -143,11 +243,17 @@ def weighted_hybrid(dense_scores: DataFrame, lexical_scores: DataFrame, corpus:
 
     The others need no rows: they only bring a 0 into the scaling of a query that doesn't have all chunks as candidates.
     """
-    both = dense_scores.select("query_id", "chunk_id", F.col("score").alias("d")).join(lexical_scores.select("query_id", "chunk_id", F.col("score").alias("l")), ["query_id", "chunk_id"], "full").fillna(0.0, ["d", "l"])
+    one = dense_scores.select("query_id", "chunk_id", F.col("score").alias("d"), F.lit(0.0).alias("l")).unionByName(lexical_scores.select("query_id", "chunk_id", F.lit(0.0).alias("d"), F.col("score").alias("l")))
+    both = one.groupBy("query_id", "chunk_id").agg(F.sum("d").alias("d"), F.sum("l").alias("l"))
     size = corpus.agg(F.count_distinct("chunk_id").alias("all"))
-    both = both.crossJoin(F.broadcast(size)).withColumn("some", F.count(F.lit(1)).over(Window.partitionBy("query_id")))  # one row
-    zero = F.when(F.col("some") < F.col("all"), 0.0)
-    return both.select("query_id", "chunk_id", (alpha * min_max("d", low=zero) + (1 - alpha) * min_max("l", low=zero)).alias("hybrid"))
+    scale = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("some"), *[g(c).alias(f"{c}_{n}") for c in "dl" for n, g in (("least", F.min), ("most", F.max))]).crossJoin(F.broadcast(size))  # one row
+
+    def scaled(c: str) -> Column:
+        zero = F.when(F.col("some") < F.col("all"), 0.0)
+        least, most = F.least(f"{c}_least", zero), F.greatest(f"{c}_most", zero)
+        return F.when(most == least, 1.0).otherwise((F.col(c) - least) / (most - least))
+
+    return both.join(scale, "query_id").select("query_id", "chunk_id", (alpha * scaled("d") + (1 - alpha) * scaled("l")).alias("hybrid"))
 
 
 def token_f1(query_tokens: Column, doc_tokens: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.functions import vector as V
 from granary.operators import context, evaluation, retrieval
+from granary.sources.tables import spread
 
 WORDS = "[a-z0-9]+"
 
@@ -24,14 +25,18 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    s = retrieval.bm25(_questions(spark, d), read(spark, d, "documents"), _words(), _words()).withColumn("score", F.round("bm25", 6))
+def _index(spark: SparkSession, d: str) -> retrieval.LexicalIndex:
+    return retrieval.LexicalIndex.build(spread(read(spark, d, "documents").select("doc_id", "text")), _words())
+
+
+def _bm25(spark: SparkSession, d: str, k: int, index: retrieval.LexicalIndex | None = None) -> DataFrame:
+    s = retrieval.bm25(_questions(spark, d), index or _index(spark, d), _words()).withColumn("score", F.round("bm25", 6))
     return retrieval.top(s, k, F.desc("score"), F.asc("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
 
 
-def _fts(spark: SparkSession, d: str, k: int) -> DataFrame:
-    s = retrieval.ts_rank(_questions(spark, d), read(spark, d, "documents"), _words(), _words()).withColumn("score", F.round("fts_rank", 6))
-    return retrieval.top(s, k, F.desc("score"), F.asc("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank", F.size("matched_terms").alias("matched"))
+def _fts(spark: SparkSession, d: str, k: int, index: retrieval.LexicalIndex | None = None) -> DataFrame:
+    s = retrieval.ts_rank(_questions(spark, d), index or _index(spark, d), _words()).withColumn("score", F.round("fts_rank", 6))
+    return retrieval.top(s, k, F.desc("score"), F.asc("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank", "matched")
 
 
 def visibility_prefilter(spark, d):
@@ -49,7 +54,7 @@ def ts_rank_topk(spark, d):
 
 def fts_counts(spark, d):
     """Matches of each question, counted before the limit."""
-    s = retrieval.ts_rank(_questions(spark, d), read(spark, d, "documents"), _words(), _words())
+    s = retrieval.ts_rank(_questions(spark, d), _index(spark, d), _words())
     q = _questions(spark, d).select("query_id")
     return q.join(s.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches")), "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
@@ -60,18 +65,23 @@ def _centroids(spark: SparkSession, d: str) -> DataFrame:
     return means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("query_vector"))
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieval.dense(F.broadcast(_centroids(spark, d)), vectors)  # one centroid a label
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def dense_topk(spark, d):
-    s = _dense(spark, d).withColumn("score", F.round("score", 6))
-    return retrieval.top(s, 10, F.asc("score"), F.asc("chunk_id"))
+    return retrieval.dense_top(_centroids(spark, d), _vectors(spark, d), 10, digits=6)
+
+
+def dense_visible_topk(spark, d):
+    """Of the documents that may be seen, those whose vector (of the same number) is nearest to each centroid."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_role"), F.create_map(F.lit("knowledge_scope"), "lang").alias("business_metadata"))
+    found = retrieval.dense_search(_centroids(spark, d), docs, _vectors(spark, d), 5, scope="en")
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "source_role")
 
 
 def dense_threshold_report(spark, d):
-    return retrieval.route_report(retrieval.threshold(_dense(spark, d), 0.75, False))
+    return retrieval.route_report(retrieval.threshold(retrieval.dense(_centroids(spark, d), _vectors(spark, d)), 0.75, False))
 
 
 def centroid_pairs(spark, d):
@@ -81,7 +91,8 @@ def centroid_pairs(spark, d):
 
 
 def _fused(spark, d):
-    return retrieval.reciprocal_rank_fusion({"bm25": _bm25(spark, d, 20), "fts": _fts(spark, d, 20)})
+    index = _index(spark, d)
+    return retrieval.reciprocal_rank_fusion({"bm25": _bm25(spark, d, 20, index), "fts": _fts(spark, d, 20, index)})
 
 
 def rrf_fusion(spark, d):
@@ -93,7 +104,8 @@ def rrf_diagnostics(spark, d):
 
 
 def weighted_hybrid(spark, d):
-    routes = [f(_questions(spark, d), read(spark, d, "documents"), _words(), _words()).select("query_id", F.col("doc_id").alias("chunk_id"), F.col(c).alias("score")) for f, c in ((retrieval.ts_rank, "fts_rank"), (retrieval.bm25, "bm25"))]
+    index = _index(spark, d)
+    routes = [f(_questions(spark, d), index, _words()).select("query_id", F.col("doc_id").alias("chunk_id"), F.col(c).alias("score")) for f, c in ((retrieval.ts_rank, "fts_rank"), (retrieval.bm25, "bm25"))]
     s = retrieval.weighted_hybrid(*routes, read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")), 0.6).withColumn("hybrid", F.round("hybrid", 6))
     return retrieval.top(s, 5, F.desc("hybrid"), F.asc("chunk_id"))
 
@@ -105,7 +117,7 @@ def rerank_f1(spark, d):
 
 
 def mmr_select(spark, d):
-    c = retrieval.top(_dense(spark, d).withColumn("score", 1 - F.col("score")), 20, F.desc("score"), F.asc("chunk_id"))
+    c = retrieval.dense_top(_centroids(spark, d), _vectors(spark, d), 20, "cosine")
     return retrieval.mmr(c.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")), "chunk_id"), 5)
 
 
@@ -124,13 +136,15 @@ def keyword_retrieve(spark, d):
 
 
 def retrieval_metrics(spark, d):
-    results = _bm25(spark, d, 5).withColumnRenamed("query_id", "case_id")
-    return evaluation.retrieval_metrics(results, _fts(spark, d, 3).withColumnRenamed("query_id", "case_id")).select("case_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), "hit")
+    index = _index(spark, d)
+    results = _bm25(spark, d, 5, index).withColumnRenamed("query_id", "case_id")
+    return evaluation.retrieval_metrics(results, _fts(spark, d, 3, index).withColumnRenamed("query_id", "case_id")).select("case_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), "hit")
 
 
 def retrieval_metric_means(spark, d):
-    results = _bm25(spark, d, 5).withColumnRenamed("query_id", "case_id")
-    m = evaluation.mean_metrics(evaluation.retrieval_metrics(results, _fts(spark, d, 3).withColumnRenamed("query_id", "case_id")))
+    index = _index(spark, d)
+    results = _bm25(spark, d, 5, index).withColumnRenamed("query_id", "case_id")
+    m = evaluation.mean_metrics(evaluation.retrieval_metrics(results, _fts(spark, d, 3, index).withColumnRenamed("query_id", "case_id")))
     return m.select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("hit_rate", 6).alias("hit_rate"), "cases")
 
 
@@ -145,12 +159,12 @@ def context_pack(spark, d):
 def citation_membership(spark, d):
     c = read(spark, d, "conversations")
     claims = c.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("risk_index"), F.lit(1).alias("citation_index"), F.concat(F.lit("src"), F.length("text") % 30).alias("source_id"))
-    allowed = c.select(F.col("conv_id").cast("string").alias("request_id")).distinct().join(F.broadcast(read(spark, d, "documents").select(F.col("source").alias("source_id")).distinct()))
-    return context.citation_membership(claims, allowed.where("source_id != 'src7'"))
+    allowed = read(spark, d, "documents").select(F.col("source").alias("source_id")).where("source_id != 'src7'")  # for all requests
+    return context.citation_membership(claims, allowed)
 
 
 def local_embedding(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.transform(V.local_embedding("text"), lambda x: F.round(x, 6)).alias("v"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(V.local_embedding("text"), lambda x: F.round(x, 6)).alias("v"))
 
 
 def vector_validity(spark, d):
@@ -190,7 +204,7 @@ m as (select case_id, coalesce(found, 0) / wanted as recall, coalesce(1.0::doubl
 _CONCEPTS = ", ".join("(" + " + ".join(f"contains(t, '{w}')::double" for w in words) + ")" for _, words in V.CONCEPTS)
 _STOPS = ", ".join(f"'{w}'" for w in V.EMBEDDER_STOP_WORDS)
 
-QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, ts_rank_topk, fts_counts, dense_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
+QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, ts_rank_topk, fts_counts, dense_topk, dense_visible_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
 
 SQL = {
     "visibility_prefilter": "select doc_id, source as source_role, lang as scope from documents where lang = 'en' and source in ('src1', 'src2', 'src3')",
@@ -198,6 +212,8 @@ SQL = {
     "ts_rank_topk": f"with {_LISTS}, {_FTS} select query_id, chunk_id, score, rank, matched from f where rank <= 5",
     "fts_counts": f"with {_LISTS}, {_FTS} select item_id as query_id, count(chunk_id) as matches from benchmark left join f on query_id = item_id group by item_id",
     "dense_topk": f"{_DENSE} select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6), chunk_id) as rank from s qualify rank <= 10",
+    "dense_visible_topk": f"""{_DENSE}, v as (select query_id, chunk_id, score, source as source_role from s join documents on doc_id = chunk_id where lang = 'en')
+      select query_id, chunk_id, row_number() over (partition by query_id order by score, chunk_id) as rank, round(score, 6) as score, source_role from v qualify rank <= 5""",
     "dense_threshold_report": f"{_DENSE} select query_id, count(*) as candidates, count(*) filter (score <= 0.75) as passed, count(*) filter (score > 0.75) as dropped from s group by query_id",
     "centroid_pairs": f"with {_CENTROIDS} select x.query_id as a, y.query_id as b, round(list_cosine_similarity(x.qv, y.qv), 6) as cosine, round(list_dot_product(x.qv, y.qv), 6) as dot, round(list_distance(x.qv, y.qv), 6) as euclidean from c x join c y on x.query_id < y.query_id",
     "rrf_fusion": f"{_RRF} select query_id, fusion_rank, chunk_id as doc_id, round(s, 8) as rrf_score, n_routes from o where fusion_rank <= 5",

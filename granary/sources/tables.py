@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written once and read back: to the folder, or to one of its own under spark.checkpoint.dir, which driver and executors share (a local session that has none gets one)."""
+    spark = df.sparkSession
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+            spark.conf.set("spark.checkpoint.dir", shared)
+        folder = f"{shared}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt over all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], kept: Sequence[str] = ("created_at",)) -> DataFrame:
     """table with the rows of batch put in by key; of a row that is replaced, the kept columns stay."""
     stays = [c for c in kept if c in table.columns]

@@ -37,10 +37,17 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "1 hour") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def rolling_history(messages: DataFrame, most: int, keep_for: str = "1 hour") -> DataFrame:
-    """conv_id and its last messages after each batch: the first system message and the latest others. messages: conv_id, turn, role, text, ts."""
+def rolling_history(messages: DataFrame, most: int, keep_for: int | None = None) -> DataFrame:
+    """conv_id and its last messages after each batch: the first system message and the latest others. messages: conv_id, turn, role, text, ts.
+
+    A conversation is forgotten once the latest messages of all are keep_for seconds newer than its own, and so are messages that
+    come later than that. Without keep_for, the state of all conversations stays.
+    """
 
     def f(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         system, others = (None, []) if not state.exists else (state.get[0], [tuple(x.split("\x1f", 1)) for x in state.get[1]])
         rows = pd.concat(list(batches)).sort_values("turn")
         for role, text in zip(rows["role"], rows["text"].fillna("").str.strip(), strict=True):
@@ -53,15 +60,19 @@ def rolling_history(messages: DataFrame, most: int, keep_for: str = "1 hour") ->
         room = max(most - (system is not None), 0)
         others = others[len(others) - room :] if room and len(others) > room else others if room else []
         state.update((system, ["\x1f".join(x) for x in others]))
+        if keep_for is not None:
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_for * 1000)
         yield pd.DataFrame({"conv_id": [key[0]], "messages": [[*([f"system: {system}"] if system else []), *(f"{r}: {t}" for r, t in others)]]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(f, "conv_id long, messages array<string>", "system string, others array<string>", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep_for is None else GroupStateTimeout.EventTimeTimeout
+    timed = messages if keep_for is None else messages.withWatermark("ts", f"{keep_for} seconds")
+    return timed.groupBy("conv_id").applyInPandasWithState(f, "conv_id long, messages array<string>", "system string, others array<string>", "update", timeout)
 
 
-def running_quota(usage: DataFrame, limit: int) -> DataFrame:
-    """subject, day, used, exceeded: totals so far. usage: subject, ts, tokens."""
-    u = usage.groupBy("subject", F.to_date("ts").alias("day")).agg(F.sum(F.greatest("tokens", F.lit(0))).alias("used"))
-    return u.withColumn("exceeded", F.col("used") >= limit)
+def running_quota(usage: DataFrame, limit: int, late: str = "2 days") -> DataFrame:
+    """subject, day, used, exceeded: totals so far. usage: subject, ts, tokens. Days that end more than late before the last event leave the state, but in complete mode."""
+    u = usage.withWatermark("ts", late).groupBy("subject", F.window("ts", "1 day").alias("w")).agg(F.sum(F.greatest("tokens", F.lit(0))).alias("used"))
+    return u.select("subject", F.to_date("w.start").alias("day"), "used", (F.col("used") >= limit).alias("exceeded"))
 
 
 def sse_lines(events: DataFrame) -> DataFrame:
@@ -69,6 +80,17 @@ def sse_lines(events: DataFrame) -> DataFrame:
     return events.select(server_sent_event(F.col("run_id").cast("string"), F.col("sequence").cast("string"), F.col("type"), F.to_json(F.struct(*events.columns))).alias("value"))
 
 
+def stream_guard(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """Events of the requests that may not be streamed: an error, then done. requests: run_id, config_ref; models: config_ref, role, streaming (null: not known).
+
+    Requests of configurations that may stream have no rows here; nor have those of configurations that there aren't.
+    """
+    m = requests.join(models, "config_ref").withColumn("message", F.when(F.col("role") != "chat", F.concat("config_ref", F.lit(" is for "), "role", F.lit(", not for chat"))).when(~F.col("streaming"), F.concat("config_ref", F.lit(" can't stream"))))
+    error = F.struct(F.lit(1).alias("sequence"), F.lit("error").alias("type"), F.lit("capability_mismatch").alias("code"), F.col("message").alias("message"))
+    done = F.struct(F.lit(2).alias("sequence"), F.lit("done").alias("type"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"))
+    return m.where("message is not null").select("run_id", "config_ref", F.explode(F.array(error, done)).alias("e")).select("run_id", "e.*", "config_ref")
+
+
 def write_logs(batch: DataFrame, out: str, errors: str) -> None:
     """A foreachBatch sink of JSON lines: warnings and errors apart from the rest. batch: level and fields."""
     bad = F.col("level").isin("WARNING", "ERROR")

@@ -1,8 +1,10 @@
 """Hand-checked cases of the operators' exact rules."""
 
+import datetime
 import io
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -57,7 +59,7 @@ def test_mmr_prefers_the_different(spark):
 def test_bm25_counts_repeated_query_terms(spark):
     q = spark.createDataFrame([(1, ["x"]), (2, ["x", "x"])], "query_id int, t array<string>")
     d = spark.createDataFrame([(1, ["x", "y"]), (2, ["y"]), (3, [])], "doc_id int, t array<string>")
-    got = {r.query_id: r.bm25 for r in retrieval.bm25(q, d, F.col("t"), F.col("t")).collect()}
+    got = {r.query_id: r.bm25 for r in retrieval.bm25(q, retrieval.LexicalIndex.build(d, F.col("t")), F.col("t")).collect()}
     import math
 
     want = math.log((3 - 1 + 0.5) / 1.5 + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.0))
@@ -446,3 +448,49 @@ def test_schema_checks(spark):
     assert schema.document_text(e).first().text == "a\n\nb"
     empty = spark.createDataFrame([], schema.CHUNKS)
     assert "lexemes" in empty.columns
+
+
+def test_history_is_forgotten(spark, tmp_path):
+    """State leaves once the watermark has passed a conversation by keep_for; what comes later starts anew."""
+    from granary.streaming import events
+
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    day = lambda n: datetime.datetime(2024, 1, n)
+    for i, rows in enumerate(([(1, 1, "user", "a", day(1))], [(2, 1, "user", "b", day(9))], [(2, 2, "user", "c", day(10))], [(1, 2, "user", "d", day(10))])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "m" / f"b={i}"))
+        time.sleep(0.01)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "m"))
+    got = [(r.conv_id, r.messages) for r in events.drained(events.rolling_history(stream, 5, keep_for=3600), "forget_test", "update").collect()]
+    assert (1, ["user: d"]) in got and (2, ["user: b", "user: c"]) in got
+
+
+def test_response_formats():
+    assert structured.response_format("none") is None and structured.response_format("json_object") == {"type": "json_object"}
+    assert structured.response_format("json_schema", {"type": "array"}, "risks") == {"type": "json_schema", "json_schema": {"name": "risks", "schema": {"type": "array"}, "strict": True}}
+    with pytest.raises(ValueError):
+        structured.response_format("json_schema")
+
+
+def test_lexical_index_is_made_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["y"]), (3, []), (4, None)], "doc_id long, t array<string>")
+    retrieval.LexicalIndex.build(docs, F.col("t"), folder=str(tmp_path / "index"))
+    index = retrieval.LexicalIndex.load(spark, str(tmp_path / "index"))
+    assert tuple(index.statistics().first()) == (4, 1.0)
+    q = spark.createDataFrame([(1, ["x", "z"]), (2, ["y", "x"])], "query_id int, t array<string>")
+    found = retrieval.ts_rank(q, index, F.col("t"))
+    shown = retrieval.matched_terms(found, q, index, F.col("t")).collect()
+    assert {(r.query_id, r.doc_id): r.matched_terms for r in shown} == {(1, 1): ["x"], (2, 1): ["x", "y"], (2, 2): ["y"]}
+    with pytest.raises(ValueError, match="more than 1 queries"):
+        retrieval.dense_top(spark.createDataFrame([(1, [1.0]), (2, [1.0])], "query_id int, query_vector array<double>"), docs, 1, most=1)
+
+
+@pytest.mark.parametrize("metric", retrieval.METRICS)
+def test_dense_top_against_all_scores(spark, metric):
+    r = random.Random(9)
+    point = lambda: [r.choice([-1.0, 0.5, 2.0]) for _ in range(3)]
+    q = spark.createDataFrame([(i, point()) for i in range(5)], "query_id int, query_vector array<double>")
+    v = spark.createDataFrame([(i, point()) for i in range(60)], "chunk_id long, embedding array<double>").repartition(3)
+    order = F.asc if metric in ("distance", "euclidean") else F.desc
+    want = retrieval.top(retrieval.dense(q, v, metric).withColumn("score", F.round("score", 6)), 7, order("score"), F.asc("chunk_id"))
+    rows = lambda df: sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 6) + 0.0) for x in df.collect())
+    assert rows(retrieval.dense_top(q, v, 7, metric, digits=6)) == rows(want)

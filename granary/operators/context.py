@@ -91,10 +91,12 @@ def _shortened(parts: list[dict], text: str, target: int) -> str:
     return text[: max(40, 2 * target)].rstrip() + "..." if parts else text
 
 
-FILLED = "request_id string, source_id string, status string, why string, used long, text string, block string"
+DECISIONS = "request_id string, place int, source_id string, source_type string, section string, status string, reason string, tokens int, content string, citation boolean, shown string"
+#: Reasons that are known before any section is filled.
+EARLY = ("source_type_excluded", "duplicate_source_id", "duplicate_content")
 
 
-def _filled(policy: ContextPolicy) -> Callable:
+def _decided(policy: ContextPolicy) -> Callable:
     """Spends the budgets of one request on its sources, section by section, best first. A source is shown short or whole, whichever comes first that fits."""
 
     def versions(r: tuple, room: int) -> Iterator[tuple[str, str, str, int]]:
@@ -107,16 +109,17 @@ def _filled(policy: ContextPolicy) -> Callable:
         yield "whole", r.content, r.shown, r.tokens
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(turn=rows["section"].map(SECTIONS.index)).sort_values(["turn", "nth"])
+        early = rows["reason"].isin(EARLY)
+        rows = rows.assign(turn=rows["section"].map([*SECTIONS, *SECTION_OF.values()].index).where(~early, -1), at=rows["nth"].where(~early, rows["place"])).sort_values(["turn", "at"])
         left, rooms, out = policy.token_budget - int(rows["requirement_tokens"].iloc[0]), dict(policy.sections), []
-        for r in rows.itertuples():
-            room = min(left, rooms[r.section])
+        for place, r in enumerate(rows.itertuples(), 1):
+            room = 0 if r.reason else min(left, rooms[r.section])
             shown = next((v for v in versions(r, room) if v[3] <= room), None) if room > 0 else None
             if shown:
                 left, rooms[r.section] = left - shown[3], rooms[r.section] - shown[3]
-            why, text, block, n = shown or ("token_budget_exceeded", r.content, r.shown, r.tokens)
-            out.append((r.request_id, r.source_id, "included" if shown else "dropped", why, n, text, block))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FILLED.split(", ")])
+            why, text, block, n = shown or (r.reason or "token_budget_exceeded", r.content, r.shown, r.tokens)
+            out.append((r.request_id, place, r.source_id, r.source_type, r.section, "included" if shown else "dropped", why, n, text, bool(shown) and r.source_type in EVIDENCE, block))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
     return f
 
@@ -126,27 +129,18 @@ def build_contexts(requests: DataFrame, sources: DataFrame, policy: ContextPolic
 
     requests: request_id, requirement; sources: request_id, place, source_id, source_type, title, content, priority, score,
     metadata (map). Places number what was left out before any budget was spent, then the sections in order. Budgets depend on
-    what was taken before, so a request's remaining candidates are filled in by one fold; they are the few that routes give it.
+    what was taken before, so a request's candidates are filled in by one fold; they are the few that its routes give it.
     """
     head = lambda metadata, content: T.context_block(F.col("source_id"), F.col("title"), F.col("source_type"), F.col("score"), metadata, content)
     c = candidates(requests, sources, policy).withColumn("shown", head(F.col("metadata"), F.col("content"))).withColumn("tokens", T.estimate_tokens("shown"))
     short = F.map_concat(F.map_filter("metadata", lambda k, _: k != "compressed"), F.create_map(F.lit("compressed"), F.lit("true")))
     words = T.keywords("requirement")
-    open_ = c.where("reason is null").select(
-        "request_id", "source_id", "section", "nth", "content", "shown", "tokens", T.estimate_tokens("requirement").alias("requirement_tokens"), head(short, F.lit("")).alias("short_head"),
-        F.transform(T.segments("content"), lambda x: F.struct(x.alias("text"), T.segment_score(x, words).alias("hits"), T.estimate_tokens(x).alias("tokens"))).alias("parts"),
-    )
-    filled = open_.groupBy("request_id").applyInPandas(_filled(policy), FILLED)
-    lead = F.col("reason").isNull()
-    both = c.withColumn("id_of_lead", F.when(lead, F.col("source_id"))).join(filled.withColumnRenamed("source_id", "id_of_lead"), ["request_id", "id_of_lead"], "left")
-    turn = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    early = F.coalesce(F.col("reason").isin("source_type_excluded", "duplicate_source_id", "duplicate_content"), F.lit(False))
-    order = Window.partitionBy("request_id").orderBy(F.when(early, 0).otherwise(turn), F.when(early, F.col("place")).otherwise(F.col("nth")))
-    status = F.coalesce("status", F.lit("dropped"))
-    return both.select(
-        "request_id", F.row_number().over(order).alias("place"), "source_id", "source_type", "section", status.alias("status"), F.coalesce("reason", "why").alias("reason"),
-        F.coalesce("used", "tokens").cast("int").alias("tokens"), F.coalesce("text", "content").alias("content"), ((status == "included") & F.col("source_type").isin(*EVIDENCE)).alias("citation"), F.coalesce("block", "shown").alias("shown"),
+    parts = F.transform(T.segments("content"), lambda x: F.struct(x.alias("text"), T.segment_score(x, words).alias("hits"), T.estimate_tokens(x).alias("tokens")))
+    known = c.select(
+        "request_id", "place", "nth", "source_id", "source_type", "section", "reason", "content", "shown", "tokens",
+        T.estimate_tokens("requirement").alias("requirement_tokens"), head(short, F.lit("")).alias("short_head"), F.when(F.col("reason").isNull(), parts).alias("parts"),
     )
+    return known.groupBy("request_id").applyInPandas(_decided(policy), DECISIONS)
 
 
 def rendered_sections(decisions: DataFrame) -> DataFrame:

@@ -172,7 +172,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, index:
     whole of a shorter one. Returns a row a document: doc_id, n_words, n_hit (words inside occurring windows), n_items,
     item_ids (sorted as strings), items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words). Null and empty texts
     have no words and are clean. Items with a null id or without words are left out; items that share an id are one.
-    Rows with null or repeated ids are judged by their own text. Other columns are ignored; no rows give no rows.
+    Rows with null or repeated ids are judged by their own text, equal ones alike; very long texts are indexed whole. Of
+    terms that are equally rare those that come first in a window are looked up. Other columns are ignored; no rows give
+    no rows.
     """
     index = index or PhraseIndex(docs, benchmark, width)
     found = stored(index.phrases())

@@ -281,8 +281,9 @@ def _extracted(shared: object) -> Callable:
 def main_text(pages: DataFrame, models: tuple[BoostedTrees, BoostedTrees] | None = None) -> DataFrame:
     """page_id, url, text, n_chars: the article of every page, its blocks joined by an empty line.
 
-    Null and empty html give an empty text. Rows with null or repeated ids are read like any other. Other columns are
-    ignored; no rows give no rows.
+    Null and empty html give an empty text; very long pages are read whole. White space is what Unicode says it is, a decoded
+    no-break space included. Where keeping and leaving out a node weigh the same, it is decided by its children. Rows with
+    null or repeated ids are read like any other. Other columns are ignored; no rows give no rows.
     """
     shared = Shipped(pages.sparkSession, models or train())  # a few hundred small trees
     return pick(pages, page_id="long", url="string", html="string").mapInArrow(_extracted(shared), "page_id long, url string, text string, n_chars long")

@@ -93,7 +93,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
 
     A rule decides where one fits; else the host's scores. rules is a list of the caller's, evaluated in one expression a
     row. A url that is null or has no :// has an empty host, which takes no part in the graph and is allowed. Links of
-    hosts that have no pages themselves carry nothing on. Rows with null or repeated ids are judged like any other.
+    hosts that have no pages themselves carry nothing on. A host whose distrust exceeds its trust by just the threshold is
+    allowed. Very long pages give all their links. Rows with null or repeated ids are judged like any other.
     Other columns are ignored; no rows give no rows.
     """
     p = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path")), rules)

@@ -56,3 +56,13 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in contamination(df, bm).collect()] == [(1, 0, False)]
     assert contamination(df.where("false"), df.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_very_long_texts_and_odd_columns(spark):
+    item = " ".join(f"q{i}" for i in range(15))
+    long = "the of and " * 50_000
+    rows = [(1, f"{long} {item} {long}", 1), (2, f"x {item}", 2), (3, long, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id int").selectExpr("*", "map('a', 1) as terms", "2 as tag", "3 as `a.b`", "'w' as window")
+    bm = spark.createDataFrame([(7, item, "z"), (8, "of", "z")], "item_id long, text string, doc_id string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination(df, bm).collect()}
+    assert got == {1: (300_015, 100_015, 2, True), 2: (16, 15, 1, True), 3: (150_000, 50_000, 1, True)}

@@ -61,3 +61,11 @@ def test_rows(spark, models):
 @pytest.mark.parametrize("page", ["<", "<p", "</", "<p><p></div></p>", "<!--", "<script>", "<a b='>", "a<b>c</b", "<" * 50, "<div>" * 3000 + "x"])
 def test_broken_pages(models, page):
     html.extract(page, models)
+
+
+def test_very_long_pages_repeats_and_odd_columns(spark, models):
+    body = " ".join(f"word{i}" for i in range(40_000))
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1><p>{body}.</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "map('a', 1) as text", "2 as `a.b`", "3 as n_chars")
+    got = html.main_text(df, models).collect()
+    assert len(got) == 2 and got[0] == got[1] and body in got[0].text and got[0].n_chars == len(got[0].text)

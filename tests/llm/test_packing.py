@@ -73,7 +73,8 @@ def test_few_sequences_however_the_input_is_split(spark, parts):
     r = random.Random(4)
     rows = [(i, " ".join(r.choices("a b c d e".split(), k=min(4000, int(r.lognormvariate(5.5, 1)))))) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    want = {d: [*Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids, 0] for d, x in rows}
+    t = Tokenizer.from_file(PATH)
+    want = {d: [*t.encode(x, add_special_tokens=False).ids, 0] for d, x in rows}
     n = check_packed(pack(df, PATH, with_ids=False).withColumn("ids", F.lit(None)).collect(), 2048, want)
     assert n <= 1.02 * -(-sum(map(len, want.values())) // 2048) + 1
 

@@ -226,7 +226,7 @@ def _again(size: int, open_bins: int, with_ids: bool) -> Callable:
     return f
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, open_bins: int = 512, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, open_bins: int = 64, with_ids: bool = True) -> DataFrame:
     """Packs documents into sequences of at most size tokens.
 
     A document is its ids by the tokenizers file (no special tokens added), then the end id. Only documents longer than
@@ -236,6 +236,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, open_b
     equal length come in the order of the rows. Other columns are ignored; no rows give no rows. Sequence ids hold the
     partition's number and the pass.
 
+    open_bins is a trade: more of them fit pieces better, but all stay part-filled when a partition ends, and the second pass,
+    which has as many as a partition of it needs, gets what found no partner.
+
     The tokenizer must have no token across white space (its file must be on every executor); see WordTokenizer.
     """
     schema = SCHEMA if with_ids else SCHEMA.rpartition(",")[0]
@@ -244,4 +247,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, open_b
     tokens = rest.agg(F.sum("length")).first()[0] or 0
     order = ("length", "ids_crc32", "doc_id", "start")
     dealt = rest.repartition(max(1, tokens // (SECOND * size))).sortWithinPartitions(*(F.col(c).desc() for c in order))
-    return made.where("sequence_id is not null").unionByName(dealt.mapInArrow(_again(size, open_bins, with_ids), schema))
+    return made.where("sequence_id is not null").unionByName(dealt.mapInArrow(_again(size, SECOND, with_ids), schema))

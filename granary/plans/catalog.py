@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.plans import checks, retrieval, text, usage
+from granary.plans import checks, details, retrieval, text, usage
 
-QUERIES: dict = {**retrieval.QUERIES, **text.QUERIES, **usage.QUERIES, **checks.QUERIES}
-ORACLE_SQL: dict[str, str] = {**retrieval.SQL, **text.SQL, **usage.SQL, **checks.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **text.QUERIES, **usage.QUERIES, **checks.QUERIES, **details.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.SQL, **text.SQL, **usage.SQL, **checks.SQL, **details.SQL}

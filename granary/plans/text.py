@@ -139,7 +139,14 @@ _HITS = ", ".join([f"case when regexp_matches(t, '{p}') then {n} else 0 end" for
 
 QUERIES = {f.__name__: f for f in (clean_text_actions, normalize_text, paragraph_blocks, redact_text, redact_fields, injection_score, classify_errors, lexical_terms, bm25_tokens, keyword_extraction, segment_scores, sentence_counts, token_estimates, preview_text, stream_pieces, template_render, log_lines, level_counts, dedupe_normalized_content, element_ids, chunk_structure, char_windows, token_stats_report, risk_lists)}
 
+_LAST = lambda mark: f"case when length(regexp_extract(win, '(?s)^(.*){mark.replace('.', '[.]').replace('?', '[?]')}', 1)) >= 90 then length(regexp_extract(win, '(?s)^(.*){mark.replace('.', '[.]').replace('?', '[?]')}', 1)) + {len(mark)} end"
+_STOP = f"case when s + 180 >= n then n else s + coalesce({', '.join(map(_LAST, chunking.BREAKS))}, 180) end"
+
 SQL = {
+    "char_windows": f"""with recursive r as (select doc_id, text, n, s as start, {_STOP} as stop from (select doc_id, text, length(text) as n, 0 as s, substring(text, 1, 180) as win from documents where text <> '')
+      union all select doc_id, text, n, s, {_STOP} from (select *, substring(text, s + 1, 180) as win from (select doc_id, text, n, greatest(stop - 30, start + 1) as s from r where stop < n))),
+      c as (select doc_id, start, substring(text, start + 1, stop - start) as c from r), p as (select doc_id, start + length(c) - length(regexp_replace(c, '^[{_W}]+', '')) as a, {_STRIP('c')} as c from c)
+      select doc_id, row_number() over (partition by doc_id order by a, length(c)) - 1 as chunk_index, a as char_start, a + length(c) as char_end, md5(c) as md5 from p where c <> ''""",
     "clean_text_actions": f"""with a as (select doc_id, text, regexp_replace(text, '\\r\\n?', chr(10), 'g') as t1 from documents), b as (select *, replace(t1, chr(160), ' ') as t2 from a), c as (select *, nfc_normalize(t2) as t3 from b),
       d as (select *, {_TRIM("t3")} as t4 from c), e as (select *, regexp_replace(t4, '\\n{{3,}}', chr(10) || chr(10), 'g') as t5 from d), f as (select *, {_STRIP("t5")} as t6 from e)
       select doc_id, md5(t6) as md5, length(t6) as n, concat_ws(',', case when t1 <> text then 'normalize_newlines' end, case when t2 <> t1 then 'replace_non_breaking_space' end, case when t3 <> t2 then 'normalize_unicode_nfc' end, case when t4 <> t3 then 'trim_line_endings' end, case when t5 <> t4 then 'collapse_blank_lines' end, case when t6 <> t5 then 'trim_outer_whitespace' end) as actions from f""",

@@ -216,6 +216,12 @@ SQL = {
       select query_id, chunk_id, row_number() over (partition by query_id order by score, chunk_id) as rank, round(score, 6) as score, source_role from v qualify rank <= 5""",
     "dense_threshold_report": f"{_DENSE} select query_id, count(*) as candidates, count(*) filter (score <= 0.75) as passed, count(*) filter (score > 0.75) as dropped from s group by query_id",
     "centroid_pairs": f"with {_CENTROIDS} select x.query_id as a, y.query_id as b, round(list_cosine_similarity(x.qv, y.qv), 6) as cosine, round(list_dot_product(x.qv, y.qv), 6) as dot, round(list_distance(x.qv, y.qv), 6) as euclidean from c x join c y on x.query_id < y.query_id",
+    "mmr_select": f"""with recursive {_CENTROIDS}, s as (select query_id, vec_id as chunk_id, embedding::double[] as v, list_cosine_similarity(qv, embedding::double[]) as score from c, embeddings),
+      k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 20),
+      p as (select query_id, chunk_id, 1 as pick, [chunk_id] as taken, [v] as vs from k where rank = 1
+        union all select query_id, k.chunk_id, pick + 1, list_append(taken, k.chunk_id), list_append(vs, k.v) from p join k using (query_id) where pick < 5 and not list_contains(taken, k.chunk_id)
+        qualify row_number() over (partition by query_id order by 0.5 * k.score - 0.5 * list_max(list_transform(vs, lambda x: list_cosine_similarity(x, k.v))) desc, k.rank) = 1)
+      select query_id, chunk_id, pick from p""",
     "rrf_fusion": f"{_RRF} select query_id, fusion_rank, chunk_id as doc_id, round(s, 8) as rrf_score, n_routes from o where fusion_rank <= 5",
     "rrf_diagnostics": f"{_RRF} select query_id, count(*) as distinct_candidates, count(*) filter (n_routes >= 2) as overlap from o group by query_id",
     "weighted_hybrid": f"""{_ROUTES}, a as (select item_id as query_id, documents.doc_id as chunk_id, coalesce(fs.raw, 0) as d, coalesce(bs.raw, 0) as l from benchmark cross join documents left join fs on fs.query_id = item_id and fs.doc_id = documents.doc_id left join bs on bs.query_id = item_id and bs.doc_id = documents.doc_id),

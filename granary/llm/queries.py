@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import ann, automata, decontamination, html, minhash, packing, quality, secrets, suffixes, urls
+from granary.llm import ann, automata, decontamination, html, minhash, packing, quality, secrets, sentencepieces, suffixes, urls
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepieces.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '{1}')"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import ann, automata, decontamination, html, minhash, packing, quality, secrets, sentencepieces, suffixes, urls
+from granary.llm import ann, automata, codes, decontamination, html, minhash, packing, quality, secrets, sentencepieces, suffixes, urls
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -57,6 +57,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_vector_codes": op11_vector_codes,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -127,4 +132,29 @@ c as (select doc_id as x, doc_id as y from documents union select c.x, e.b from
 select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(y) as component_id, doc_id = min(y) as kept
 from documents left join n using (doc_id) join c on c.x = doc_id group by doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_dedup": _OP3, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9}
+
+
+def _op11() -> str:
+    """Parts of four integers; two rounds, each an assignment and floored means."""
+    far = " + ".join(f"(p.w[{i}] - c.w[{i}]) * (p.w[{i}] - c.w[{i}])" for i in range(1, 5))
+    mean = ", ".join(f"((sum(w[{i}]) - ((sum(w[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::bigint" for i in range(1, 5))
+
+    def assigned(books: str) -> str:
+        return f"(select p.vec_id, p.part, p.w, min({{'d': {far}, 'e': c.entry}}) as best from p join {books} c using (part) group by all)"
+
+    rounds = "".join(f"""
+a{n} as {assigned(f"c{n}")},
+m{n} as (select part, best.e as entry, [{mean}] as w from a{n} group by all),
+c{n + 1} as (select part, entry, coalesce(m{n}.w, c{n}.w) as w from c{n} left join m{n} using (part, entry)),""" for n in range(2))
+    return f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as materialized (select vec_id, label, part, v[4 * part + 1 : 4 * part + 4] as w from k, (select unnest(range(16)) as part)),
+c0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, w from p qualify entry < 64),{rounds}
+a2 as {assigned("c2")},
+f as (select vec_id, string_agg(format('{{:02x}}', best.e), '' order by part) as code, sum(best.d)::bigint as error from a2 group by vec_id),
+b as (select sha256(string_agg(array_to_string(w, ','), ',' order by part, entry)) as codebooks_sha256 from c2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from f join k using (vec_id), b"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_dedup": _OP3, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9, "op11_vector_codes": _op11()}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import ann, automata, codes, decontamination, html, minhash, packing, quality, secrets, sentencepieces, suffixes, urls
+from granary.llm import ann, automata, codes, decontamination, html, merkle, minhash, packing, quality, secrets, sentencepieces, suffixes, urls
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -61,6 +62,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_read(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth id by its checksum has its text tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(tampered, F.translate("text", urls.UPPER, urls.LOWER)).otherwise(F.col("text"))
+    found = merkle.manifest(_read(spark, sf_dir, "documents"), {"text": text}, with_proofs=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_vector_codes": op11_vector_codes,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sentencepiece": op13_sentencepiece,
 }
 

@@ -167,4 +167,46 @@ b as (select sha256(string_agg(array_to_string(w, ','), ',' order by part, entry
 select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from f join k using (vec_id), b"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_dedup": _OP3, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9, "op11_vector_codes": _op11()}
+def _op12(levels: int = 6) -> str:
+    """Level by level, as many as any tree of 16 ** levels leaves needs; a tree that has one node left stays as it is."""
+
+    def cell(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::varchar)) || ':' || {name}, '-')"
+
+    def tree(name: str, group: str) -> str:
+        out = ""
+        for k in range(levels):
+            own = f"(case when n{k} > 1 then string_agg(h{k}, '' order by p{k}) over (partition by {group}, p{k} // 16 rows between unbounded preceding and unbounded following) end)"
+            left = f"(case when n{k} > 1 then string_agg(h{k}, '' order by p{k}) over (partition by {group}, p{k} // 16 order by p{k} rows between unbounded preceding and 1 preceding) end)"
+            right = f"(case when n{k} > 1 then string_agg(h{k}, '' order by p{k}) over (partition by {group}, p{k} // 16 order by p{k} rows between 1 following and unbounded following) end)"
+            out += f"""
+{name}r{k} as (select *, {own} as run, {left} as lefts, {right} as rights from {name}{k}),
+{name}{k + 1} as (select distinct {group}, case when n{k} > 1 then p{k} // 16 else p{k} end as p{k + 1}, case when n{k} > 1 then (n{k} + 15) // 16 else n{k} end as n{k + 1}, case when n{k} > 1 then sha256(run) else h{k} end as h{k + 1} from {name}r{k}),"""
+        return out
+
+    def beside(name: str, group: str, first: str) -> str:
+        """Siblings of the path of each node of level 0, as lists of lefts and rights; null on levels that its tree doesn't have."""
+        joins = "".join(f" left join {name}r{k} x{k} on x{k}.{group} is not distinct from x0.{group} and x{k}.p{k} = case when x{k - 1}.n{k - 1} > 1 then x{k - 1}.p{k - 1} // 16 else x{k - 1}.p{k - 1} end" for k in range(1, levels))
+        sides = ", ".join(f"case when x{k}.n{k} > 1 then {{'l': coalesce(x{k}.lefts, ''), 'r': coalesce(x{k}.rights, '')}} end" for k in range(levels))
+        return f"select x0.{group}, x0.{first}, list_filter([{sides}], lambda x: x is not null) as sides from {name}r0 x0{joins}"
+
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    old = " || ".join(map(cell, names))
+    new = " || ".join(cell("text2" if c == "text" else c) for c in names)
+    fold = "(list_reduce(list_concat([{'l': coalesce(changed, leaf), 'r': ''}], sides), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l)"
+    bits = "list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ord((doc_id::varchar)[i])::bigint)), lambda a, b: {bits}))"
+    return f"""
+with d as (select *, case when {crc} % 5 = 0 then translate(text, '{urls.UPPER}', '{urls.LOWER}') else text end as text2 from documents),
+v as (select doc_id, source, sha256({old}) as leaf, sha256({new}) as changed from d),
+t0 as (select source, doc_id, leaf as h0, changed, row_number() over (partition by source order by doc_id, leaf) - 1 as p0, count(*) over (partition by source) as n0 from v),{tree("t", "source")}
+tops as (select 0 as one, source, h{levels} as h0, row_number() over (order by source nulls first) - 1 as p0, count(*) over () as n0 from t{levels}),
+s0 as (select * from tops),{tree("s", "one")}
+inner_sides as ({beside("t", "source", "p0")}),
+outer_sides as ({beside("s", "one", "p0")}),
+every as (select t0.doc_id, t0.h0 as leaf, t0.changed, tops.h0 as subroot, s{levels}.h{levels} as root, list_concat(i.sides, o.sides) as sides
+  from t0 join tops on tops.source is not distinct from t0.source join inner_sides i on i.source is not distinct from t0.source and i.p0 = t0.p0 join outer_sides o on o.p0 = tops.p0, s{levels})
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda x: x.l || x.r), '')) as proof_sha256, {fold} as folded_root, {fold} = root as verified from every"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_suffix_dedup": _OP3, "op6_url_filters": urls.oracle(), "op7_decontamination": _OP7, "op9_minhash_near_dedup": _OP9, "op11_vector_codes": _op11(), "op12_merkle_manifest": _op12()}

@@ -110,16 +110,24 @@ def cjk_bigrams(c: Column) -> Column:
     return F.when(n <= 1, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
 
-def lexical_terms(normalized: Column | str, stop_terms: tuple[str, ...] = STOP_TERMS, segmenter=cjk_bigrams) -> Column:
-    """Terms of a normalised text, with repeats: identifiers, numbers and CJK segments without stop terms; after a technical one its sentinel."""
+def lexical_terms(normalized: Column | str, stop_terms: tuple[str, ...] = STOP_TERMS, segmenter=cjk_bigrams, dictionary=None) -> Column:
+    """Terms of a normalised text, with repeats: identifiers, numbers and CJK segments without stop terms; after a technical one its sentinel.
+
+    dictionary: a segmentation.Dictionary, whose search terms CJK runs become; without one the segmenter cuts them.
+    """
     stops = F.array(*[F.lit(s) for s in stop_terms])
 
-    def of(s: Column) -> Column:
+    def of(s: Column, cut: Column | None = None) -> Column:
         plain = F.when(F.array_contains(stops, s), F.array().cast("array<string>")).otherwise(F.array(s))
         sentinel = F.when(s.rlike(TECHNICAL), F.array(F.concat(F.lit("techid"), F.regexp_replace(s, "[^a-z0-9]+", "")))).otherwise(F.array().cast("array<string>"))
-        return F.when(is_cjk(s), F.filter(segmenter(s), lambda t: ~F.array_contains(stops, t))).otherwise(F.concat(plain, sentinel))
+        return F.when(is_cjk(s), F.filter(segmenter(s) if cut is None else cut, lambda t: ~F.array_contains(stops, t))).otherwise(F.concat(plain, sentinel))
 
-    return F.flatten(F.transform(F.regexp_extract_all(col(normalized), F.lit(SEGMENT), F.lit(0)), of))
+    found = F.regexp_extract_all(col(normalized), F.lit(SEGMENT), F.lit(0))
+    if dictionary is None:
+        return F.flatten(F.transform(found, lambda s: of(s)))
+    runs = F.transform(found, lambda s: F.when(is_cjk(s), s).otherwise(F.lit("")))
+    both = F.arrays_zip(found.alias("s"), dictionary.column(runs).alias("cut"))
+    return F.flatten(F.transform(both, lambda x: of(x["s"], x["cut"])))
 
 
 def query_terms(normalized: Column | str, **kw) -> Column:
@@ -131,10 +139,14 @@ def websearch(terms: Column | str, operator: str = "or") -> Column:
     return F.array_join(F.transform(col(terms), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR " if operator == "or" else " ")
 
 
+def phrases(terms: Column | str) -> Column:
+    """What the index splits each term into again, kept apart by term: identifiers at anything but letters and digits; CJK stays. A quoted term of several must stand as a phrase."""
+    return F.transform(col(terms), lambda t: F.filter(F.when(t.rlike(rf"[{CJK}]"), F.array(t)).otherwise(F.split(t, r"[^A-Za-z0-9]+")), lambda x: x != ""))
+
+
 def lexemes(terms: Column | str) -> Column:
-    """Terms as the index splits them again: identifiers at anything but letters and digits; CJK stays."""
-    split = F.flatten(F.transform(col(terms), lambda t: F.when(t.rlike(rf"[{CJK}]"), F.array(t)).otherwise(F.split(t, r"[^A-Za-z0-9]+"))))
-    return F.filter(split, lambda t: t != "")
+    """The terms as the index splits them, one after the other."""
+    return F.flatten(phrases(terms))
 
 
 def bm25_tokens(c: Column | str) -> Column:

@@ -98,6 +98,98 @@ def ts_rank(queries: DataFrame, index: LexicalIndex, query_lexemes: Column, weig
     return scored.select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), "matched")
 
 
+#: Fixed: the ranking function's weight of a plain lexeme, the limit of the sum of inverse squares, the most places that a
+#: lexeme keeps in a document and the last place there is, and the coefficients of its weight of a distance.
+PLAIN, SQUARES, MOST_PLACES, LAST_PLACE = 0.1, 1.64493406685, 256, 16383
+NEAR, FAR, STEP, SHIFT, TOO_FAR, NOTHING = 1.005, 0.05, 1.5, 2, 100, 1e-30
+
+
+@dataclass(frozen=True)
+class PositionalIndex:
+    """Inverted lists with places, made once for many batches of questions: term, doc_id, places (ascending, from 1)."""
+
+    lists: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, lexemes: Column, doc_id: str = "doc_id", folder: str | None = None, most_places: int | None = MOST_PLACES, last_place: int | None = LAST_PLACE) -> PositionalIndex:
+        """lexemes: array of each document's lexemes in order. A lexeme keeps its first most_places; later ones than last_place are all there."""
+        place = F.col("at") + 1 if last_place is None else F.least(F.col("at") + 1, F.lit(last_place))
+        each = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(lexemes).alias("at", "term")).select("term", "doc_id", place.alias("place"))
+        found = F.array_sort(F.collect_set("place"))  # of one document
+        places = found if most_places is None else F.slice(found, 1, most_places)
+        return PositionalIndex(tables.written(each.groupBy("term", "doc_id").agg(places.alias("places")), folder))
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> PositionalIndex:
+        return PositionalIndex(spark.read.parquet(folder))
+
+    def phrase_hits(self, phrases: DataFrame) -> DataFrame:
+        """phrase_id, doc_id of documents where a phrase's lexemes stand side by side. phrases: phrase_id, lexemes (two or more).
+
+        The list of a phrase's rarest lexeme brings the documents; the others are looked up in those alone, and start places
+        that all of them allow are intersected. What is shuffled is that list, once for each further lexeme.
+        """
+        each = phrases.select("phrase_id", F.size("lexemes").alias("n"), F.posexplode("lexemes").alias("at", "term"))
+        lists = self.lists.join(each.select("term").distinct(), "term", "left_semi")
+        df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        each = each.join(df, "term")  # a phrase with a lexeme that nothing holds loses it here, and so never has all
+        rare = each.groupBy("phrase_id", "n").agg(F.min(F.struct("df", "at", "term")).alias("r"), F.count(F.lit(1)).alias("known")).where("known = n")
+        first = rare.select("phrase_id", "n", F.col("r.at").alias("rare_at"), F.col("r.term").alias("term")).join(lists, "term")
+        starts = first.select("phrase_id", "n", "rare_at", "doc_id", F.transform("places", lambda p: p - F.col("rare_at")).alias("starts"))
+        rest = each.select(F.col("phrase_id").alias("of"), "at", "term")
+        asked = starts.join(rest, (F.col("phrase_id") == F.col("of")) & (F.col("at") != F.col("rare_at")))
+        met = asked.join(lists, ["term", "doc_id"]).select("phrase_id", "doc_id", "n", "starts", F.transform("places", lambda p: p - F.col("at")).alias("own"))
+        common = F.aggregate("owns", F.col("starts"), lambda a, b: F.array_intersect(a, b))
+        return met.groupBy("phrase_id", "doc_id", "n", "starts").agg(F.collect_list("own").alias("owns")).where((F.size("owns") == F.col("n") - 1) & (F.size(common) > 0)).select("phrase_id", "doc_id")
+
+
+def near_rank(lists: Column) -> Column:
+    """Rank of lexemes that all must stand: of every pair of places of different lexemes, the nearer the more. lists: array of each lexeme's places."""
+
+    def weight(a: Column, b: Column) -> Column:
+        d = F.abs(a - b)
+        near = F.when(d > TOO_FAR, F.lit(NOTHING)).otherwise(1 / (NEAR + FAR * F.exp(d / STEP - SHIFT)))
+        return F.when(d == 0, 1.0).otherwise(1 - PLAIN * F.sqrt(near))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.aggregate(x, F.lit(1.0), lambda p, a: p * F.aggregate(y, F.lit(1.0), lambda q, b: q * weight(a, b)))
+
+    ahead = F.transform(lists, lambda x, i: F.aggregate(F.slice(lists, i + 2, F.greatest(F.size(lists) - i - 1, F.lit(0))), F.lit(1.0), lambda p, y: p * pair(x, y)))
+    return 1 - F.aggregate(ahead, F.lit(1.0), lambda p, x: p * x)
+
+
+def full_text(queries: DataFrame, index: PositionalIndex, phrases: Column, operator: str = "or") -> DataFrame:
+    """query_id, doc_id, fts_rank, matched (how many of the query's lexemes) of documents that hold any (or: all, for "and") of a query's phrases.
+
+    phrases: array of arrays of lexemes; those of one phrase must stand side by side, one alone anywhere. A query of several
+    phrases, any of which may stand, ranks by inverse squares of its lexemes' occurrences by their number, whether or not they
+    stand in their phrases; one of a single phrase, or of phrases that all must stand, by distances of different lexemes.
+    """
+    if operator not in ("or", "and"):
+        raise ValueError(f"no operator {operator}")
+    empty = F.array().cast("array<string>")
+    q = queries.select("query_id", F.array_distinct(F.filter(phrases, lambda p: F.size(p) > 0)).alias("phrases")).where(F.size("phrases") > 0)
+    q = q.select("query_id", "phrases", F.array_distinct(F.flatten("phrases")).alias("lexemes"))
+    all_must = F.lit(operator == "and") | (F.size("phrases") == 1)
+    q = q.withColumns({"n": F.size("lexemes"), "wanted": F.size("phrases"), "all_must": all_must, "alone": F.coalesce(F.flatten(F.filter("phrases", lambda p: F.size(p) == 1)), empty)})
+
+    lexemes = q.select("query_id", "n", "wanted", "all_must", "alone", F.explode("lexemes").alias("term"))
+    lists = index.lists.join(lexemes.select("term").distinct(), "term", "left_semi")
+    # a list's part of the rank is computed once, not for each question; only distances need its places
+    squares = F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0.0), lambda a, j: a + 1 / (j * j).cast("double"))
+    weighted = lists.select("term", "doc_id", (squares * PLAIN / SQUARES).alias("w"), "places")
+    held = lexemes.join(weighted, "term").groupBy("query_id", "doc_id", "n", "wanted", "all_must").agg(
+        F.sum("w").alias("total"), F.count(F.lit(1)).alias("matched"), F.count_if(F.array_contains("alone", F.col("term"))).alias("singles"), F.array_sort(F.collect_list(F.when(F.col("all_must"), F.struct("term", "places")))).alias("near")
+    )
+    several = q.select("query_id", F.explode("phrases").alias("lexemes")).where(F.size("lexemes") > 1)
+    known = several.select("lexemes").distinct().withColumn("phrase_id", F.sha2(F.array_join("lexemes", "\0"), 256))
+    hits = index.phrase_hits(known).join(known, "phrase_id").join(several, "lexemes").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("stand"))
+    found = held.join(hits, ["query_id", "doc_id"], "left").withColumn("stand", F.col("singles") + F.coalesce("stand", F.lit(0)))
+    found = found.where(F.when(F.col("all_must"), F.col("stand") == F.col("wanted")).otherwise(F.col("stand") > 0))
+    rank = F.when(F.col("all_must") & (F.col("n") > 1), near_rank(F.transform("near", lambda x: x["places"]))).otherwise(F.col("total") / F.col("n"))
+    return found.select("query_id", "doc_id", F.when(rank > 0, rank).otherwise(1e-20).alias("fts_rank"), "matched")
+
+
 def matched_terms(found: DataFrame, queries: DataFrame, index: LexicalIndex, query_lexemes: Column) -> DataFrame:
     """found (query_id, doc_id, ...) with the sorted query lexemes that each document holds: for the few that are shown."""
     q = queries.select("query_id", F.explode(F.array_distinct(query_lexemes)).alias("term"))

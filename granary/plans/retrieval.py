@@ -52,6 +52,33 @@ def ts_rank_topk(spark, d):
     return _fts(spark, d, 5)
 
 
+def _places(spark: SparkSession, d: str) -> retrieval.PositionalIndex:
+    return retrieval.PositionalIndex.build(spread(read(spark, d, "documents").select("doc_id", "text")), _words())
+
+
+def phrase_topk(spark, d):
+    """Terms of several lexemes: two neighbours of the item, two others the wrong way round, and a word, any of which may stand."""
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    q = _questions(spark, d).withColumn("w", _words()).select("query_id", F.array(F.concat(w(0), F.lit("_"), w(1)), F.concat(w(3), F.lit("-"), w(2)), w(4)).alias("terms"))
+    s = retrieval.full_text(q, _places(spark, d), T.phrases("terms")).withColumn("score", F.round("fts_rank", 6))
+    counts = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
+    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).join(counts, "query_id").select("query_id", "doc_id", "score", "matched", "rank", "matches")
+
+
+def exact_phrase_topk(spark, d):
+    """The whole question is one phrase, and ranks by distances."""
+    q = _questions(spark, d).select("query_id", F.array(F.slice(_words(), 1, 4)).alias("phrases"))
+    s = retrieval.full_text(q, _places(spark, d), F.col("phrases")).withColumn("score", F.round("fts_rank", 6))
+    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "matched", "rank")
+
+
+def all_phrases_topk(spark, d):
+    """Two phrases that both must stand, anywhere in a document."""
+    q = _questions(spark, d).withColumn("w", _words()).select("query_id", F.array(F.slice("w", 1, 2), F.slice("w", 4, 2)).alias("phrases"))
+    s = retrieval.full_text(q, _places(spark, d), F.col("phrases"), "and").withColumn("score", F.round("fts_rank", 6))
+    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "matched", "rank")
+
+
 def fts_counts(spark, d):
     """Matches of each question, counted before the limit."""
     s = retrieval.ts_rank(_questions(spark, d), _index(spark, d), _words())
@@ -196,6 +223,31 @@ _ROUTES = f"with {_BM25}, {_FTS}"
 _RRF = f"""{_ROUTES}, r as (select query_id, chunk_id, rank from b where rank <= 20 union all select query_id, chunk_id, rank from f where rank <= 20),
 g as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as s, count(*) as n_routes, min(rank) as best from r group by all),
 o as (select *, row_number() over (partition by query_id order by s desc, n_routes desc, best, chunk_id) as fusion_rank from g)"""
+
+
+def _phrase_sql(phrases: str, every: bool = False) -> str:
+    """phrases: SQL of a question's phrases from its words w. Places, phrases that stand, then either rank."""
+    far = "abs(a.p - b.p)"
+    near = f"case when {far} > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp({far} / 1.5::double - 2)) end"
+    return f"""with dw as (select doc_id, {_TOKENS} as ts from documents),
+places as (select doc_id, term, least(i, 16383) as p from (select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) as i from dw)),
+pos as (select doc_id, term, p from (select distinct doc_id, term, p from places) qualify row_number() over (partition by doc_id, term order by p) <= 256),
+lists as (select doc_id, term, list(p) as ps from pos group by all),
+qw as (select item_id as query_id, {_TOKENS} as w from benchmark),
+qp as (select query_id, list_distinct(list_filter({phrases}, lambda x: len(x) > 0)) as phs from qw),
+ph as (select query_id, len(phs) as wanted, {"true" if every else "len(phs) = 1"} as all_must, unnest(phs) as ph from qp),
+pt as (select distinct ph, unnest(ph) as term, generate_subscripts(ph, 1) as j from ph),
+starts as (select distinct ph, doc_id, p - j as s, j from pt join pos using (term)),
+hit as (select distinct ph, doc_id from (select ph, doc_id, s from starts group by all having count(distinct j) = len(ph))),
+stands as (select query_id, doc_id, any_value(all_must) as all_must from ph join hit using (ph) group by query_id, doc_id having case when any_value(all_must) then count(*) = any_value(wanted) else true end),
+lx as (select distinct query_id, unnest(ph) as term from ph), sz as (select query_id, count(*) as n from lx group by all),
+flat as (select query_id, doc_id, sum(list_sum(list_transform(range(1, len(ps) + 1), lambda j: 1.0::double / (j * j))) * 0.1 / 1.64493406685) as total, count(*) as matched from stands join lx using (query_id) join lists using (term, doc_id) group by all),
+pr as (select st.query_id, st.doc_id, 1 - product(1 - 0.1 * sqrt({near})) as r from stands st join lx x on x.query_id = st.query_id join lx y on y.query_id = st.query_id and x.term < y.term
+  join pos a on a.doc_id = st.doc_id and a.term = x.term join pos b on b.doc_id = st.doc_id and b.term = y.term where st.all_must and a.p <> b.p group by all),
+sc as (select query_id, doc_id, round(case when st.all_must and n > 1 then coalesce(nullif(r, 0), 1e-20) else total / n end, 6) as score, matched from stands st join flat using (query_id, doc_id) join sz using (query_id) left join pr using (query_id, doc_id))
+"""
+
+
 _CENTROIDS = """c as (select label as query_id, list(x order by i) as qv from (select label, i, avg(x::double) as x from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all) group by label)"""
 _DENSE = f"with {_CENTROIDS}, s as (select query_id, vec_id as chunk_id, 1 - list_cosine_similarity(qv, embedding::double[]) as score from c, embeddings)"
 _METRICS = f"""{_ROUTES}, e as (select query_id as case_id, chunk_id from f where rank <= 3), r as (select query_id as case_id, chunk_id, rank from b where rank <= 5),
@@ -204,12 +256,16 @@ m as (select case_id, coalesce(found, 0) / wanted as recall, coalesce(1.0::doubl
 _CONCEPTS = ", ".join("(" + " + ".join(f"contains(t, '{w}')::double" for w in words) + ")" for _, words in V.CONCEPTS)
 _STOPS = ", ".join(f"'{w}'" for w in V.EMBEDDER_STOP_WORDS)
 
-QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, ts_rank_topk, fts_counts, dense_topk, dense_visible_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
+QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, ts_rank_topk, phrase_topk, exact_phrase_topk, all_phrases_topk, fts_counts, dense_topk, dense_visible_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
 
 SQL = {
     "visibility_prefilter": "select doc_id, source as source_role, lang as scope from documents where lang = 'en' and source in ('src1', 'src2', 'src3')",
     "bm25_topk": f"with {_BM25} select query_id, chunk_id, score, rank from b where rank <= 5",
     "ts_rank_topk": f"with {_LISTS}, {_FTS} select query_id, chunk_id, score, rank, matched from f where rank <= 5",
+    "phrase_topk": f"""{_phrase_sql("[list_filter([w[1], w[2]], lambda x: x is not null), list_filter([w[4], w[3]], lambda x: x is not null), list_filter([w[5]], lambda x: x is not null)]")}
+      select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank, count(*) over (partition by query_id) as matches from sc qualify rank <= 5""",
+    "exact_phrase_topk": f"{_phrase_sql('[w[1:4]]')} select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 5",
+    "all_phrases_topk": f"{_phrase_sql('[w[1:2], w[4:5]]', True)} select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 5",
     "fts_counts": f"with {_LISTS}, {_FTS} select item_id as query_id, count(chunk_id) as matches from benchmark left join f on query_id = item_id group by item_id",
     "dense_topk": f"{_DENSE} select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6), chunk_id) as rank from s qualify rank <= 10",
     "dense_visible_topk": f"""{_DENSE}, v as (select query_id, chunk_id, score, source as source_role from s join documents on doc_id = chunk_id where lang = 'en')

@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions import identity, safety, structured
+from granary.functions import identity, safety, segmentation, structured
 from granary.functions import text as T
 from granary.operators import chunking, evaluation, setops
 from granary.plans.retrieval import read
 from granary.sources import files
 
 
+#: Latin letters written as CJK characters, so that texts without spaces between words can be had from any.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+
+
+def search_terms(spark, d):
+    """Letters as CJK characters, cut by a dictionary of the benchmark's shorter words."""
+    han = lambda c: F.translate(F.lower(c), LATIN, HAN)
+    words = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(han("text"), F.lit(f"[{HAN}]+"), F.lit(0))).alias("word")).where(F.length("word") <= 5).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+    dictionary = segmentation.Dictionary.read(words)
+    t = read(spark, d, "documents").select("doc_id", T.lexical_terms(han("text"), dictionary=dictionary).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("md5"))
+
+
 def clean_text_actions(spark, d):
     out = T.clean_text(read(spark, d, "documents"), "text")
     return out.select("doc_id", F.md5("cleaned").alias("md5"), F.length("cleaned").alias("n"), F.array_join("actions", ",").alias("actions"))
@@ -137,12 +150,32 @@ _MIXED = lambda x: f"((case when strlen(regexp_replace({x}, '[^\\x00-\\x7F]', ''
 _SIGNS = [(p.replace("|BEGIN_SYSTEM_PROMPT", ""), 2) for _, p in safety.INJECTION_SIGNS]
 _HITS = ", ".join([f"case when regexp_matches(t, '{p}') then {n} else 0 end" for p, n in _SIGNS] + ["case when contains(t, 'api_key') or contains(t, 'password') or contains(t, 'secret') or contains(t, 'token') then 1 else 0 end"])
 
-QUERIES = {f.__name__: f for f in (clean_text_actions, normalize_text, paragraph_blocks, redact_text, redact_fields, injection_score, classify_errors, lexical_terms, bm25_tokens, keyword_extraction, segment_scores, sentence_counts, token_estimates, preview_text, stream_pieces, template_render, log_lines, level_counts, dedupe_normalized_content, element_ids, chunk_structure, char_windows, token_stats_report, risk_lists)}
+QUERIES = {f.__name__: f for f in (clean_text_actions, normalize_text, paragraph_blocks, redact_text, redact_fields, injection_score, classify_errors, lexical_terms, search_terms, bm25_tokens, keyword_extraction, segment_scores, sentence_counts, token_estimates, preview_text, stream_pieces, template_render, log_lines, level_counts, dedupe_normalized_content, element_ids, chunk_structure, char_windows, token_stats_report, risk_lists)}
 
 _LAST = lambda mark: f"case when length(regexp_extract(win, '(?s)^(.*){mark.replace('.', '[.]').replace('?', '[?]')}', 1)) >= 90 then length(regexp_extract(win, '(?s)^(.*){mark.replace('.', '[.]').replace('?', '[?]')}', 1)) + {len(mark)} end"
 _STOP = f"case when s + 180 >= n then n else s + coalesce({', '.join(map(_LAST, chunking.BREAKS))}, 180) end"
 
+#: The best path from each place to the end, from the right; then the words of the path from the left, each after the words in it.
+_SEARCH_TERMS = rf"""with recursive t as (select doc_id, translate(lower(text), '{LATIN}', '{HAN}') as t from documents),
+  seg as (select doc_id, unnest(regexp_extract_all(t, '\d+(?:\.\d+)*|[{HAN}]+')) as s, generate_subscripts(regexp_extract_all(t, '\d+(?:\.\d+)*|[{HAN}]+'), 1) as k from t),
+  runs as (select distinct s, length(s) as n from seg where s >= '{HAN[0]}'),
+  dict as (select w, count(*) as f from (select unnest(regexp_extract_all(translate(lower(text), '{LATIN}', '{HAN}'), '[{HAN}]+')) as w from benchmark) where length(w) <= 5 group by w),
+  total as (select ln(sum(f)::double) as lt from dict),
+  places as (select s, n, unnest(range(1, n + 1)) as i from runs),
+  known as (select s, i, len, f from (select s, i, unnest(range(1, least(5, n - i + 1) + 1)) as len from places) join dict on w = substring(s, i, len)),
+  edges as (select * from known union all select s, i, 1 as len, 1 as f from places anti join known using (s, i)),
+  v as (select s, n + 1 as i, [0.0::double] as best, []::bigint[] as lens from runs
+    union all select v.s, v.i - 1, list_prepend(max({{'a': ln(f::double) - lt + best[len], 'len': len}}).a, best), list_prepend(max({{'a': ln(f::double) - lt + best[len], 'len': len}}).len, lens) from v join edges e on e.s = v.s and e.i = v.i - 1, total group by v.s, v.i, best, lens),
+  path as (select s, 1 as i, lens from v where i = 1 union all select s, i + lens[i], lens from path where i <= len(lens)),
+  words as (select s, i, substring(s, i, lens[i]) as w from path where i <= len(lens)),
+  inside as (select s, i, 2 + size as kind, unnest(range(1, length(w) - size + 1)) as j, w, size + 1 as long from words, (values (1), (2)) z(size) where length(w) > size + 1),
+  shown as (select s, i, kind, j, substring(w, j, long) as term from inside where substring(w, j, long) in (select w from dict) union all select s, i, 9, 0, w from words),
+  cut as (select s, list(term order by i, kind, j) as terms from shown group by s),
+  doc as (select doc_id, flatten(list(coalesce(terms, case when regexp_matches(seg.s, '^\d{{3,}}$') then [seg.s, 'techid' || seg.s] else [seg.s] end) order by k)) as ts from seg left join cut using (s) group by doc_id)
+  select doc_id, coalesce(len(ts), 0) as n, coalesce(len(list_distinct(ts)), 0) as n_distinct, md5(coalesce(array_to_string(ts, ' '), '')) as md5 from documents left join doc using (doc_id)"""
+
 SQL = {
+    "search_terms": _SEARCH_TERMS,
     "char_windows": f"""with recursive r as (select doc_id, text, n, s as start, {_STOP} as stop from (select doc_id, text, length(text) as n, 0 as s, substring(text, 1, 180) as win from documents where text <> '')
       union all select doc_id, text, n, s, {_STOP} from (select *, substring(text, s + 1, 180) as win from (select doc_id, text, n, greatest(stop - 30, start + 1) as s from r where stop < n))),
       c as (select doc_id, start, substring(text, start + 1, stop - start) as c from r), p as (select doc_id, start + length(c) - length(regexp_replace(c, '^[{_W}]+', '')) as a, {_STRIP('c')} as c from c)

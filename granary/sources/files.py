@@ -1,4 +1,4 @@
-"""Files to elements: size and format checks, text, Markdown and DOCX parsers, cleaning, ids. Failures are rows, not exceptions."""
+"""Files to elements: size and format checks, text, Markdown, DOCX and PDF parsers, cleaning, ids. Failures and warnings are rows, not exceptions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import identity, text
+from granary.sources import pdf
 
 MAX_BYTES = 20 * 1024 * 1024
 #: Fixed: formats by suffix, and how their files begin.
@@ -176,26 +178,47 @@ def docx_elements(content: bytes) -> Iterator[tuple]:
             yield _row("table", "\n".join(rows), "docx_table", table=tables, path=path)
 
 
+def pdf_elements(content: bytes) -> Iterator[tuple]:
+    """Pages with text; a warning for each one without, and one on the order of reading."""
+    found = 0
+    for number, body in enumerate(pdf.pages(content), 1):
+        if body.strip():
+            found += 1
+            yield "page", body, "pdf_page", None, None, number, None, None, [], None
+        else:
+            yield None, None, "pdf_page", None, None, number, None, None, [], "pdf_page_without_text"
+    if not found:
+        raise TextMissing
+    yield *[None] * 8, [], "pdf_reading_order_not_guaranteed"
+
+
+class TextMissing(ValueError):
+    """A PDF without a text layer."""
+
+
+#: Failures of parsers that have a code and a stage of their own.
+FAILURES = {pdf.Encrypted: ("ENCRYPTED_PDF", "parse"), TextMissing: ("PDF_TEXT_LAYER_MISSING", "empty_content")}
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for document, version, kind, content in batch.itertuples(index=False):
             try:
-                if kind == "docx":
-                    found = list(docx_elements(bytes(content)))
-                elif kind in ("txt", "markdown"):
-                    body = bytes(content).decode("utf-8-sig")
-                    found = list((txt_elements if kind == "txt" else markdown_elements)(body))
+                if kind == "pdf":
+                    found = list(pdf_elements(bytes(content)))
+                elif kind == "docx":
+                    found = [(*e, None) for e in docx_elements(bytes(content))]
                 else:
-                    out.append((document, version, 0, *[None] * 9, "PDF_SUPPORT_MISSING", "parse"))
-                    continue
+                    body = bytes(content).decode("utf-8-sig")
+                    found = [(*e, None) for e in (txt_elements if kind == "txt" else markdown_elements)(body)]
                 out += [(document, version, i, *e, None, None) for i, e in enumerate(found, 1)]
-            except Exception:  # noqa: BLE001  any foreign failure is this file's, and a row
-                out.append((document, version, 0, *[None] * 9, "DOCUMENT_PARSE_FAILED", "parse"))
-        yield pd.DataFrame(out, columns=["document_id", "document_version", "position", *(c.split()[0] for c in ELEMENTS.split(", ")), "error_code", "error_stage"])
+            except Exception as e:  # noqa: BLE001  any foreign failure is this file's, and a row
+                out.append((document, version, 0, *[None] * 10, *FAILURES.get(type(e), ("DOCUMENT_PARSE_FAILED", "parse"))))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
 
 
-PARSED = f"document_id string, document_version string, position int, {ELEMENTS}, error_code string, error_stage string"
+PARSED = f"document_id string, document_version string, position int, {ELEMENTS}, warning_code string, error_code string, error_stage string"
 
 
 def describe_locator() -> Column:
@@ -206,8 +229,16 @@ def describe_locator() -> Column:
     return F.concat_ws(", ", F.col("locator_kind"), lines, of("page", "page_number"), of("paragraph", "paragraph_index"), of("table", "table_index"), headings)
 
 
-def load_elements(files: DataFrame, manifest: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Clean elements with ids, and a row for every file that failed. manifest: path, document_id, document_version, source_role, evidence_eligibility.
+class Loaded(NamedTuple):
+    """Clean elements with ids; a row for every file that failed; a row for every warning, with the page that it is about."""
+
+    elements: DataFrame
+    failures: DataFrame
+    warnings: DataFrame
+
+
+def load(files: DataFrame, manifest: DataFrame, max_bytes: int = MAX_BYTES) -> Loaded:
+    """Elements, failures and warnings of files. manifest: path, document_id, document_version, source_role, evidence_eligibility.
 
     A historical source that claims to be current evidence is refused. Elements that cleaning empties are left out, and
     ordinals count the others.
@@ -216,10 +247,15 @@ def load_elements(files: DataFrame, manifest: DataFrame, max_bytes: int = MAX_BY
     refused = F.when((F.col("source_role") == "historical_material") & (F.col("evidence_eligibility") == "current_evidence"), "HISTORICAL_AS_CURRENT")
     known = known.withColumn("error_code", F.coalesce(refused, "error_code")).withColumn("error_stage", F.when(refused.isNotNull(), "validate").otherwise(F.col("error_stage")))
     parsed = known.where("error_code is null").select("document_id", "document_version", "file_format", "content").mapInPandas(_parsed, PARSED)
-    cleaned = text.clean_text(parsed.where("error_code is null"), "text", "clean", "cleaning_actions").where("clean != ''")
+    cleaned = text.clean_text(parsed.where("error_code is null and warning_code is null"), "text", "clean", "cleaning_actions").where("clean != ''")
     order = Window.partitionBy("document_id", "document_version").orderBy("position")
     numbered = cleaned.withColumn("ordinal", F.row_number().over(order)).withColumn("locator", describe_locator())
     ids = identity.element_id(F.col("document_id"), F.col("document_version"), F.col("ordinal"), F.col("locator"), F.col("clean"))
     elements = numbered.select("document_id", "document_version", ids.alias("element_id"), "kind", F.col("clean").alias("text"), "locator", "ordinal", "cleaning_actions")
     failures = known.where("error_code is not null").select("document_id", "error_code", "error_stage").unionByName(parsed.where("error_code is not null").select("document_id", "error_code", "error_stage"))
-    return elements, failures
+    return Loaded(elements, failures, parsed.where("warning_code is not null").select("document_id", "document_version", "warning_code", "page_number"))
+
+
+def load_elements(files: DataFrame, manifest: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """load without the warnings."""
+    return load(files, manifest, max_bytes)[:2]

@@ -1,14 +1,17 @@
 """Secret scans by assignment-aware lexing.
 
 Fixed patterns give the base spans. On top, source and configuration syntax is lexed into assignments: names (dotted,
-quoted or in capitals) with string literals, joined literals, bare configuration values or other names. Names that hold
+quoted or in capitals) with string literals, joined literals, bare configuration values or other names; so are elements, calls with one literal, indented blocks and the
+credentials of addresses. A name is read once, from the start of its run of characters, so time grows with the text. Names that hold
 constants are remembered, so that a literal counts by every name it flows to. A literal is scored by how sensitive its
 target names are and how random it looks.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -28,7 +31,7 @@ KINDS = ("assign", "access", "hex", "literal")
 
 #: Weights of words in target names.
 NAME_WEIGHTS = {
-    "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3,
+    "password": 3, "passwd": 3, "pwd": 3, "pass": 2.9, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3,
     "auth": 1, "key": 1, "private": 1, "access": 1, "api": 1, "signing": 1, "encryption": 1, "bearer": 3, "salt": 1, "jwt": 3, "client": 0.5,
 }
 #: Words after which a name holds something about a secret, not the secret.
@@ -36,14 +39,14 @@ HARMLESS = frozenset("name path file url uri length len size count type id polic
 PLACEHOLDER = re.compile(r"(?i)^(.)\1*$|^(your|my|the|some|change|example|dummy|test|sample|placeholder|none|null|true|false|xxx|todo)|^<.*>$|^\$\{.*\}$|^%\(?\w*\)?s?$|\{\w*\}")
 LITERAL = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 #: A type as it stands between a name and its '='.
-TYPE = r"[&*]*(?:'\w+[\x20\t]+|mut[\x20\t]+)*[A-Za-z_][\w.]*(?:\[[\w.,\x20\[\]|*]{0,80}\]|<[\w.,\x20<>\[\]|&?*]{0,80}>)?(?:\[\])*[?!]?"
+TYPE = r"[&*]*(?:'\w+[\x20\t]+|mut[\x20\t]+)*[A-Za-z_][\w.]*+(?:\[[\w.,\x20\[\]|*]{0,80}\]|<[\w.,\x20<>\[\]|&?*]{0,80}>)?(?:\[\])*[?!]?"
 #: What stands between an operator and the value: types, or names in a chain. A '=' that ends a word may be its padding.
 VIA = rf"""{TYPE}(?:[\x20\t]*\|[\x20\t]*{TYPE}){{0,4}}(?:[\x20\t]+(?::=|=(?![=>]))[\x20\t]*|(?::=|=(?![=>]))(?=\S)|=[\x20\t]+(?=["']))"""
 BARE = re.compile(r"""[^\s"',;(){}\[\]<>]+""")
 #: What a bare value may be instead, as a whole or in a sum (of at most SUM characters): names of constants.
 NAME, SUM = re.compile(r"[A-Za-z_][\w.]*"), 1000
 STATEMENT = re.compile(
-    rf"""(?P<name>["']?[A-Za-z_][\w.\-]{{0,80}}["']?(?:\[["'][\w.\-]+["']\])?)(?:[?!](?=:))?[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*
+    rf"""(?<![\w.\-])(?:(?![A-Za-z_])[\w.\-])*+(?P<name>["']?[A-Za-z_][\w.\-]*+["']?(?:\[["'][\w.\-]++["']\])?)(?:[?!](?=:))?[\x20\t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*
     (?P<via>(?:{VIA}){{1,3}})?(?:(?P<value>(?:{LITERAL})(?:[\x20\t]*\+?[\x20\t]*(?:{LITERAL}))*)|(?=(?P<bare>[^\s"',;(){{}}\[\]<>])))""",
     re.VERBOSE,
 )
@@ -94,7 +97,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             if start >= end:
                 end = BARE.match(text, start).end()
             stop = end
-            if m.start() and text[m.start() - 1] in "?&":  # a parameter of a query
+            if m.start("name") and text[m.start("name") - 1] in "?&":  # a parameter of a query
                 for mark in "&#":
                     stop = text.find(mark, start, stop) if text.find(mark, start, stop) >= 0 else stop
             parts = text[start:stop].split("+") if stop - start <= SUM else []
@@ -106,7 +109,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 if m["op"] != "=>":
                     held.append([(start, stop)])
             values += held
-        if values and not (m.start() == typed and TYPE_WORD.fullmatch(name)):
+        if values and not (m.start("name") == typed and TYPE_WORD.fullmatch(name)):
             key = name.split(".")[-1] if name.startswith(("self.", "this.")) else name
             known[key] = known[name] = values[0]
         for spans in values:
@@ -115,17 +118,53 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         at = typed if m["via"] else m.end()
 
 
+#: Values that stand elsewhere than behind an operator: elements, credentials of an address, a call's only literal, an indented block.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.\-:]*+)(?:\s[^<>]*+)?>([^<>\s]++)</\1\s*>")
+ADDRESS = re.compile(r"""(?<=://)[^\s/:@"'<>]*+:([^\s/@"'<>]++)@""")
+CALL = re.compile(rf"""\(\s*({LITERAL})\s*\)""")
+CALLED = re.compile(r"[A-Za-z_][\w.]*$")
+BLOCK = re.compile(r"""^([ \t]*+)(?:-[ \t]++)?["']?([A-Za-z_][\w.\-]*+)["']?:[ \t]*+[|>][+\-1-9]*+[ \t]*+(?:#.*+)?$""", re.MULTILINE)
+LINE = re.compile(r"\n([ \t]*+)(.*+)")
+
+
+def elsewhere(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Names and literals of elements, addresses, calls and blocks."""
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            yield m[1], [m.span(2)]
+    if "://" in text and "@" in text:
+        for m in ADDRESS.finditer(text):
+            yield "password", [m.span(1)]
+    if "(" in text and ("'" in text or '"' in text):
+        for m in CALL.finditer(text):
+            name = CALLED.search(text, max(0, m.start() - 80), m.start())
+            if name:
+                yield name[0], [(m.start(1) + 1, m.end(1) - 1)]
+    if "|" in text or ">" in text:
+        for m in BLOCK.finditer(text):
+            spans, at = [], m.end()
+            while (line := LINE.match(text, at)) and (not line[2].strip() or len(line[1]) > len(m[1])):
+                if line[2].strip():
+                    spans.append((line.start(2), line.start(2) + len(line[2].rstrip())))
+                at = line.end()
+            if spans:
+                yield m[2], spans
+
+
 def literals(text: str, least: float = 2.0, begun: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
     """Spans of literals whose names and looks together make them secrets; none is within another.
 
     Literals without spaces that start in begun are secrets by any name.
     """
     best: dict[tuple, float] = {}
+    names: dict[str, float] = {}
     looks: dict[tuple, float] = {}
     end = -1
-    if "=" in text or ":" in text:
-        for name, spans in assignments(text):
-            score, key = name_score(name), tuple(spans)
+    if any(c in text for c in "=:<("):
+        for name, spans in itertools.chain(assignments(text), elsewhere(text)):
+            if name not in names:
+                names[name] = name_score(name)
+            score, key = names[name], tuple(spans)
             if len(spans) == 1 and spans[0][0] in begun and not re.search(r"\s", text[slice(*spans[0])]):
                 best[key] = least
             elif score:
@@ -156,7 +195,9 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     """Base spans, and these with the literals that none of them contains; what a base span begins is a secret to its end."""
     base = base_spans(text)
     begun = frozenset(ASSIGN.match(text, a).start(2) for a, _, k in base if k == "assign")
-    extra = [(a, b, "literal") for a, b in literals(text, begun=begun) if not any(c <= a and b <= d for c, d, _ in base)]
+    starts, reach = [a for a, _, _ in base], list(itertools.accumulate((b for _, b, _ in base), max))
+    within = lambda a, b: (k := bisect.bisect_right(starts, a)) and reach[k - 1] >= b
+    extra = [(a, b, "literal") for a, b in literals(text, begun=begun) if not within(a, b)]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from granary.llm import secrets
 
@@ -114,3 +115,25 @@ def test_very_long_texts_repeats_and_odd_columns(spark):
     got = sorted(((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex) for r in secrets.scan(df).collect()))
     assert got == [(0, 0, 1, 0), (1, 1, 0, 1), (1, 1, 0, 1)]
     assert df.withColumn("text", secrets.redacted("text")).where("contains(text, 'abcdef12')").count() == 0
+
+
+def test_values_that_stand_elsewhere():
+    value = "tR7!kq92Lm"
+    for text in (
+        'DB_PASS = "{}"', "password: >-\n  {}\nnext: 1", "a:\n  - db_pwd: |  # kept\n\n      {}\n  b: 1", "<password>{}</password>", '<db:clientSecret type="x">{}</db:clientSecret>', 'c.setPassword("{}")', "conn.with_passphrase( '{}' )",
+        "postgres://admin:{}@db.example.com/x", "--db-pwd={}", "9pwd={}", "x.y-pwd = '{}'", 'f"pwd={}"',
+    ):
+        assert value in found(text.format(value)), text
+        assert value not in secrets.redact(text.format(value)), text
+    for text in ("compass = 'q8Xz77LpTT'", "<title>q8Xz77LpTT</title>", 'print("q8Xz77LpTT")', "http://host:8080/a@b", "note: >-\n  q8Xz77LpTT", "password: >-\nnext: 1", "https://user@host/q8Xz77LpTT"):
+        assert found(text) == [], text
+    assert found("password: |\n  Zx81Qp07aa\n  q8Xz77LpTT\nq: 1") == ["Zx81Qp07aa", "q8Xz77LpTT"]
+
+
+def test_time_grows_with_the_text():
+    """A million characters of one kind, or of one pattern, take seconds: unbroken runs less than one, an assignment at every second character (the worst) some ten."""
+    n = 1_000_000
+    for text in ("a=" + "x" * n, "x" * n, "1" * n, "a" * n + "=", "a-" * (n // 2), "a " * (n // 2), "a=" * (n // 2), "a:b=" * (n // 4), "pwd=" + "a+" * (n // 2), "x" + " " * n, 'a["' * (n // 3), "password" * (n // 8), "<a>" * (n // 3), "://" * (n // 3), "a('" * (n // 3), "token=abcdef12 " * (n // 15), "pwd='q8Xz77LpTT' " * (n // 17), "a: |\n" * (n // 5), "'" * n):
+        began = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - began < (25 if text[:3] in ("a=a", "a:b") else 8 if text[1:2] != text[2:3] else 2), (text[:20], time.process_time() - began)

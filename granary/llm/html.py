@@ -3,7 +3,8 @@
 A page is parsed to a tree of block elements. Two models tell for every node whether all of its text is the article's,
 and whether none of it is, from its size, text and link density, attribute words, depth and siblings. Decoding picks for
 the whole tree the likeliest labels in which everything below a kept node is kept and below a dropped one dropped.
-The models are trained here, on pages that a fixed generator writes with known articles (its number is the bound).
+The models are trained here, on pages that fixed generators write with known articles (their number is the bound): pages
+of sections with names, and of other makes, with tables for layout, without a body, without names, with headers in articles.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ GROUPS = (
 )
 
 
+#: What is said under pages and over them, more than in them.
+SAID = re.compile(r"(?i)©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b|\bprivacy\b|\bterms of\b|\bpowered by\b|\badvertisement\b")
+
+
 class Node:
     __slots__ = ("children", "depth", "links", "marks", "parent", "tag", "texts", "words")
 
@@ -124,6 +129,18 @@ def features(nodes: list[Node]) -> np.ndarray:
     flags = np.array([[*(bool(x.words & g) for g in GROUPS), x.tag in MAIN_TAGS, x.tag in ASIDE_TAGS] for x in nodes], float).reshape(n, -1)
     for i in range(1, n):
         above[i] = np.maximum(above[parent[i]], flags[parent[i]])
+    # Tags of asides that stand in a main one, the nearest of the two, and whether a heading is below.
+    main, aside = flags[:, -2] > 0, flags[:, -1] > 0
+    nearest, within = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        nearest[i] = 1 if main[i] else -1 if aside[i] else nearest[parent[i]]
+        within[i] = within[parent[i]] or (aside[i] and above[parent[i], -2] + flags[parent[i], -2] > 0)
+    heads = np.array([[x.tag in ("h1", "h2"), sum(bool(SAID.search(t)) for _, t in x.texts), max((len(t) for _, t in x.texts), default=0)] for x in nodes], float).reshape(n, 3)
+    longest = heads[:, 2].copy()
+    for i in range(n - 1, 0, -1):
+        heads[parent[i], :2] += heads[i, :2]
+        longest[parent[i]] = max(longest[parent[i]], longest[i])
+    more = np.column_stack([nearest, within, heads[:, 0] > 0, heads[:, 1] / np.maximum(1, sums[:, 1]), np.log1p(longest), longest / max(1.0, longest[0])])
     brothers = np.array([len(x.parent.children) if x.parent else 1 for x in nodes])
     position = np.zeros(n)
     for x in nodes:
@@ -135,7 +152,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     heading = np.array([x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for x in nodes])
     block = np.array([x.tag in ("p", "blockquote", "pre", "td", "figcaption", "dd") for x in nodes])
     lists = np.array([x.tag in ("ul", "ol", "li", "dl") for x in nodes])
-    return np.column_stack([np.log1p(length), np.log1p(own[:, 0]), sums[:, 2] / np.maximum(1, length), length / sums[:, 4], sums[:, 5] / np.maximum(1, length), np.log1p(sums[:, 6]), np.log1p(sums[:, 7]), of_page, of_parent, depth, brothers, position, heading, block, lists, np.array([x.tag == "div" for x in nodes]), flags, above, np.log1p(sums[:, 8])])
+    return np.column_stack([np.log1p(length), np.log1p(own[:, 0]), sums[:, 2] / np.maximum(1, length), length / sums[:, 4], sums[:, 5] / np.maximum(1, length), np.log1p(sums[:, 6]), np.log1p(sums[:, 7]), of_page, of_parent, depth, brothers, position, heading, block, lists, np.array([x.tag == "div" for x in nodes]), flags, above, np.log1p(sums[:, 8]), more])
 
 
 def decode(nodes: list[Node], keep: np.ndarray, none: np.ndarray) -> np.ndarray:
@@ -164,6 +181,18 @@ def decode(nodes: list[Node], keep: np.ndarray, none: np.ndarray) -> np.ndarray:
     return out
 
 
+def outside(nodes: list[Node], lean: np.ndarray) -> np.ndarray:
+    """For a page of which nothing would be kept: the nodes outside of everything that by its tag or names isn't the article, which aren't links, and which don't lean towards none much more than the best of them."""
+    index = {id(x): i for i, x in enumerate(nodes)}
+    shut, out = np.zeros(len(nodes), bool), np.full(len(nodes), -np.inf)
+    for i, x in enumerate(nodes):
+        shut[i] = (i and shut[index[id(x.parent)]]) or x.tag in ASIDE_TAGS or any(x.words & g for g in GROUPS[1:])
+        size = sum(len(t) for _, t in x.texts)
+        if size and not shut[i] and x.links * 2 < size and not all(SAID.search(t) for _, t in x.texts):
+            out[i] = lean[i]
+    return (out > -np.inf) & (out >= out.max() - 0.3)
+
+
 def write_page(r: random.Random) -> tuple[str, set[str]]:
     """A made-up page and the blocks of its article. Every block is told apart by a number in it."""
     words = [("".join(r.choices("aeioulnrstdm", k=r.randint(2, 9)))) for _ in range(60)]
@@ -229,12 +258,73 @@ def write_page(r: random.Random) -> tuple[str, set[str]]:
     return "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><!-- x -->" + "".join(page) + "</body></html>", blocks
 
 
-def train(pages: int = 500, seed: int = 11) -> tuple[BoostedTrees, BoostedTrees]:
-    """Models of nodes whose text is all, and none, the article's, from so many written pages."""
-    r = random.Random(seed)
+def write_other_page(r: random.Random) -> tuple[str, set[str]]:
+    """A page of another make, and the blocks of its article."""
+    words = [("".join(r.choices("aeioulnrstdm", k=r.randint(2, 9)))) for _ in range(60)]
+    count, blocks = [0], set()
+    legal = lambda: r.choice(["&copy; 2019", "Copyright 2003", "All rights reserved.", "Privacy", "Powered by", "Cookies"])
+    many = lambda n, f, glue="": glue.join(f() for _ in range(n))
+
+    def say(a: int, b: int) -> str:
+        count[0] += 1
+        return " ".join(r.choices(words, k=r.randint(a, b))).capitalize() + f" {count[0]}{r.choice(['.', '', '.', ','])}"
+
+    def main(text: str) -> str:
+        blocks.add(text)
+        return text
+
+    def paragraph() -> str:
+        text = main(say(3, 90) + r.choice([""] * 20 + [" You may subscribe to it.", " Their cookies were sold."]))
+        return r.choice(["<p>{}</p>"] * 6 + ["<p>{}", "<P>{}", "<p><font size=2>{}</font></p>", "<div>{}</div>", "<blockquote>{}</blockquote>"]).format(text if r.random() < 0.9 else f"<i>{text}</i>")
+
+    def title(tags: tuple) -> str:
+        return r.choice(tags).format(main(say(2, 12)))
+
+    def links(n: int) -> str:
+        return many(n, lambda: f'<a href="/{count[0]}">{say(1, 3)}</a>', r.choice([" | ", "<br>", " ", " &middot; "]))
+
+    def body() -> str:
+        more = lambda: paragraph() if r.random() < 0.9 else "<ul>" + many(r.randint(2, 4), lambda: f"<li>{main(say(2, 15))}</li>") + "</ul>" if r.random() < 0.5 else f"<h3>{main(say(1, 6))}</h3>"
+        return many(r.choice([1, 2, 2, 3, 4, 6, 9]), more)
+
+    foot = lambda: f"{legal()} {say(1, 12)}"
+    kind = r.choice(["bare", "bare", "table", "table", "header", "header", "plain", "plain"])
+    if kind == "bare":
+        top = r.choice(["", "", f"<p>{links(r.randint(2, 6))}</p>", f"<div>{links(r.randint(2, 6))}</div>", f"{links(3)}<hr>"])
+        end = r.choice(["", "", f"<hr><p><small>{foot()}</small></p>", f"<address>{foot()}</address>", f"<hr><p>{links(3)}</p>"])
+        inner = top + (title(("<h1>{}</h1>", "<h2>{}</h2>", "<center><h1>{}</h1></center>", "<p><b>{}</b></p>")) if r.random() < 0.6 else "") + body() + end
+        page = r.choice(["{}", "{}", "<html>{}</html>", "<html><head><title>t</title></head><body>{}</body></html>", '<BODY BGCOLOR="#ffffff">{}</BODY>']).format(inner)
+    elif kind == "table":
+        shown = title(("<h1>{}</h1>", "<font size=5><b>{}</b></font><p>", "<b>{}</b><br><p>", "<h2>{}</h2>")) if r.random() < 0.7 else ""
+        text = body() if r.random() < 0.7 else main(say(20, 120)) if not shown or "<p>" not in shown else "<p>" + main(say(20, 120))
+        inner = f"<td{r.choice(['', ' valign=top', ' width=600'])}>{shown}{text}</td>"
+        side = lambda: f"<td{r.choice(['', ' width=120', ' bgcolor=#eeeeee'])}>{r.choice([links(r.randint(3, 8)), '<ul>' + many(4, lambda: f'<li><a href=/x>{say(1, 3)}</a></li>') + '</ul>'])}</td>"
+        rows = [f"<tr><td colspan=3>{r.choice([say(1, 4), links(4), f'<b>{say(1, 3)}</b>'])}</td></tr>" if r.random() < 0.6 else "", "<tr>" + (side() if r.random() < 0.7 else "") + inner + (side() if r.random() < 0.2 else "") + "</tr>", f"<tr><td colspan=3>{r.choice([foot(), f'<font size=1>{foot()}</font>'])}</td></tr>" if r.random() < 0.6 else ""]
+        table = "<table border=0>" + "".join(rows) + "</table>"
+        page = r.choice(["<html><body>{}</body></html>", "{}", "<html><head><title>t</title></head><body bgcolor=white><center>{}</center></body></html>"]).format(table)
+    elif kind == "header":
+        head = f"<header>{title(('<h1>{}</h1>', '<h1>{}</h1>', '<h2>{}</h2>'))}{f'<p>{main(say(5, 25))}</p>' if r.random() < 0.4 else ''}</header>"
+        tail = f"<footer>{r.choice([links(3), f'<ul><li><a href=/t>{say(1, 2)}</a></li></ul>'])}</footer>" if r.random() < 0.3 else ""
+        name = r.choice(["article", "article", "main"])
+        inner = f"<{name}>{head}{body()}{tail}</{name}>"
+        site = f"<header>{r.choice([say(1, 4), f'<h1>{say(1, 4)}</h1>' if r.random() < 0.3 else say(1, 4)])}{f'<nav>{links(4)}</nav>' if r.random() < 0.5 else ''}</header>" if r.random() < 0.6 else ""
+        page = f"<html><body>{site}{inner}{f'<footer><p>{foot()}</p></footer>' if r.random() < 0.7 else ''}</body></html>"
+        page = page if r.random() < 0.8 else inner
+    else:
+        name = lambda: r.choice(["", "", f' class="{"".join(r.choices("abcdefghx0123", k=6))}"', f' id="c{r.randint(1, 99)}"'])
+        parts = [f"<div{name()}>{r.choice([say(1, 4), links(5), f'<a href=/>{say(1, 3)}</a>'])}</div>" if r.random() < 0.7 else "", f"<div{name()}>{links(r.randint(3, 8))}</div>" if r.random() < 0.5 else ""]
+        inner = f"<div{name()}>{title(('<h1>{}</h1>', '<h2>{}</h2>', '<div><b>{}</b></div>')) if r.random() < 0.8 else ''}{body()}</div>"
+        parts += [inner if r.random() < 0.6 else f"<div{name()}>{inner}</div>", f"<div{name()}><ul>" + many(r.randint(3, 6), lambda: f"<li><a href=/y>{say(1, 5)}</a></li>") + "</ul></div>" if r.random() < 0.4 else "", f"<div{name()}>{foot()}</div>" if r.random() < 0.7 else ""]
+        page = "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(parts) + "</body></html>"
+    return page, blocks
+
+
+def train(pages: int = 500, seed: int = 11, others: int = 500) -> tuple[BoostedTrees, BoostedTrees]:
+    """Models of nodes whose text is all, and none, the article's, from so many written pages, and so many of other makes."""
+    r, r2 = random.Random(seed), random.Random(seed + 1)
     x, all_main, no_main = [], [], []
-    for _ in range(pages):
-        page, blocks = write_page(r)
+    for k in range(pages + others):
+        page, blocks = write_page(r) if k < pages else write_other_page(r2)
         nodes = parse(page)
         index = {id(v): i for i, v in enumerate(nodes)}
         of = np.array([[sum(len(t) for _, t in v.texts if t in blocks), sum(len(t) for _, t in v.texts)] for v in nodes], float)
@@ -262,6 +352,8 @@ def extract_all(pages: list[str], models: tuple[BoostedTrees, BoostedTrees]) ->
     for nodes in trees:
         end = at + len(nodes)
         kept = decode(nodes, keep[at:end], none[at:end])
+        if not any(k and v.texts for v, k in zip(nodes, kept, strict=True)):
+            kept = outside(nodes, keep[at:end] - none[at:end])
         at = end
         out.append("\n\n".join(t for _, t in sorted(t for v, k in zip(nodes, kept, strict=True) if k for t in v.texts)))
     return out
@@ -282,7 +374,7 @@ def main_text(pages: DataFrame, models: tuple[BoostedTrees, BoostedTrees] | None
     """page_id, url, text, n_chars: the article of every page, its blocks joined by an empty line.
 
     Null and empty html give an empty text; very long pages are read whole. White space is what Unicode says it is, a decoded
-    no-break space included. Where keeping and leaving out a node weigh the same, it is decided by its children. Rows with
+    no-break space included. A page of which nothing would be kept gives its text outside of menus, forms and their like. Where keeping and leaving out a node weigh the same, it is decided by its children. Rows with
     null or repeated ids are read like any other. Other columns are ignored; no rows give no rows.
     """
     shared = Shipped(pages.sparkSession, models or train())  # a few hundred small trees

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.plans.retrieval import read
-from granary.sources import files
-from granary.sources.tables import spread
+from granary.sources import files, folders
+from granary.sources.buckets import BucketTable
+from granary.sources.tables import shared_folder, spread
 
 LINES = 40
 
@@ -50,9 +51,44 @@ def pdf_pages(spark, d):
     return loaded.elements.select(F.col("document_id").cast("long").alias("doc_id"), F.col("ordinal").alias("page"), F.md5(plain).alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (pdf_pages,)}
+def document_files(spark, d):
+    """Documents written as files by tasks, and read back by the folder source, planned by bytes."""
+    folder = shared_folder(spark, "documents")
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root)
+        for batch in batches:
+            for i, body in zip(batch["doc_id"], batch["text"], strict=True):
+                with where.open_output_stream(f"{root}/{i}.txt") as out:
+                    out.write((body or "").encode())
+            yield batch[["doc_id"]]
+
+    spread(read(spark, d, "documents").select("doc_id", "text")).mapInPandas(f, "doc_id long").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(folders.DocumentFolder)
+    found = files.inspected(spark.read.format("document_folder").option("partition_bytes", 1 << 20).load(folder))
+    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "length", "sha256", "file_format", "error_code")
+
+
+def bucket_upsert(spark, d):
+    """A table of half of the customers, changed in place by a stream of all, which comes twice."""
+    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    table = BucketTable(spark, shared_folder(spark), ("c_custkey",), ("c_custkey",), 16).create(c.where("c_custkey % 2 = 0"))
+    for _ in range(2):
+        changes = spark.readStream.schema(read(spark, d, "customer").schema).option("pathGlobFilter", "customer.parquet").parquet(d).where("c_custkey % 3 = 0")
+        changes = changes.select("c_custkey", "c_name", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(2).alias("created_at"), F.lit(2).alias("updated_at"))
+        changes.writeStream.foreachBatch(table.sink()).option("checkpointLocation", shared_folder(spark, "streams")).trigger(availableNow=True).start().awaitTermination()
+    return table.read().withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+QUERIES = {f.__name__: f for f in (pdf_pages, document_files, bucket_upsert)}
 
 SQL = {
+    "document_files": "select doc_id, strlen(text)::bigint as length, sha256(text) as sha256, 'txt' as file_format, null::varchar as error_code from documents",
+    "bucket_upsert": """select c_custkey, c_name, round(case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end, 4) as c_acctbal, case when c_custkey % 2 = 0 then 1 else 2 end as created_at, case when c_custkey % 3 = 0 then 2 else 1 end as updated_at
+      from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0""",
     "pdf_pages": rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
       k as (select doc_id, line, row_number() over (partition by doc_id order by i) - 1 as n from l where regexp_replace(line, '\s+', '', 'g') <> ''),
       p as (select doc_id, n // {LINES} + 1 as page, string_agg(line, ' ' order by n) as t from k group by all)

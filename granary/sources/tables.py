@@ -6,21 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local session that has none gets one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{kind}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df written once and read back: to the folder, or to one of its own under spark.checkpoint.dir, which driver and executors share (a local session that has none gets one)."""
+    """df written once and read back: to the folder, or to a new shared one."""
     spark = df.sparkSession
-    if folder is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = f"file://{tempfile.mkdtemp(prefix='granary-')}"
-            spark.conf.set("spark.checkpoint.dir", shared)
-        folder = f"{shared}/tables/{uuid.uuid4().hex}"
+    folder = folder or shared_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

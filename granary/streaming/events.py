@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from granary.functions.structured import server_sent_event
+from granary.sources.tables import shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -99,7 +100,14 @@ def write_logs(batch: DataFrame, out: str, errors: str) -> None:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a finite stream gives, as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a finite stream gives, as a table: written by its tasks to a shared folder, with its state, and read back. In complete mode that is what the last batch gave."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "streams")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")  # there is a table even without a batch
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(stream.columns)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.structured import risk_list
+from granary.functions.vector import let
 
 #: Fixed: the section of each source type, and its weight in ranking.
 SECTION_OF = {"requirement": "requirement", "evidence": "evidence", "business_rule": "evidence", "api_doc": "evidence", "client_note": "evidence", "history": "history", "history_review": "history", "agent_summary": "agent_summary", "tool_result": "agent_summary", "other": "other"}
@@ -77,51 +76,60 @@ def candidates(requests: DataFrame, sources: DataFrame, policy: ContextPolicy) -
     return ranked.join(requests.select("request_id", requirement.alias("requirement")), "request_id").drop("same", "asked", "of_id", "lead", "of_content", "standing")
 
 
-def _shortened(parts: list[dict], text: str, target: int) -> str:
+def _shortened(parts: Column, text: Column, target: Column) -> Column:
     """The parts of a text with most of the wanted words, in their own order, until three quarters of the target are full."""
-    room, kept = target, set()
-    for i in sorted(range(len(parts)), key=lambda i: -parts[i]["hits"]):
-        if parts[i]["tokens"] <= room:
-            kept.add(i)
-            room -= parts[i]["tokens"]
-        if target - room >= 0.75 * target:
-            break
-    if kept:
-        return "\n".join(p["text"] for i, p in enumerate(parts) if i in kept)
-    return text[: max(40, 2 * target)].rstrip() + "..." if parts else text
+    by_hits = F.array_sort(F.transform(parts, lambda p, i: F.struct((-p["hits"]).cast("int").alias("h"), i.cast("int").alias("i"), p["tokens"].cast("long").alias("tokens"))))
+    kind = "struct<room: bigint, kept: array<int>, full: boolean>"
+    empty = F.struct(target.alias("room"), F.array().alias("kept"), F.lit(False).alias("full")).cast(kind)
+
+    def taken(a: Column, p: Column) -> Column:
+        fits = ~a["full"] & (p["tokens"] <= a["room"])
+        room = F.when(fits, a["room"] - p["tokens"]).otherwise(a["room"])
+        kept = F.when(fits, F.concat(a["kept"], F.array(p["i"]))).otherwise(a["kept"])
+        return F.struct(room.alias("room"), kept.alias("kept"), (a["full"] | (target - room >= 0.75 * target)).alias("full")).cast(kind)
+
+    def shown(kept: Column) -> Column:
+        joined = F.array_join(F.transform(F.filter(parts, lambda _, i: F.array_contains(kept, i.cast("int"))), lambda p: p["text"]), "\n")
+        start = F.regexp_replace(F.substring(text, F.lit(1), F.greatest(F.lit(40), 2 * target).cast("int")), rf"[{T.SPACE}]+$", "")
+        return F.when(F.size(kept) > 0, joined).when(F.size(parts) > 0, F.concat(start, F.lit("..."))).otherwise(text)
+
+    return let(F.aggregate(by_hits, empty, taken)["kept"], shown)
 
 
 DECISIONS = "request_id string, place int, source_id string, source_type string, section string, status string, reason string, tokens int, content string, citation boolean, shown string"
 #: Reasons that are known before any section is filled.
 EARLY = ("source_type_excluded", "duplicate_source_id", "duplicate_content")
+_ROOMS = (*SECTIONS, "requirement")
+_STATE = f"struct<left: bigint, rooms: array<bigint>, out: array<struct<{', '.join(c.replace(' ', ': ') for c in DECISIONS.split(', ')[2:])}>>>"
 
 
-def _decided(policy: ContextPolicy) -> Callable:
+def _decided(rows: Column, policy: ContextPolicy) -> Column:
     """Spends the budgets of one request on its sources, section by section, best first. A source is shown short or whole, whichever comes first that fits."""
+    rooms = F.array(*[F.lit(policy.sections.get(name, 0)) for name in _ROOMS])
+    start = F.struct((policy.token_budget - F.element_at(rows, 1)["requirement_tokens"]).alias("left"), rooms.alias("rooms"), F.array().alias("out")).cast(_STATE)
+    names = F.array(*[F.lit(name) for name in _ROOMS])
+
+    def spent(a: Column, r: Column) -> Column:
+        at = F.array_position(names, r["section"]).cast("int")
+        room = F.when(r["reason"].isNotNull(), F.lit(0)).otherwise(F.greatest(F.least(a["left"], F.element_at(a["rooms"], at)), F.lit(0))).cast("long")
+        target = F.least(room, F.lit(policy.max_source_tokens)).cast("long") if policy.max_source_tokens else room
+        may = F.lit(policy.compress) & (room > 0) & (r["tokens"] > target) & (target >= policy.min_compression_tokens)
+
+        def placed(text: Column, block: Column) -> Column:
+            n = F.greatest(F.lit(1), F.floor(F.length(block) / 2))
+            short = F.coalesce(may & (n < r["tokens"]) & (n <= room), F.lit(False))
+            fits = short | ((room > 0) & (r["tokens"] <= room))
+            cost = F.when(short, n).when(fits, r["tokens"]).otherwise(0)
+            status = F.when(fits, "included").otherwise("dropped")
+            why = F.when(short, "compressed").when(fits, "whole").otherwise(F.coalesce(r["reason"], F.lit("token_budget_exceeded")))
+            one = F.struct(r["source_id"], r["source_type"], r["section"], status, why, F.when(short, n).otherwise(r["tokens"]), F.when(short, text).otherwise(r["content"]), fits & r["source_type"].isin(*EVIDENCE), F.when(short, block).otherwise(r["shown"]))
+            left = F.transform(a["rooms"], lambda x, i: F.when(i + 1 == at, x - cost).otherwise(x))
+            return F.struct(a["left"] - cost, left, F.concat(a["out"], F.array(one.cast(_STATE[_STATE.index("out: array<") + 11 : -2])))).cast(_STATE)
+
+        text = F.when(may, _shortened(r["parts"], r["content"], target))
+        return let(text, lambda t: let(F.struct(t.alias("t"), T.strip(F.concat(r["short_head"], F.lit("\n"), t)).alias("b")), lambda x: placed(x["t"], x["b"])))
 
-    def versions(r: tuple, room: int) -> Iterator[tuple[str, str, str, int]]:
-        target = min(room, policy.max_source_tokens or room)
-        if policy.compress and r.tokens > target >= policy.min_compression_tokens:
-            text = _shortened(list(r.parts), r.content, target)
-            block = f"{r.short_head}\n{text}".strip()
-            if (n := max(1, len(block) // 2)) < r.tokens:
-                yield "compressed", text, block, n
-        yield "whole", r.content, r.shown, r.tokens
-
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        early = rows["reason"].isin(EARLY)
-        rows = rows.assign(turn=rows["section"].map([*SECTIONS, *SECTION_OF.values()].index).where(~early, -1), at=rows["nth"].where(~early, rows["place"])).sort_values(["turn", "at"])
-        left, rooms, out = policy.token_budget - int(rows["requirement_tokens"].iloc[0]), dict(policy.sections), []
-        for place, r in enumerate(rows.itertuples(), 1):
-            room = 0 if r.reason else min(left, rooms[r.section])
-            shown = next((v for v in versions(r, room) if v[3] <= room), None) if room > 0 else None
-            if shown:
-                left, rooms[r.section] = left - shown[3], rooms[r.section] - shown[3]
-            why, text, block, n = shown or (r.reason or "token_budget_exceeded", r.content, r.shown, r.tokens)
-            out.append((r.request_id, place, r.source_id, r.source_type, r.section, "included" if shown else "dropped", why, n, text, bool(shown) and r.source_type in EVIDENCE, block))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
-
-    return f
+    return F.aggregate(rows, start, spent)["out"]
 
 
 def build_contexts(requests: DataFrame, sources: DataFrame, policy: ContextPolicy) -> DataFrame:
@@ -129,18 +137,21 @@ def build_contexts(requests: DataFrame, sources: DataFrame, policy: ContextPolic
 
     requests: request_id, requirement; sources: request_id, place, source_id, source_type, title, content, priority, score,
     metadata (map). Places number what was left out before any budget was spent, then the sections in order. Budgets depend on
-    what was taken before, so a request's candidates are filled in by one fold; they are the few that its routes give it.
+    what was taken before, so a request's candidates, the few that its routes give it, are sorted into an array and folded.
     """
     head = lambda metadata, content: T.context_block(F.col("source_id"), F.col("title"), F.col("source_type"), F.col("score"), metadata, content)
     c = candidates(requests, sources, policy).withColumn("shown", head(F.col("metadata"), F.col("content"))).withColumn("tokens", T.estimate_tokens("shown"))
     short = F.map_concat(F.map_filter("metadata", lambda k, _: k != "compressed"), F.create_map(F.lit("compressed"), F.lit("true")))
     words = T.keywords("requirement")
     parts = F.transform(T.segments("content"), lambda x: F.struct(x.alias("text"), T.segment_score(x, words).alias("hits"), T.estimate_tokens(x).alias("tokens")))
+    early, turns = F.col("reason").isin(*EARLY) & F.col("reason").isNotNull(), F.array(*[F.lit(name) for name in _ROOMS])
     known = c.select(
-        "request_id", "place", "nth", "source_id", "source_type", "section", "reason", "content", "shown", "tokens",
+        "request_id", F.when(early, 0).otherwise(F.array_position(turns, F.col("section"))).cast("int").alias("turn"), F.when(early, F.col("place")).otherwise(F.col("nth")).cast("int").alias("at"), "source_id", "source_type", "section", "reason", "content", "shown", "tokens",
         T.estimate_tokens("requirement").alias("requirement_tokens"), head(short, F.lit("")).alias("short_head"), F.when(F.col("reason").isNull(), parts).alias("parts"),
     )
-    return known.groupBy("request_id").applyInPandas(_decided(policy), DECISIONS)
+    rows = known.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*known.columns[1:]))).alias("rows"))
+    done = rows.select("request_id", F.posexplode(_decided(F.col("rows"), policy)).alias("at", "d"))
+    return done.select("request_id", (F.col("at") + 1).alias("place"), "d.*")
 
 
 def rendered_sections(decisions: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from granary.functions import identity, prompting, structured, values
 from granary.functions import text as T
 from granary.functions.vector import CONCEPTS
 from granary.operators import evaluation, hybrid, providers, routing, setops
-from granary.plans.retrieval import read
-from granary.plans.text import _STRIP, _W
+from granary.plans.retrieval import _BM25, read
+from granary.plans.text import _LINES, _STRIP, _W
 from granary.sources import records, tables
 
 PROMPTS = ("你是助手。请根据材料回答", "任务：总结。输出格式：JSON", "背景：无。要求：控制在十句", "不要编造。示例：甲", "plain")
@@ -316,3 +316,36 @@ SQL = {
     "engine_reranked": f"""with {_PARTS}, r as (select *, row_number() over (partition by query_id order by quantity desc, chunk_id) as first_rank from p qualify first_rank <= 9)
       select query_id, chunk_id, discount as score, row_number() over (partition by query_id order by discount desc, first_rank) as rank from r qualify rank <= 3""",
 }
+
+
+def _context_sql() -> str:
+    """Candidates by windows; then one source of every request at a time, with what is left of the budgets. Within one, a fold over the parts of its text."""
+    tokens = lambda x: f"case when length({_STRIP(x)}) = 0 then 0 else greatest(1, length({_STRIP(x)}) // 2) end"
+    kinds = "['business_rule', 'api_doc', 'history', 'agent_summary', 'other', 'evidence', 'client_note', 'tool_result']"
+    fits = "not a.full and x.tokens <= a.room"
+    room = f"(case when {fits} then a.room - x.tokens else a.room end)"
+    kept = f"list_reduce(list_concat([{{'i': 0::bigint, 'tokens': 0::bigint, 'room': target, 'kept': []::bigint[], 'full': false}}], ordered), lambda a, x: {{'i': 0::bigint, 'tokens': 0::bigint, 'room': {room}, 'kept': case when {fits} then list_append(a.kept, x.i) else a.kept end, 'full': a.full or target - {room} >= 0.75 * target}}).kept"
+    short = f"""case when len(kept) > 0 then array_to_string(list_transform(list_filter(parts, lambda p: list_contains(kept, p.i)), lambda p: p.t), chr(10)) when len(parts) > 0 then regexp_replace(substring(content, 1, greatest(40, 2 * target)), '[{_W}]+$', '') || '...' else content end"""
+    return f"""with recursive {_BM25},
+s as (select query_id, rank as place, chunk_id::varchar as source_id, {kinds}[rank] as kind, documents.text as content, [95, 90, 30, 55, 10, 80, 70, 45][rank] as weight, score, lang, source, benchmark.text as requirement from b join documents on doc_id = chunk_id join benchmark on item_id = query_id where rank <= 8),
+k as (select *, case when kind in ('business_rule', 'api_doc', 'evidence', 'client_note') then 'evidence' when kind = 'tool_result' then 'agent_summary' else kind end as section, row_number() over (partition by query_id, lower(regexp_replace(content, '[{_W}]+', '', 'g')) order by weight desc) as of_content from s),
+w as (select *, case when of_content > 1 then 'duplicate_content' end as early, row_number() over (partition by query_id, section order by weight desc) as nth,
+  '[' || source_id || '] ' || kind || chr(10) || 'type: ' || kind || chr(10) || 'score: ' || printf('%.2f', score) || chr(10) || 'metadata: ' as head, 'lang=' || lang || ', source=' || source as pairs,
+  list_filter(list_distinct(regexp_extract_all(requirement, '[A-Za-z0-9_./-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')), lambda x: length(x) > 1) as words from k),
+t as (select query_id, source_id, words, list_transform({_LINES.replace('text', 'content')}, lambda x: {_STRIP('x')}) as ls from w where early is null),
+g as (select query_id, source_id, words, unnest(list_filter(flatten(list_transform(ls, lambda x: case when length(x) <= 120 then [x] else list_transform(string_split(regexp_replace(x, '([。；;.!?？])', '\\1' || chr(1), 'g'), chr(1)), lambda y: {_STRIP('y')}) end)), lambda x: x <> '')) as t, generate_subscripts(list_filter(flatten(list_transform(ls, lambda x: case when length(x) <= 120 then [x] else list_transform(string_split(regexp_replace(x, '([。；;.!?？])', '\\1' || chr(1), 'g'), chr(1)), lambda y: {_STRIP('y')}) end)), lambda x: x <> ''), 1) as i from t),
+p as (select query_id, source_id, list({{'i': i, 't': t}} order by i) as parts, list({{'i': i, 'tokens': greatest(1, length(t) // 2)::bigint, 'room': 0::bigint, 'kept': []::bigint[], 'full': false}} order by -len(list_filter(words, lambda x: contains(t, x))), i) as ordered from g group by all),
+c as (select w.*, coalesce(parts, []) as parts, coalesce(ordered, []) as ordered, {tokens("head || pairs || chr(10) || content")} as tokens, {tokens('requirement')} as asked,
+  row_number() over (partition by query_id order by case when early is not null then 0 when section = 'evidence' then 1 when section = 'history' then 2 when section = 'agent_summary' then 3 else 4 end, case when early is not null then place else nth end) as k from w left join p using (query_id, source_id)),
+f as (select distinct query_id, 0::bigint as k, 1400 - asked as l, 650::bigint as e, 160::bigint as h, 120::bigint as ag, 20::bigint as o, ''::varchar as source_id, ''::varchar as kind, ''::varchar as section, ''::varchar as status, ''::varchar as reason, 0::bigint as tokens, ''::varchar as content from c
+  union all
+  select query_id, k, l - cost, case when section = 'evidence' then e - cost else e end, case when section = 'history' then h - cost else h end, case when section = 'agent_summary' then ag - cost else ag end, case when section = 'other' then o - cost else o end,
+    source_id, kind, section, case when fit then 'included' else 'dropped' end, case when cut then 'compressed' when fit then 'whole' else coalesce(early, 'token_budget_exceeded') end, case when cut then n else tokens end, case when cut then short else content end
+  from (select *, case when cut then n when fit then tokens else 0 end as cost from (select *, cut or (room > 0 and tokens <= room) as fit from (select *, coalesce(may and n < tokens and n <= room, false) as cut from
+    (select *, greatest(1, length({_STRIP("head || 'compressed=true, ' || pairs || chr(10) || short")}) // 2) as n from (select *, case when may then {short} end as short from (select *, case when may then {kept} end as kept from
+    (select *, room > 0 and tokens > target and target >= 48 as may from (select *, least(room, 180) as target from
+    (select c.*, f.l, f.e, f.h, f.ag, f.o, case when early is not null then 0 else greatest(least(f.l, case c.section when 'evidence' then f.e when 'history' then f.h when 'agent_summary' then f.ag else f.o end), 0) end as room from f join c on c.query_id = f.query_id and c.k = f.k + 1))))))))))
+select query_id::varchar as request_id, k as place, source_id, kind as source_type, section, status, reason, tokens, content, status = 'included' and kind in ('evidence', 'business_rule', 'api_doc', 'client_note') as citation from f where k > 0"""
+
+
+SQL["context_pack"] = _context_sql()

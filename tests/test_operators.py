@@ -4,6 +4,7 @@ import datetime
 import io
 import json
 import random
+import re
 import time
 import zipfile
 
@@ -179,8 +180,63 @@ def test_context_packing(spark):
     assert [(r.source_id, r.status, r.reason) for r in out] == [("big", "dropped", "token_budget_exceeded"), ("small", "included", "whole"), ("h", "dropped", "section_disabled")]
     with pytest.raises(Exception, match="blank"):
         pack(spark, "  ", context.POLICIES["balanced"], [("a", "evidence", "t")])
-    parts = [{"text": "退款 first line.", "hits": 1, "tokens": 7}, {"text": "other line", "hits": 0, "tokens": 5}, {"text": "退款 last", "hits": 1, "tokens": 3}]
-    assert context._shortened(parts, "", 8) == "退款 first line."
+    parts = [("退款 first line.", 1, 7), ("other line", 0, 5), ("退款 last", 1, 3)]
+    one = spark.createDataFrame([(parts, "long text  ", 8), ([], "whole", 8), (parts, "a" * 50, 2)], "parts array<struct<text:string,hits:int,tokens:long>>, content string, target long")
+    assert [r[0] for r in one.select(context._shortened(F.col("parts"), F.col("content"), F.col("target"))).collect()] == ["退款 first line.", "whole", "a" * 40 + "..."]
+
+
+def plain_fold(policy, need, rows):
+    """One request's decisions, one source after the other. rows: section, type, content, shown tokens, head of the short version, nth; all of them may be asked."""
+    count = lambda t: max(1, len(t.strip()) // 2) if t.strip() else 0
+    words = [w for w in dict.fromkeys(re.findall(r"[A-Za-z0-9_./-]+|[\u4e00-\u9fff]{2,8}", need)) if len(w) > 1]
+    left, rooms, out = policy.token_budget - count(need), dict(policy.sections), []
+    for section, kind, content, tokens, head, _ in sorted(rows, key=lambda r: (context.SECTIONS.index(r[0]), r[5])):
+        room = min(left, rooms[section])
+        target = min(room, policy.max_source_tokens)
+        shown, why = None, "token_budget_exceeded"
+        if room > 0 and tokens > target >= policy.min_compression_tokens:
+            parts = [y.strip() for x in content.splitlines() for y in ([x.strip()] if len(x.strip()) <= 120 else re.split(r"(?<=[。；;.!?？])", x.strip())) if y.strip()]
+            full, kept = target, set()
+            for i in sorted(range(len(parts)), key=lambda i: -sum(w in parts[i] for w in words)):
+                if count(parts[i]) <= full:
+                    kept.add(i)
+                    full -= count(parts[i])
+                if target - full >= 0.75 * target:
+                    break
+            text = "\n".join(p for i, p in enumerate(parts) if i in kept) if kept else content[: max(40, 2 * target)].rstrip() + "..." if parts else content
+            n = max(1, len(f"{head}\n{text}".strip()) // 2)
+            if n < tokens and n <= room:
+                shown, why = (text, n), "compressed"
+        if not shown and room > 0 and tokens <= room:
+            shown, why = (content, tokens), "whole"
+        if shown:
+            left, rooms[section] = left - shown[1], rooms[section] - shown[1]
+        out.append((section, "included" if shown else "dropped", why, *(shown or (content, tokens))))
+    return out
+
+
+def test_budgets_against_a_plain_fold(spark):
+    r = random.Random(8)
+    kinds = [k for k in context.WEIGHT if context.SECTION_OF[k] != "requirement"]
+    policy = context.ContextPolicy("p", 160, context._sections(5, 90, 40, 30, 20), True, 45, 6)
+    requests, sources, want = [], [], {}
+    for q in range(40):
+        need, rows = r.choice(["need ab and .cd", "退款规则 ba"]), []
+        chosen = r.sample(kinds, r.randint(1, 8))
+        for place, kind in enumerate(chosen):
+            content = "".join(r.choices(["ab ", "ba", ". ", "!", "\n", "cd", "。", "退款规则", " "], k=r.randint(1, 120))) + str(place)
+            head = f"[s{place}] {kind}\ntype: {kind}"
+            shown = f"{head}\nscore: 0.50\nmetadata: k=v\n{content}".strip()
+            rows.append((context.SECTION_OF[kind], kind, content, max(1, len(shown) // 2), f"{head}\nscore: 0.50\nmetadata: compressed=true, k=v", -context.WEIGHT[kind]))
+            sources.append((str(q), place, f"s{place}", kind, None, content, 0, 0.5, {"k": "v"}))
+        requests.append((str(q), need))
+        want[str(q)] = plain_fold(policy, need, rows)
+    req = spark.createDataFrame(requests, "request_id string, requirement string")
+    src = spark.createDataFrame(sources, "request_id string, place int, source_id string, source_type string, title string, content string, priority int, score double, metadata map<string,string>")
+    got = {}
+    for x in context.build_contexts(req, src, policy).orderBy("request_id", "place").collect():
+        got.setdefault(x.request_id, []).append((x.section, x.status, x.reason, x.content, x.tokens))
+    assert got == want and {w[2] for v in want.values() for w in v} == {"compressed", "whole", "token_budget_exceeded"}
 
 
 def test_packing_keeps_budgets(spark):

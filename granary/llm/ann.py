@@ -215,8 +215,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share:
     """For every row whose vec_id is divisible by every, its k nearest others: query_id, rank, vec_id, score (Euclidean distance).
 
     Ties go to the smaller vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    rows without an id. Vectors of different lengths have no distance: each length is searched by itself. Rows that share an
-    id count once, with the least vector. Other columns are ignored; no rows give no rows.
+    rows without an id. Distances beyond the largest double are infinite, and rank last. Very long vectors are halved like any
+    other. Vectors of different lengths have no distance: each length is searched by itself. Rows that share an
+    id count once, with the least vector. Other columns are ignored, whatever their names; no rows give no rows.
     """
     v = stored(usable(vectors))
     found = None

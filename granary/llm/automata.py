@@ -117,7 +117,8 @@ def deduplicate_words(docs: DataFrame, width: int = 20, shard_spans: int = 1000)
     """Removes each word covered by a window of width words whose sequence also starts earlier (smaller doc_id, or same document).
 
     Words are runs of anything but ASCII white space, unchanged. Returns doc_id, n_words, n_removed, kept_sha256 (of the
-    kept words joined by one space), kept (that text). Null text has no words. A null doc_id has no place in the order:
+    kept words joined by one space), kept (that text). Null and empty texts have no words; very long ones are read whole, in
+    blocks. A null doc_id has no place in the order:
     its row is returned with all its words, and matches nothing. Rows that share a doc_id are ordered by a hash of their
     text; identical rows are one document and share a result. Other columns are ignored. No rows give no rows.
     """

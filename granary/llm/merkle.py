@@ -119,7 +119,7 @@ def _engine(sql: str, schema: pa.Schema) -> Callable:
         con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         for t in _whole_blocks(batches):
             con.register("t", t)
-            yield from con.execute(sql).to_arrow_table().select(schema.names).cast(schema).to_batches(max_chunksize=ROWS)
+            yield from con.sql(sql).to_arrow_table().select(schema.names).cast(schema).to_batches(max_chunksize=ROWS)
             con.unregister("t")
         con.close()
 

@@ -88,7 +88,7 @@ def deduplicate_bytes(docs: DataFrame, width: int = 100, shard_spans: int = 2000
     """Removes each byte covered by a width-byte string that also starts earlier (smaller doc_id, or same document).
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end of each removed run).
-    Null text is empty. A null doc_id has no place in the order: its row is returned as it is, and matches nothing.
+    Null text is empty; very long texts are read whole, in blocks. Of equal windows the one that starts first stays. A null doc_id has no place in the order: its row is returned as it is, and matches nothing.
     Rows that share a doc_id are ordered by a hash of their text; identical rows are one document and share a result.
     Texts shorter than width keep all. Other columns are ignored. No rows give no rows.
     """

@@ -21,6 +21,7 @@ AUDIT = {
     "negative_constraints": r"不要|禁止|不得|不要输出|不要编造",
     "examples": r"(?s)示例|例子|few-shot|输入：.+输出：",
 }
+#: Fixed: what counts as a word of a question or a context.
 TOKEN = r"[a-z0-9]+|[一-鿿]"
 #: Fixed refusal.
 NO_ANSWER = "我不知道。当前检索到的内容不足以支持这个问题。"

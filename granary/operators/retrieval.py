@@ -330,6 +330,16 @@ def min_max(score: str, by: Sequence[str] = ("query_id",), low: Column | None =
     return F.when(most == least, 1.0).otherwise((F.col(score) - least) / (most - least))
 
 
+def min_max_scaled(rows: DataFrame, score: str, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """rows with scaled, as min_max gives it, for groups of any size: least and most are summed up in each task, then joined."""
+    ends = rows.groupBy(*by).agg(F.min(score).alias("_least"), F.max(score).alias("_most")).select(*[F.col(c).alias(f"_{c}") for c in by], "_least", "_most")
+    alike = F.lit(True)
+    for c in by:
+        alike &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    scaled = F.when(F.col("_most") == F.col("_least"), 1.0).otherwise((F.col(score) - F.col("_least")) / (F.col("_most") - F.col("_least")))
+    return rows.join(ends, alike).withColumn("scaled", scaled).drop("_least", "_most", *[f"_{c}" for c in by])
+
+
 def weighted_hybrid(dense_scores: DataFrame, lexical_scores: DataFrame, corpus: DataFrame, alpha: float = 0.5) -> DataFrame:
     """query_id, chunk_id, hybrid of candidates of either route; a missing score is 0, and is so for all the corpus' other chunks.
 

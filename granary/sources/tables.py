@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -29,6 +30,16 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def fingerprint(table: DataFrame) -> str:
+    """What a table's files are now: their paths, sizes and times."""
+    jvm, conf, out = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration(), []
+    for name in sorted(table.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(out).encode()).hexdigest()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer splits than there are cores, dealt over all of them; a larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions import identity, prompting, structured, values
 from granary.functions import text as T
 from granary.functions.vector import CONCEPTS
-from granary.operators import evaluation, hybrid, providers, routing, setops
+from granary.operators import chunking, evaluation, hybrid, providers, routing, setops
 from granary.plans.retrieval import _BM25, read
 from granary.plans.text import _LINES, _STRIP, _W
 from granary.sources import records, tables
@@ -349,3 +349,39 @@ select query_id::varchar as request_id, k as place, source_id, kind as source_ty
 
 
 SQL["context_pack"] = _context_sql()
+
+
+def _chunk_sql(most: int = 96) -> str:
+    """Blocks are packed behind their document's title, one after the other; what is too long is cut, one window after the other. Positions count from 0."""
+    policy = chunking.ChunkPolicy("catalogue", "1", "structure_aware", most).fingerprint
+    lead = lambda x: f"(length({x}) - length(regexp_replace({x}, '^[{_W}]+', '')))"
+    trail = lambda x: f"(length({x}) - length(regexp_replace({x}, '[{_W}]+$', '')))"
+    last = lambda x, marks: f"length(regexp_extract({x}, '(?s)^(.*[{marks}])', 1))"
+    joint, marks = "chr(10) || chr(10)", ".!?。！？;；\\n"
+    return f"""with recursive l as (select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as i from documents), m as (select *, {_STRIP("line")} = '' as blank from l),
+s as (select *, sum(blank::int) over (partition by doc_id order by i) as island from m), n as (select doc_id, string_agg(line, chr(10) order by i) as t, min(i) as i from s where not blank group by doc_id, island),
+e as materialized (select doc_id, t, row_number() over (partition by doc_id order by i) as b from n),
+h as (select doc_id, t as title from e where b = 1),
+k as (select doc_id, 2::bigint as b, 2::bigint as first, length(t)::bigint as long from e where b = 2
+  union all
+  select doc_id, b, case when fits then first else b end, case when fits then more else own end from (select *, greatest(1, (length(title) + 2 + more - {lead('title')} - {trail('t')}) // 2) <= {most} as fits from
+    (select e.doc_id, e.b, k.first, e.t, h.title, length(e.t)::bigint as own, k.long + 2 + length(e.t) as more from k join e on e.doc_id = k.doc_id and e.b = k.b + 1 join h on h.doc_id = k.doc_id))),
+p as (select doc_id, first, b, t from k join e using (doc_id, b) union all select doc_id, coalesce(first, 2), 1, title from h left join (select distinct doc_id, first from k) using (doc_id)),
+el as (select *, length(t) as long, coalesce(sum(length(t) + 2) over (partition by doc_id, first order by b rows between unbounded preceding and 1 preceding), 0)::bigint as o from p),
+g as materialized (select doc_id, first, string_agg(t, {joint} order by b) as t from el group by all),
+whole as (select doc_id, first, 0::bigint as a, length(t)::bigint as z, t as piece from g where greatest(1, length({_STRIP('t')}) // 2) <= {most}),
+w as (select doc_id, first, t, 0::bigint as pos, null::bigint as a, null::varchar as piece from g where greatest(1, length({_STRIP('t')}) // 2) > {most}
+  union all
+  select doc_id, first, t, pos + stop, case when inner_text <> '' then pos + {lead('rest')} end, inner_text from (select *, {_STRIP('substring(rest, 1, stop)')} as inner_text from
+    (select *, case when size = length(rest) then size when {last('win', marks)} > 0 then half + {last('win', marks)} when {last('win2', _W)} > 0 then half + {last('win2', _W)} else size end as stop from
+    (select *, substring(rest, half + 1, size - half) as win, substring(rest, half + 2, size - half) as win2 from (select *, greatest(1, size // 2) as half from
+    (select *, case when length(tail) > {lead('tail')} then {lead('rest')} + {2 * most + 1} + {lead('tail')} else length(rest) end as size from
+    (select *, substring(rest, {lead('rest')} + {2 * most + 2}) as tail from (select doc_id, first, t, pos, substring(t, pos + 1) as rest from w where pos < length(t)))))))) ),
+c as (select * from whole union all select doc_id, first, a, a + length(piece), piece from w where a is not null),
+sp as (select c.doc_id, c.first, c.a, string_agg('{{"element_id":"' || c.doc_id || '-' || b || '","end_char":' || (greatest(0, a - o) + least(o + long, z) - greatest(o, a)) || ',"start_char":' || greatest(0, a - o) || '}}', ',' order by b) as spans
+  from c join el using (doc_id, first) where greatest(o, a) < least(o + long, z) group by all)
+select doc_id::varchar as document_id, row_number() over (partition by doc_id order by first, a) as ordinal, greatest(1, length({_STRIP('piece')}) // 2) as token_count,
+  'chunk_' || sha256('{{"document_id":"' || doc_id || '","document_version":"1","kind":"standalone","policy_fingerprint":"{policy}","source_spans":[' || spans || '],"text":' || to_json(piece)::varchar || '}}')[1:16] as chunk_id from c join sp using (doc_id, first, a)"""
+
+
+SQL["chunk_structure"] = _chunk_sql()

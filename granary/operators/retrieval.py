@@ -98,6 +98,44 @@ def ts_rank(queries: DataFrame, index: LexicalIndex, query_lexemes: Column, weig
     return scored.select("query_id", "doc_id", (F.col("total") / F.col("size")).alias("fts_rank"), "matched")
 
 
+#: What rounding of sums and of shown scores may make of equal ones.
+SLACK = 2e-6
+
+
+def bm25_top(queries: DataFrame, index: LexicalIndex, query_terms: Column, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6, begin: int = 1000) -> DataFrame:
+    """query_id, doc_id, score (rounded), rank of the k best by bm25, ties to the smaller doc_id: just what top(bm25(...)) gives, for less work.
+
+    No posting of a term can bring more than the term's best one. The rarest terms, until their lists have begin postings, name
+    4 k documents, whose whole scores give one that the k-th best reaches at least. Terms whose best postings together stay below it can't
+    bring a document in by themselves: they are left out until the others have named the candidates, those that may still
+    reach that score, and are then looked up in these alone. So the longest lists meet few documents, not all of theirs.
+    """
+    q = queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
+    lists = index.of(q).crossJoin(F.broadcast(index.statistics())).select("term", "doc_id", "n", part.alias("part"))  # one row of statistics
+    of_term = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("best"), F.first("n").alias("n"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = tables.written(q.join(of_term, "term").select("query_id", "term", "df", (F.col("qtf") * idf * (k1 + 1)).alias("w"), (F.col("qtf") * idf * (k1 + 1) * F.col("best")).alias("most")))
+    lists = lists.drop("n")
+
+    def sums(terms: DataFrame) -> DataFrame:
+        return terms.select("query_id", "term", "w").join(lists, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # the terms of one question
+    rare = asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < max(begin, k))
+    heads = top(sums(rare), 4 * k, F.desc("sum"), F.asc("doc_id")).select("query_id", "doc_id")
+    full = heads.join(asked.select("query_id", "term", "w"), "query_id").join(lists, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+    floor = top(full, k, F.desc("sum")).where(F.col("rank") == k).select("query_id", (F.col("sum") - SLACK).alias("floor"))
+    weakest = Window.partitionBy("query_id").orderBy("most", "term")
+    split = tables.written(asked.join(floor, "query_id", "left").withColumn("upto", F.sum("most").over(weakest)).withColumn("late", F.coalesce(F.col("upto") < F.col("floor"), F.lit(False))))
+    late = split.where("late")
+    reach = split.groupBy("query_id").agg(F.coalesce(F.first("floor"), F.lit(0.0)).alias("floor"), F.coalesce(F.sum(F.when(F.col("late"), F.col("most"))), F.lit(0.0)).alias("more"))
+    candidates = tables.written(sums(split.where("not late")).join(reach, "query_id").where(F.col("sum") + F.col("more") >= F.col("floor")).select("query_id", "doc_id", "sum"))
+    rest = candidates.select("query_id", "doc_id").join(late.select("query_id", "term", "w"), "query_id").join(lists, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("w") * F.col("part")).alias("sum"))
+    scores = candidates.unionByName(rest).groupBy("query_id", "doc_id").agg(F.round(F.sum("sum"), digits).alias("score"))
+    return top(scores, k, F.desc("score"), F.asc("doc_id"))
+
+
 #: Fixed: the ranking function's weight of a plain lexeme, the limit of the sum of inverse squares, the most places that a
 #: lexeme keeps in a document and the last place there is, and the coefficients of its weight of a distance.
 PLAIN, SQUARES, MOST_PLACES, LAST_PLACE = 0.1, 1.64493406685, 256, 16383

@@ -61,6 +61,11 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 5)
 
 
+def bm25_bounded_topk(spark, d):
+    """The same rows as bm25_topk, with common terms looked up in the candidates of rarer ones."""
+    return retrieval.bm25_top(_questions(spark, d), _index(spark, d), _words(), 5).withColumnRenamed("doc_id", "chunk_id")
+
+
 def ts_rank_topk(spark, d):
     return _fts(spark, d, 5)
 
@@ -269,11 +274,12 @@ m as (select case_id, coalesce(found, 0) / wanted as recall, coalesce(1.0::doubl
 _CONCEPTS = ", ".join("(" + " + ".join(f"contains(t, '{w}')::double" for w in words) + ")" for _, words in V.CONCEPTS)
 _STOPS = ", ".join(f"'{w}'" for w in V.EMBEDDER_STOP_WORDS)
 
-QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, ts_rank_topk, phrase_topk, exact_phrase_topk, all_phrases_topk, fts_counts, dense_topk, dense_visible_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
+QUERIES = {f.__name__: f for f in (visibility_prefilter, bm25_topk, bm25_bounded_topk, ts_rank_topk, phrase_topk, exact_phrase_topk, all_phrases_topk, fts_counts, dense_topk, dense_visible_topk, dense_threshold_report, centroid_pairs, rrf_fusion, rrf_diagnostics, weighted_hybrid, rerank_f1, mmr_select, redundancy_by_label, keyword_retrieve, retrieval_metrics, retrieval_metric_means, context_pack, citation_membership, local_embedding, vector_validity, min_max_scores, no_result_reasons)}
 
 SQL = {
     "visibility_prefilter": "select doc_id, source as source_role, lang as scope from documents where lang = 'en' and source in ('src1', 'src2', 'src3')",
     "bm25_topk": f"with {_BM25} select query_id, chunk_id, score, rank from b where rank <= 5",
+    "bm25_bounded_topk": f"with {_BM25} select query_id, chunk_id, score, rank from b where rank <= 5",
     "ts_rank_topk": f"with {_LISTS}, {_FTS} select query_id, chunk_id, score, rank, matched from f where rank <= 5",
     "phrase_topk": f"""{_phrase_sql("[list_filter([w[1], w[2]], lambda x: x is not null), list_filter([w[4], w[3]], lambda x: x is not null), list_filter([w[5]], lambda x: x is not null)]")}
       select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank, count(*) over (partition by query_id) as matches from sc qualify rank <= 5""",

@@ -121,3 +121,18 @@ def test_dictionary_in_columns(spark):
     assert got == {1: ["售后", "接口", "source_channel", "techidsourcechannel", "v2", "techidv2"], 2: [], 3: None}
     with pytest.raises(ValueError, match="more than 2"):
         Dictionary.read(words, most=2)
+
+
+def test_bounded_top_is_the_top(spark):
+    """Common and rare terms, ties, questions that nothing or little answers, whatever is begun with."""
+    r = random.Random(13)
+    weights = [60, 40, 30, 10, 5, 3, 2, 1, 1, 1]
+    docs = [(i, r.choices("abcdefghij", weights, k=r.choice([1, 5, 30]))) for i in range(300)] + [(1000 + i, ["a", "b"]) for i in range(20)]
+    queries = [(i, r.choices("abcdefghijz", k=r.randint(1, 8))) for i in range(40)] + [(100, ["z"]), (101, []), (102, ["a"] * 4), (103, ["j", "a", "b", "c"])]
+    q = spark.createDataFrame(queries, "query_id long, words array<string>")
+    index = retrieval.LexicalIndex.build(spark.createDataFrame(docs, "doc_id long, words array<string>"), F.col("words"))
+    plain = retrieval.bm25(q, index, F.col("words")).withColumn("score", F.round("bm25", 6))
+    want = sorted(tuple(x) for x in retrieval.top(plain, 4, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank").collect())
+    for begin in (1, 50, 10**6):
+        got = retrieval.bm25_top(q, index, F.col("words"), 4, begin=begin).select("query_id", "doc_id", "score", "rank")
+        assert sorted(map(tuple, got.collect())) == want

@@ -40,8 +40,9 @@ GROUPS = (
 )
 
 
-#: What is said under pages and over them, more than in them.
-SAID = re.compile(r"(?i)©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b|\bprivacy\b|\bterms of\b|\bpowered by\b|\badvertisement\b")
+#: What is said under pages and over them, more than in them, in texts of so many characters at most.
+SHORT = 300
+SAID = re.compile(r"(?i)©|\b(?:copyright|all rights reserved|cookies?|subscribe|sign (?:in|up)|log ?in|privacy|terms of|powered by|advertisement)\b")
 
 
 class Node:
@@ -135,7 +136,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(n):
         nearest[i] = 1 if main[i] else -1 if aside[i] else nearest[parent[i]]
         within[i] = within[parent[i]] or (aside[i] and above[parent[i], -2] + flags[parent[i], -2] > 0)
-    heads = np.array([[x.tag in ("h1", "h2"), sum(bool(SAID.search(t)) for _, t in x.texts), max((len(t) for _, t in x.texts), default=0)] for x in nodes], float).reshape(n, 3)
+    heads = np.array([[x.tag in ("h1", "h2"), sum(len(t) <= SHORT and SAID.search(t) is not None for _, t in x.texts), max((len(t) for _, t in x.texts), default=0)] for x in nodes], float).reshape(n, 3)
     longest = heads[:, 2].copy()
     for i in range(n - 1, 0, -1):
         heads[parent[i], :2] += heads[i, :2]
@@ -188,7 +189,7 @@ def outside(nodes: list[Node], lean: np.ndarray) -> np.ndarray:
     for i, x in enumerate(nodes):
         shut[i] = (i and shut[index[id(x.parent)]]) or x.tag in ASIDE_TAGS or any(x.words & g for g in GROUPS[1:])
         size = sum(len(t) for _, t in x.texts)
-        if size and not shut[i] and x.links * 2 < size and not all(SAID.search(t) for _, t in x.texts):
+        if size and not shut[i] and x.links * 2 < size and not all(len(t) <= SHORT and SAID.search(t) for _, t in x.texts):
             out[i] = lean[i]
     return (out > -np.inf) & (out >= out.max() - 0.3)
 

@@ -13,10 +13,11 @@ from granary.functions.text import without_space
 def retrieval_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
     """case_id, recall, rr, hit. results: case_id, chunk_id, rank; expected: case_id, chunk_id."""
     e = expected.select("case_id", "chunk_id").distinct()
-    found = results.join(e, ["case_id", "chunk_id"]).groupBy("case_id").agg(F.count_distinct("chunk_id").alias("found"), F.min("rank").alias("first"))
-    wanted = e.groupBy("case_id").agg(F.count(F.lit(1)).alias("wanted"))
+    r = results.select(F.col("case_id").alias("_case"), F.col("chunk_id").alias("_chunk"), "rank")
+    met = e.join(r, (F.col("case_id") == F.col("_case")) & (F.col("chunk_id") == F.col("_chunk")), "left")  # each side is made once
+    both = met.groupBy("case_id").agg(F.count_distinct(F.struct("chunk_id")).alias("wanted"), F.count_distinct("_chunk").alias("found"), F.min("rank").alias("first"))
     rr = F.coalesce(1 / F.col("first"), F.lit(0.0))
-    return wanted.join(found, "case_id", "left").select("case_id", (F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"), rr.alias("rr"), F.when(rr > 0, 1.0).otherwise(0.0).alias("hit"))
+    return both.select("case_id", (F.col("found") / F.col("wanted")).alias("recall"), rr.alias("rr"), F.when(rr > 0, 1.0).otherwise(0.0).alias("hit"))
 
 
 def mean_metrics(metrics: DataFrame) -> DataFrame:

@@ -43,13 +43,11 @@ def _index(spark: SparkSession, d: str) -> retrieval.LexicalIndex:
 
 
 def _bm25(spark: SparkSession, d: str, k: int, index: retrieval.LexicalIndex | None = None) -> DataFrame:
-    s = retrieval.bm25(_questions(spark, d), index or _index(spark, d), _words()).withColumn("score", F.round("bm25", 6))
-    return retrieval.top(s, k, F.desc("score"), F.asc("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
+    return retrieval.bm25_best(_questions(spark, d), index or _index(spark, d), _words(), k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
 
 
 def _fts(spark: SparkSession, d: str, k: int, index: retrieval.LexicalIndex | None = None) -> DataFrame:
-    s = retrieval.ts_rank(_questions(spark, d), index or _index(spark, d), _words()).withColumn("score", F.round("fts_rank", 6))
-    return retrieval.top(s, k, F.desc("score"), F.asc("doc_id")).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank", "matched")
+    return retrieval.ts_rank_best(_questions(spark, d), index or _index(spark, d), _words(), k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank", "matched")
 
 
 def visibility_prefilter(spark, d):
@@ -99,9 +97,9 @@ def all_phrases_topk(spark, d):
 
 def fts_counts(spark, d):
     """Matches of each question, counted before the limit."""
-    s = retrieval.ts_rank(_questions(spark, d), _index(spark, d), _words())
-    q = _questions(spark, d).select("query_id")
-    return q.join(s.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches")), "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+    q = _questions(spark, d)
+    s = retrieval.asked_ts_rank(q, _words()).ends(_index(spark, d), q)
+    return q.select("query_id").join(s, "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -149,14 +147,13 @@ def rrf_diagnostics(spark, d):
 
 
 def weighted_hybrid(spark, d):
-    index = _index(spark, d)
-    routes = [f(_questions(spark, d), index, _words()).select("query_id", F.col("doc_id").alias("chunk_id"), F.col(c).alias("score")) for f, c in ((retrieval.ts_rank, "fts_rank"), (retrieval.bm25, "bm25"))]
-    s = retrieval.weighted_hybrid(*routes, read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")), 0.6).withColumn("hybrid", F.round("hybrid", 6))
-    return retrieval.top(s, 5, F.desc("hybrid"), F.asc("chunk_id"))
+    index, q = _index(spark, d), _questions(spark, d)
+    s = retrieval.hybrid_best(retrieval.asked_ts_rank(q, _words()), retrieval.asked_bm25(q, index, _words()), index, q, 5, 0.6)
+    return s.withColumnRenamed("doc_id", "chunk_id")
 
 
 def rerank_f1(spark, d):
-    c = _bm25(spark, d, 20).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body")), "chunk_id").join(_questions(spark, d), "query_id")
+    c = F.broadcast(_bm25(spark, d, 20)).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body")), "chunk_id").join(_questions(spark, d), "query_id")
     s = c.select("query_id", "chunk_id", F.col("rank").alias("first_rank"), F.round(retrieval.token_f1(_words("text"), _words("body")), 6).alias("f1"))
     return retrieval.top(s, 5, F.desc("f1"), F.asc("first_rank"))
 
@@ -195,7 +192,7 @@ def retrieval_metric_means(spark, d):
 
 def context_pack(spark, d):
     q = _questions(spark, d)
-    top = _bm25(spark, d, 8).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"), "chunk_id")
+    top = F.broadcast(_bm25(spark, d, 8)).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"), "chunk_id")
     types = F.element_at(F.array(*[F.lit(t) for t in ("business_rule", "api_doc", "history", "agent_summary", "other", "evidence", "client_note", "tool_result")]), F.col("rank").cast("int"))
     sources = top.select(F.col("query_id").cast("string").alias("request_id"), F.col("rank").alias("place"), F.col("chunk_id").cast("string").alias("source_id"), types.alias("source_type"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), (1000 - F.col("rank")).alias("priority"), "score", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
     return context.build_contexts(q.select(F.col("query_id").cast("string").alias("request_id"), F.col("text").alias("requirement")), sources, context.POLICIES["balanced"]).drop("shown")

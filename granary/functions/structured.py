@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions.text import col, strip
+from granary.functions.vector import let
 
 #: Fixed values of the risk schema.
 CATEGORIES = ("interaction", "state_flow", "api", "multi_platform", "exception", "other")
@@ -31,28 +32,29 @@ def response_format(mode: str, schema: dict | None = None, name: str = "response
 
 def json_text(c: Column | str) -> Column:
     """Stripped; a fence around the whole is taken off."""
-    t = strip(c)
-    inner = F.regexp_extract(t, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
-    return F.when(t.rlike(r"(?is)^```(?:json)?\s*(.*?)\s*```$"), strip(inner)).otherwise(t)
+    fence = r"(?is)^```(?:json)?\s*(.*?)\s*```$"
+    return let(strip(c), lambda t: F.when(t.rlike(fence), strip(F.regexp_extract(t, fence, 1))).otherwise(t))
 
 
 def risk_list(c: Column | str) -> Column:
-    """risks, ok and error_stage (empty, json or schema) of an answer: an array of risks, an object with risks, or one risk."""
-    t = json_text(c)
-    value = F.try_parse_json(t)
-    kind = F.substring(t, 1, 1)
-    listed = F.from_json(t, f"array<{RISK}>")
-    held = F.from_json(t, f"risks array<{RISK}>")["risks"]
-    single = F.array(F.from_json(t, RISK))
-    has_risks = F.try_variant_get(value, "$.risks", "variant").isNotNull()
-    risks = F.when(kind == "[", listed).when(has_risks, held).otherwise(single)
-    good = F.forall(risks, lambda r: r["title"].isNotNull() & r["rationale"].isNotNull() & r["category"].isin(*CATEGORIES) & r["level"].isin(*LEVELS) & F.coalesce(F.forall(r["citations"], lambda x: x["source_id"].isNotNull()), F.lit(True)))
-    stage = F.when(t == "", "empty").when(value.isNull() | ~kind.isin("[", "{"), "json").when(risks.isNull() | ~F.coalesce(good, F.lit(False)), "schema")
-    return F.struct(F.when(stage.isNull(), risks).alias("risks"), stage.isNull().alias("ok"), stage.alias("error_stage"))
+    """risks, ok and error_stage (empty, json or schema) of an answer: an array of risks, an object with risks, or one risk. Each answer is parsed once."""
+
+    def listed(t: Column, value: Column) -> Column:
+        held = F.from_json(t, f"risks array<{RISK}>")["risks"]
+        has_risks = F.try_variant_get(value, "$.risks", "variant").isNotNull()
+        return F.when(F.substring(t, 1, 1) == "[", F.from_json(t, f"array<{RISK}>")).when(has_risks, held).otherwise(F.array(F.from_json(t, RISK)))
+
+    def judged(t: Column, value: Column, risks: Column) -> Column:
+        good = F.forall(risks, lambda r: r["title"].isNotNull() & r["rationale"].isNotNull() & r["category"].isin(*CATEGORIES) & r["level"].isin(*LEVELS) & F.coalesce(F.forall(r["citations"], lambda x: x["source_id"].isNotNull()), F.lit(True)))
+        stage = F.when(t == "", "empty").when(value.isNull() | ~F.substring(t, 1, 1).isin("[", "{"), "json").when(risks.isNull() | ~F.coalesce(good, F.lit(False)), "schema")
+        return let(stage, lambda s: F.struct(F.when(s.isNull(), risks).alias("risks"), s.isNull().alias("ok"), s.alias("error_stage")))
+
+    return let(json_text(c), lambda t: let(F.try_parse_json(t), lambda v: let(listed(t, v), lambda r: judged(t, v, r))))
 
 
 def risk_counts(risks: Column) -> Column:
-    return F.struct(F.size(risks).alias("risks"), F.size(F.filter(risks, lambda r: F.size(F.coalesce(r["citations"], F.array())) == 0)).alias("without_citation"), F.aggregate(risks, F.lit(0), lambda a, r: a + F.greatest(F.size(F.coalesce(r["citations"], F.array())), F.lit(0))).alias("claims"))
+    none = F.array()
+    return let(risks, lambda rs: F.struct(F.size(rs).alias("risks"), F.size(F.filter(rs, lambda r: F.size(F.coalesce(r["citations"], none)) == 0)).alias("without_citation"), F.aggregate(rs, F.lit(0), lambda a, r: a + F.greatest(F.size(F.coalesce(r["citations"], none)), F.lit(0))).alias("claims")))
 
 
 def _balanced(text: str, opens: str, closes: str) -> str | None:

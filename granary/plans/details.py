@@ -13,6 +13,7 @@ from granary.operators import chunking, evaluation, hybrid, providers, routing,
 from granary.plans.retrieval import _BM25, read
 from granary.plans.text import _LINES, _STRIP, _W
 from granary.sources import records, tables
+from granary.sources.tables import spread
 
 PROMPTS = ("你是助手。请根据材料回答", "任务：总结。输出格式：JSON", "背景：无。要求：控制在十句", "不要编造。示例：甲", "plain")
 QUESTION = "Where does the source id of a refund vector come from?"
@@ -106,7 +107,7 @@ def json_records(spark, d):
 def risk_totals(spark, d):
     risk = lambda n: F.concat(F.lit('{"title":"t","category":"api","level":"low","rationale":"r","citations":['), F.rtrim(F.repeat(F.lit('{"source_id":"s","excerpt":"x"},'), n), F.lit(",")), F.lit("]}"))
     said = F.concat(F.lit("["), risk(F.lit(0)), F.lit(","), risk((F.col("c_custkey") % 3).cast("int")), F.lit("]"))
-    return read(spark, d, "customer").select("c_custkey", structured.risk_counts(structured.risk_list(said)["risks"]).alias("c")).select("c_custkey", "c.*")
+    return spread(read(spark, d, "customer").select("c_custkey")).select("c_custkey", structured.risk_counts(structured.risk_list(said)["risks"]).alias("c")).select("c_custkey", "c.*")
 
 
 def _sum_text():

@@ -2,10 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import evaluation, retrieval
+from granary.functions import structured
+from granary.functions.segmentation import Dictionary
+from granary.operators import chunking, evaluation, retrieval
+from granary.sources import pdf
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +62,13 @@ def test_metrics_make_each_side_once(spark):
     m = evaluation.retrieval_metrics(results, expected)
     assert listed(m, "case_id", "recall", "rr", "hit") == [(1, 0.5, 0.5, 1.0), (2, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0)]
     assert m._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_answers_are_parsed_once(spark):
+    """Before, the plan held an answer's parse once for every place that reads it."""
+    rows = [("[]",), ('```json\n{"risks": []}\n```',), ('{"title":"t","category":"api","level":"low","rationale":"r","citations":[{"source_id":"s"}]}',), ("[1",), ("  ",), (None,)]
+    said = spark.createDataFrame(rows, "said string")
+    found = said.select(structured.risk_list("said").alias("x")).select("x.ok", "x.error_stage", structured.risk_counts(F.col("x.risks")).alias("c"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 3 and plan.count("parse_json") <= 1
+    assert [(r["ok"], r["error_stage"], r["c"]["risks"] if r["ok"] else None) for r in found.collect()[:5]] == [(True, None, 0), (True, None, 0), (True, None, 1), (False, "json", None), (False, "empty", None)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +93,13 @@ class Dictionary:
         """Search terms of each string of an array, as arrays in its order; nulls stay. The dictionary goes to each executor once."""
         sent = _broadcast(self)
 
-        @F.pandas_udf("array<array<string>>")
-        def terms(of: pd.Series) -> pd.Series:
-            known: dict[str, list[str]] = {}  # a batch repeats its runs
+        @F.arrow_udf("array<array<string>>")
+        def terms(of: pa.Array) -> pa.Array:
             cut = sent.value.search_terms
-            return of.map(lambda some: None if some is None else [known[r] if r in known else known.setdefault(r, cut(r)) for r in some])
+            n = pc.fill_null(pc.list_value_length(of), 0).to_numpy(zero_copy_only=False)
+            coded = pc.dictionary_encode(of.flatten())  # a batch repeats its runs: each is cut, and becomes an object, once
+            known = pa.array([cut(r) for r in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), known.take(coded.indices), mask=of.is_null())
 
         return terms(runs)
 

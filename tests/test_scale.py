@@ -91,3 +91,14 @@ def test_windows_are_passed_on_in_parts():
     one = chunking.char_windows("word " * 200_000)
     assert sum(p.num_rows for p in parts) == 29 * len(one)
     assert [x for p in parts for x, i in zip(p["char_start"].to_pylist(), p["doc_id"].to_pylist(), strict=True) if i == 7] == [a for a, _, _ in one]
+
+
+def test_runs_are_cut_once(spark):
+    """Before, every run of a batch became objects of its own."""
+    words = Dictionary({"ab".translate({97: 0x4E00, 98: 0x4E01}): 3, chr(0x4E02): 2})
+    run = chr(0x4E00) + chr(0x4E01) + chr(0x4E02)
+    rows = spark.createDataFrame([(1, [run, "", run]), (2, None), (3, []), (4, [run])], "id int, runs array<string>").coalesce(1)
+    cut = [run[:2], run[2]]
+    column = words.column(F.col("runs"))
+    assert "ArrowUDF" in type(column).__name__ or "ARROW" in rows.select(column)._jdf.queryExecution().executedPlan().toString().upper()
+    assert [tuple(r) for r in rows.select("id", column.alias("t")).orderBy("id").collect()] == [(1, [cut, [], cut]), (2, None), (3, []), (4, [cut])]

@@ -23,10 +23,11 @@ def pdf_file(body: str) -> bytes:
     code = {c: i for i, c in enumerate(dict.fromkeys("".join(lines)))}
     chars = "\n".join(f"<{i:04x}> <{c.encode('utf-16-be').hex()}>" for c, i in code.items())
     pages = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+    shows = {c: f"{i:04x}" for c, i in code.items()}
     kids = " ".join(f"{5 + 2 * i} 0 R" for i in range(len(pages)))
     objects: list[tuple[str, bytes | None]] = [("<< /Type /Catalog /Pages 2 0 R >>", None), (f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources << /Font << /F 3 0 R >> >> >>", None), ("<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>", None), ("/Filter /FlateDecode", f"{len(code)} beginbfchar\n{chars}\nendbfchar".encode())]
     for i, page in enumerate(pages):
-        shown = "\n".join("<" + "".join(f"{code[c]:04x}" for c in line) + "> Tj T*" for line in page)
+        shown = "\n".join(f"<{''.join(map(shows.__getitem__, line))}> Tj T*" for line in page)
         objects += [(f"<< /Type /Page /Parent 2 0 R /Contents {6 + 2 * i} 0 R >>", None), ("/Filter /FlateDecode", f"BT /F 10 Tf 12 TL 72 720 Td\n{shown}\nET".encode())]
     out = [b"%PDF-1.5\n"]
     for number, (said, stream) in enumerate(objects, 1):

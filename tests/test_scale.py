@@ -102,3 +102,10 @@ def test_runs_are_cut_once(spark):
     column = words.column(F.col("runs"))
     assert "ArrowUDF" in type(column).__name__ or "ARROW" in rows.select(column)._jdf.queryExecution().executedPlan().toString().upper()
     assert [tuple(r) for r in rows.select("id", column.alias("t")).orderBy("id").collect()] == [(1, [cut, [], cut]), (2, None), (3, []), (4, [cut])]
+
+
+def test_strings_are_read_as_a_whole():
+    """Before, each character of a PDF moved the pen by a matrix."""
+    font = pdf.Font(pdf.Document(b""), {"Subtype": "Type0"})
+    font._map(b"2 beginbfchar\n<0001> <0061>\n<0002> <0020>\nendbfchar 1 beginbfchar <03> <00660069> % note\nendbfchar")
+    assert font.read(b"\0\1\0\2\0\3\0\4\0\2") == ("a fi ", 5, 2, 2.5)

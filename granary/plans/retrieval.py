@@ -76,23 +76,20 @@ def phrase_topk(spark, d):
     """Terms of several lexemes: two neighbours of the item, two others the wrong way round, and a word, any of which may stand."""
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
     q = _questions(spark, d).withColumn("w", _words()).select("query_id", F.array(F.concat(w(0), F.lit("_"), w(1)), F.concat(w(3), F.lit("-"), w(2)), w(4)).alias("terms"))
-    s = retrieval.full_text(q, _places(spark, d), T.phrases("terms")).withColumn("score", F.round("fts_rank", 6))
-    counts = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
-    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).join(counts, "query_id").select("query_id", "doc_id", "score", "matched", "rank", "matches")
+    asked, index = retrieval.AskedPhrases(q, T.phrases("terms")), _places(spark, d)
+    return asked.best(index, q, 5).join(F.broadcast(asked.counts(index, q)), "query_id").select("query_id", "doc_id", "score", "matched", "rank", "matches")
 
 
 def exact_phrase_topk(spark, d):
     """The whole question is one phrase, and ranks by distances."""
     q = _questions(spark, d).select("query_id", F.array(F.slice(_words(), 1, 4)).alias("phrases"))
-    s = retrieval.full_text(q, _places(spark, d), F.col("phrases")).withColumn("score", F.round("fts_rank", 6))
-    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "matched", "rank")
+    return retrieval.AskedPhrases(q, F.col("phrases")).best(_places(spark, d), q, 5).select("query_id", "doc_id", "score", "matched", "rank")
 
 
 def all_phrases_topk(spark, d):
     """Two phrases that both must stand, anywhere in a document."""
     q = _questions(spark, d).withColumn("w", _words()).select("query_id", F.array(F.slice("w", 1, 2), F.slice("w", 4, 2)).alias("phrases"))
-    s = retrieval.full_text(q, _places(spark, d), F.col("phrases"), "and").withColumn("score", F.round("fts_rank", 6))
-    return retrieval.top(s, 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "matched", "rank")
+    return retrieval.AskedPhrases(q, F.col("phrases"), "and").best(_places(spark, d), q, 5).select("query_id", "doc_id", "score", "matched", "rank")
 
 
 def fts_counts(spark, d):

@@ -109,3 +109,19 @@ def test_strings_are_read_as_a_whole():
     font = pdf.Font(pdf.Document(b""), {"Subtype": "Type0"})
     font._map(b"2 beginbfchar\n<0001> <0061>\n<0002> <0020>\nendbfchar 1 beginbfchar <03> <00660069> % note\nendbfchar")
     assert font.read(b"\0\1\0\2\0\3\0\4\0\2") == ("a fi ", 5, 2, 2.5)
+
+
+@pytest.mark.parametrize("operator", ["or", "and"])
+def test_best_phrases_are_those_of_all_pairs(spark, operator):
+    """Before, every pair of a question and a document with one of its lexemes was shuffled, with places."""
+    r = random.Random(5)
+    docs = [(i, [r.choice("abcdefg") for _ in range(r.choice([1, 3, 20, 300]))]) for i in range(60)] + [(100, []), (101, ["a"] * 700 + ["b"]), (102, ["c"] * 16400 + ["d", "e"]), (103, None)]
+    asked = [(i, [[r.choice("abcdefgz") for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 3))]) for i in range(60)] + [(60, []), (61, [["a", "b", "a"]]), (62, [["d", "e"]]), (63, None), (64, [["b"], []])]
+    q = spark.createDataFrame(asked, "query_id long, phrases array<array<string>>")
+    index = retrieval.PositionalIndex.build(spark.createDataFrame(docs, "doc_id long, words array<string>").repartition(3), F.col("words"))
+    every = retrieval.full_text(q, index, F.col("phrases"), operator).withColumn("score", F.round("fts_rank", 6)).persist()
+    best = retrieval.AskedPhrases(q, F.col("phrases"), operator)
+    columns = ("query_id", "doc_id", "score", "matched", "rank")
+    assert listed(best.best(index, q, 4), *columns) == listed(retrieval.top(every, 4, F.desc("score"), F.asc("doc_id")), *columns)
+    assert listed(best.counts(index, q), "query_id", "matches") == listed(every.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "n")
+    assert "Aggregate" not in best.best(index, q, 4)._jdf.queryExecution().optimizedPlan().toString()

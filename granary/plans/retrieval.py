@@ -80,10 +80,14 @@ def phrase_topk(spark, d):
     return asked.best(index, q, 5).join(F.broadcast(asked.counts(index, q)), "query_id").select("query_id", "doc_id", "score", "matched", "rank", "matches")
 
 
+def _place_all(docs: DataFrame, lexemes) -> retrieval.PositionalIndex:
+    return retrieval.PositionalIndex.build(docs, lexemes, most_places=None, last_place=None)
+
+
 def exact_phrase_topk(spark, d):
-    """The whole question is one phrase, and ranks by distances."""
-    q = _questions(spark, d).select("query_id", F.array(F.slice(_words(), 1, 4)).alias("phrases"))
-    return retrieval.AskedPhrases(q, F.col("phrases")).best(_places(spark, d), q, 5).select("query_id", "doc_id", "score", "matched", "rank")
+    """The whole question is one phrase, looked up in whole documents, and ranks by distances."""
+    q = _questions(spark, d).select("query_id", F.array(_words()).alias("phrases"))
+    return retrieval.AskedPhrases(q, F.col("phrases")).best(_made(spark, d, _place_all), q, 5).select("query_id", "doc_id", "score", "matched", "rank")
 
 
 def all_phrases_topk(spark, d):
@@ -237,20 +241,25 @@ g as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as s, count(*) a
 o as (select *, row_number() over (partition by query_id order by s desc, n_routes desc, best, chunk_id) as fusion_rank from g)"""
 
 
-def _phrase_sql(phrases: str, every: bool = False) -> str:
-    """phrases: SQL of a question's phrases from its words w. Places, phrases that stand, then either rank."""
+def _phrase_sql(phrases: str, every: bool = False, whole: bool = False) -> str:
+    """phrases: SQL of a question's phrases from its words w. Places, phrases that stand, then either rank. whole: all places count, and phrases are looked up in texts."""
+    place, kept = ("i", "") if whole else ("least(i, 16383)", " qualify row_number() over (partition by doc_id, term order by p) <= 256")
+    hit = """pt as (select distinct ph, unnest(ph) as term, generate_subscripts(ph, 1) as j from ph),
+starts as (select distinct ph, doc_id, p - j as s, j from pt join pos using (term)),
+hit as (select distinct ph, doc_id from (select ph, doc_id, s from starts group by all having count(distinct j) = len(ph))),"""
+    if whole:
+        hit = """dt as (select doc_id, ' ' || array_to_string(ts, ' ') || ' ' as t from dw), pl as (select distinct ph, ' ' || array_to_string(ph, ' ') || ' ' as t from ph),
+hit as (select ph, doc_id from pl join dt on contains(dt.t, pl.t)),"""
     far = "abs(a.p - b.p)"
     near = f"case when {far} > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp({far} / 1.5::double - 2)) end"
     return f"""with dw as (select doc_id, {_TOKENS} as ts from documents),
-places as (select doc_id, term, least(i, 16383) as p from (select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) as i from dw)),
-pos as (select doc_id, term, p from (select distinct doc_id, term, p from places) qualify row_number() over (partition by doc_id, term order by p) <= 256),
+places as (select doc_id, term, {place} as p from (select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) as i from dw)),
+pos as (select doc_id, term, p from (select distinct doc_id, term, p from places){kept}),
 lists as (select doc_id, term, list(p) as ps from pos group by all),
 qw as (select item_id as query_id, {_TOKENS} as w from benchmark),
 qp as (select query_id, list_distinct(list_filter({phrases}, lambda x: len(x) > 0)) as phs from qw),
 ph as (select query_id, len(phs) as wanted, {"true" if every else "len(phs) = 1"} as all_must, unnest(phs) as ph from qp),
-pt as (select distinct ph, unnest(ph) as term, generate_subscripts(ph, 1) as j from ph),
-starts as (select distinct ph, doc_id, p - j as s, j from pt join pos using (term)),
-hit as (select distinct ph, doc_id from (select ph, doc_id, s from starts group by all having count(distinct j) = len(ph))),
+{hit}
 stands as (select query_id, doc_id, any_value(all_must) as all_must from ph join hit using (ph) group by query_id, doc_id having case when any_value(all_must) then count(*) = any_value(wanted) else true end),
 lx as (select distinct query_id, unnest(ph) as term from ph), sz as (select query_id, count(*) as n from lx group by all),
 flat as (select query_id, doc_id, sum(list_sum(list_transform(range(1, len(ps) + 1), lambda j: 1.0::double / (j * j))) * 0.1 / 1.64493406685) as total, count(*) as matched from stands join lx using (query_id) join lists using (term, doc_id) group by all),
@@ -277,7 +286,7 @@ SQL = {
     "ts_rank_topk": f"with {_LISTS}, {_FTS} select query_id, chunk_id, score, rank, matched from f where rank <= 5",
     "phrase_topk": f"""{_phrase_sql("[list_filter([w[1], w[2]], lambda x: x is not null), list_filter([w[4], w[3]], lambda x: x is not null), list_filter([w[5]], lambda x: x is not null)]")}
       select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank, count(*) over (partition by query_id) as matches from sc qualify rank <= 5""",
-    "exact_phrase_topk": f"{_phrase_sql('[w[1:4]]')} select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 5",
+    "exact_phrase_topk": f"{_phrase_sql('[w]', whole=True)} select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 5",
     "all_phrases_topk": f"{_phrase_sql('[w[1:2], w[4:5]]', True)} select query_id, doc_id, score, matched, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 5",
     "fts_counts": f"with {_LISTS}, {_FTS} select item_id as query_id, count(chunk_id) as matches from benchmark left join f on query_id = item_id group by item_id",
     "dense_topk": f"{_DENSE} select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6), chunk_id) as rank from s qualify rank <= 10",

@@ -4,12 +4,16 @@ import itertools
 import math
 import random
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.segmentation import Dictionary
 from granary.operators import retrieval
+from granary.plans import retrieval as plans
 
 
 def plain_search(docs, phrases, every):
@@ -136,3 +140,57 @@ def test_bounded_top_is_the_top(spark):
     for begin in (1, 50, 10**6):
         got = retrieval.bm25_top(q, index, F.col("words"), 4, begin=begin).select("query_id", "doc_id", "score", "rank")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_whole_questions_are_looked_up_in_whole_documents(spark, tmp_path):
+    """Before, a question was its first four words, and a document's words from the 16,383rd on, and a word's from the 257th on, were not looked up."""
+    asked = {1: "The one, two three four five SIX seven", 2: "only only", 3: "w0", 4: "", 5: None, 6: " ".join(f"x{i}" for i in range(300))}
+    texts = {
+        1: "the one two three four five six seven",
+        2: "the one two three four five six",
+        3: "the one two three",
+        4: "pad " * 17_000 + asked[1],
+        5: "the one two " * 300 + asked[1] + " three",
+        6: "seven six five four three two one the",
+        7: "only " * 400,
+        8: "only x only",
+        9: "w0 " * 300,
+        10: "a " + asked[6] + " b",
+        11: " ".join(f"x{i}" for i in range(299)),
+        12: "",
+        13: None,
+    }
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.exact_phrase_topk(spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert [x[:2] for x in got] == [(1, 1), (1, 4), (1, 5), (2, 7), (3, 9), (6, 10)]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(plans.SQL["exact_phrase_topk"])
+    assert [c[0] for c in want.description] == df.columns and sorted(want.fetchall()) == got
+
+
+def test_near_places_meet_without_far_ones():
+    """Before, every place of a lexeme met every one of another: 90 * 10**9 pairs here."""
+    r = random.Random(3)
+    for most in (30, 300, 3000):
+        lists = [sorted({min(r.randint(1, most), most - 5) for _ in range(r.randint(1, 40))}) for _ in range(r.randint(2, 6))]
+        left = 1.0
+        for a, b in itertools.combinations(lists, 2):
+            for d in (abs(p - q) for p, q in itertools.product(a, b) if p != q):
+                left *= 1 - math.sqrt(0.1 * 0.1 * (1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))))
+        assert retrieval._near([np.array(x) for x in lists]) == pytest.approx(1 - left, rel=1e-9, abs=1e-12)
+    assert retrieval._near([np.arange(1, 300_000) * 3 + i for i in range(2)]) == 1
+
+
+def test_blocks_of_phrases_are_bounded_in_places(spark):
+    """Before, a block had so many documents, however long."""
+    q = spark.createDataFrame([(1, [["a", "b"]])], "query_id long, phrases array<array<string>>")
+    asked = retrieval.AskedPhrases(q, F.col("phrases"))
+    words = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "terms": [["a"] * (i * 100_000) + ["b"] for i in range(12)]})
+    placed = pa.Table.from_batches(retrieval._placed(iter([words]), None, None)).combine_chunks().to_batches()
+    blocks = list(asked.blocks(iter(placed)))
+    assert len(placed) == 1 and len(blocks) > 2 and [i for ids, *_ in blocks for i in ids.to_pylist()] == list(range(12))
+    assert [m for *_, matched in blocks for m in matched[:, 0]] == [0] + [2] * 11
